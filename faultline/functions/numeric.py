@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 
 def round_even(col: Column, digits: int) -> Column:
-    """Round half to even on the double itself (never via a decimal string)."""
-    scale = float(10 ** digits)
-    return F.rint(col * F.lit(scale)) / F.lit(scale)
+    """Round the exact binary value of a double; only true ties go to the even neighbour.
+
+    The value is cut at bit 26 so that both products below are exact, which makes the comparison
+    with the half-way point exact too (for magnitudes up to about a million).
+    """
+    scale, cut = float(10 ** digits), float(2 ** 26)
+    high = F.floor(col * F.lit(cut)).cast("double") / F.lit(cut)
+    low = col - high
+    base = F.floor(col * F.lit(scale)).cast("double")
+    past = (high * F.lit(scale) - (base + 0.5)) + low * F.lit(scale)
+    up = (past > 0) | ((past == 0) & (base % 2 != 0))
+    return F.when(col.isNotNull(), (base + up.cast("int")) / F.lit(scale))
 
 
 def finite(col: Column) -> Column:
@@ -35,7 +44,7 @@ def fixed(col: Column, digits: int) -> Column:
 
 def percent(col: Column) -> Column:
     """Fraction as a whole percentage, as text."""
-    return F.format_string("%d%%", F.rint(col * 100.0).cast("long"))
+    return F.format_string("%d%%", F.rint(round_even(col, 2) * 100.0).cast("long"))
 
 
 def plain(col: Column) -> Column:
