@@ -18,6 +18,7 @@ from ..constants import (CONTAMINATION, EULER_GAMMA, FEATURES, MIN_SCALE, MIN_TR
                          SEED, SUBSAMPLE)
 from ..functions.ordering import exact_quantile
 from ..schemas import NODE_SCHEMA
+from ..sources.materialize import materialize
 from .clean import REQUIRED_COLUMNS
 from .features import coerce_features, feature_medians, preprocess
 
@@ -103,6 +104,11 @@ def decisions(a: dict[str, np.ndarray], subsample: int, offset: float, x: np.nda
     return -np.power(2.0, -path_lengths(a, x) / average_path(subsample)) - offset
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for per-row numeric work; small tables would otherwise sit in one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _stack(cols: tuple[pd.Series, ...]) -> np.ndarray:
     return np.column_stack([c.to_numpy(dtype=float) for c in cols])
 
@@ -157,7 +163,7 @@ def train(df: DataFrame, key: str = "time_window", contamination: float | str =
              .sort_values(["tree_id", "node_id"], ignore_index=True))
 
     raw_model = Forest(nodes, columns, medians, 0.0, 1.0, psi)
-    raw = data.select(decision_column(raw_model, df).alias("raw"))
+    raw = materialize(spread(data).select(decision_column(raw_model, df).alias("raw")), "decisions")
     if contamination == "auto":
         offset = F.lit(-0.5)
     else:
@@ -198,7 +204,7 @@ def filled(model: Forest, df: DataFrame) -> DataFrame:
 
 def predict(model: Forest, df: DataFrame) -> DataFrame:
     """Input rows with decision, anomaly_score and is_anomaly (M3, M4, M7)."""
-    scored = filled(model, df).withColumn("decision", decision_column(model, df))
+    scored = spread(filled(model, df)).withColumn("decision", decision_column(model, df))
     return scored.withColumns({"anomaly_score": score_expr(F.col("decision"), model.scale),
                                "is_anomaly": F.col("decision") < 0})
 

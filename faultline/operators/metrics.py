@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import INCIDENT_FEATURES, SEED, SYNTHETIC_CAVEAT
 from ..functions.numeric import ratio
 from ..functions.ordering import exact_quantile, running_totals
+from ..sources.materialize import materialize
 
 
 def require_binary(df: DataFrame, label: str = "label") -> None:
@@ -17,34 +18,51 @@ def require_binary(df: DataFrame, label: str = "label") -> None:
         raise ValueError("Labels must contain only 0/1 (or False/True).")
 
 
-def confusion(df: DataFrame, label: str = "label", flag: str = "is_anomaly") -> DataFrame:
-    """One row: counts, precision, recall, F1 and accuracy, 0 where undefined."""
-    y, p = F.col(label).cast("int") == 1, F.coalesce(F.col(flag), F.lit(False)).cast("boolean")
-    row = df.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(y).alias("n_positive"),
-                 F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
-                 F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+def score_table(df: DataFrame, label: str = "label", score: str = "anomaly_score",
+                flag: str = "is_anomaly") -> DataFrame:
+    """Scored rows reduced to (s, flagged) with positives p and negatives n, written once.
+
+    Every labelled metric is a function of this table, so scoring runs a single time.
+    """
+    y = F.col(label).cast("int")
+    flagged = F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) if flag in df.columns else F.lit(False)
+    reduced = df.groupBy(F.col(score).alias("s"), flagged.alias("flagged")).agg(
+        F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    return materialize(reduced, "scores")
+
+
+def _confusion(table: DataFrame) -> DataFrame:
+    hit = F.col("flagged")
+
+    def total(value: Column, cond: Column | None = None) -> Column:
+        v = value if cond is None else F.when(cond, value)
+        return F.coalesce(F.sum(v), F.lit(0)).cast("long")
+
+    row = table.agg(total(F.col("p") + F.col("n")).alias("n_samples"), total(F.col("p")).alias("n_positive"),
+                    total(F.col("p"), hit).alias("tp"), total(F.col("n"), hit).alias("fp"),
+                    total(F.col("p"), ~hit).alias("fn"), total(F.col("n"), ~hit).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return row.withColumns({
         "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
         "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, F.col("n_samples"))})
 
 
-def ranking_curve(df: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
+def confusion(df: DataFrame, label: str = "label", flag: str = "is_anomaly") -> DataFrame:
+    """One row: counts, precision, recall, F1 and accuracy, 0 where undefined."""
+    y, hit = F.col(label).cast("int"), F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    return _confusion(df.groupBy(hit.alias("flagged")).agg(
+        F.sum(y).alias("p"), F.sum(1 - y).alias("n")))
+
+
+def _curve(table: DataFrame) -> DataFrame:
     """Per distinct score: positives, negatives, and their running sums from the top score down."""
-    y = F.col(label).cast("int")
-    groups = (df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
-              .agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")))
+    groups = (table.filter(F.col("s").isNotNull()).groupBy("s")
+              .agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     return running_totals(groups, "s", {"p": "tp", "n": "fp"}, descending=True)
 
 
-def ranking_metrics(df: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
-    """One row: ROC-AUC (ties share rank) and average precision, NULL with one class.
-
-    The area under the curve is the share of (positive, negative) pairs in the right order, a tie
-    counting half; average precision sums recall steps times precision.
-    """
-    curve = ranking_curve(df, label, score).withColumns({
-        c: F.col(c).cast("double") for c in ("p", "n", "tp", "fp")})
+def _ranking(table: DataFrame) -> DataFrame:
+    curve = _curve(table).withColumns({c: F.col(c).cast("double") for c in ("p", "n", "tp", "fp")})
     pos, neg = F.sum("p"), F.sum("n")
     auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     ap = F.sum(F.col("p") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
@@ -53,10 +71,20 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "anomaly_s
                      F.when(both, F.try_divide(ap, pos)).alias("pr_auc"))
 
 
+def ranking_metrics(df: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
+    """One row: ROC-AUC (ties share rank) and average precision, NULL with one class.
+
+    The area under the curve is the share of (positive, negative) pairs in the right order, a tie
+    counting half; average precision sums recall steps times precision.
+    """
+    return _ranking(score_table(df, label, score))
+
+
 def labelled_report(df: DataFrame, label: str = "label") -> DataFrame:
     """Threshold and ranking metrics of scored, labelled rows in one row (E1..E3)."""
-    ranks = ranking_metrics(df, label).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
-    return (confusion(df, label).withColumn("_r", ranks)
+    table = score_table(df, label)
+    ranks = _ranking(table).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
+    return (_confusion(table).withColumn("_r", ranks)
             .withColumns({"mode": F.lit("labeled"), "roc_auc": F.col("_r.roc_auc"),
                           "pr_auc": F.col("_r.pr_auc")}).drop("_r"))
 
@@ -64,6 +92,7 @@ def labelled_report(df: DataFrame, label: str = "label") -> DataFrame:
 def unsupervised_summary(df: DataFrame, score: str = "anomaly_score",
                          flag: str = "is_anomaly") -> DataFrame:
     """Row count, anomaly rate, and mean, 95th percentile and maximum of the score."""
+    df = materialize(df.select(score, flag), "scored")
     p95 = exact_quantile(df, [score], 0.95).select(F.col(score)).scalar()
     return df.agg(
         F.count(F.lit(1)).alias("n_samples"),
@@ -122,14 +151,15 @@ def inject_synthetic(features: DataFrame, key: str = "time_window", n_synthetic:
     return real.unionByName(spiked)
 
 
-def synthetic_report(scored: DataFrame, key: str = "time_window", top_k: int | None = None) -> DataFrame:
+def synthetic_report(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     """Separation of injected anomalies: ranking metrics, recall at k, threshold metrics.
 
     `scored` is the scored result of `inject_synthetic`; k defaults to the number of injected rows.
     """
-    base = confusion(scored)
+    table = score_table(scored)
+    base = _confusion(table)
     k = F.col("n_positive") if top_k is None else F.least(F.lit(top_k), F.col("n_samples"))
-    curve = ranking_curve(scored)
+    curve = _curve(table)
     # A score tie across the cut is split by label-free share, so the figure does not depend on order.
     counts = base.select(k.alias("k")).scalar()
     curve = curve.withColumn("_k", counts).withColumn("_before", F.col("tp") + F.col("fp")
@@ -137,7 +167,7 @@ def synthetic_report(scored: DataFrame, key: str = "time_window", top_k: int | N
     taken = F.least(F.greatest(F.col("_k") - F.col("_before"), F.lit(0)), F.col("p") + F.col("n"))
     hits = curve.agg(F.sum(F.col("p") * F.try_divide(taken.cast("double"), F.col("p") + F.col("n")))
                      .alias("h")).scalar()
-    ranks = ranking_metrics(scored).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
+    ranks = _ranking(table).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
     return (base.withColumn("_r", ranks).withColumn("_hits", hits).select(
         F.lit("synthetic").alias("mode"), F.lit(SYNTHETIC_CAVEAT).alias("caveat"),
         (F.col("n_samples") - F.col("n_positive")).alias("n_real_samples"),
