@@ -86,19 +86,16 @@ def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
     """
     margin = 3.0 / SKETCH_ACCURACY
     lo, hi = max(0.0, q - margin), min(1.0, q + margin)
-    sketch = df.agg(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in columns]),
-        F.array(*[F.struct(
-            F.percentile_approx(F.col(c).cast("double"), [lo, hi], SKETCH_ACCURACY).alias("range"),
-            F.count(F.col(c)).alias("n"),
-        ) for c in columns])).alias("s")).scalar()
     values = (df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-              .unpivot([], columns, "_name", "_v").filter(F.col("_v").isNotNull())
-              .withColumn("_s", F.element_at(sketch, F.col("_name")))
-              .filter(F.col("_v") <= F.element_at(F.col("_s.range"), 2)))
-    inside = F.when(F.col("_v") >= F.element_at(F.col("_s.range"), 1), F.col("_v"))
-    counted = (values.groupBy("_name", inside.alias("_v"), F.col("_s.n").alias("_n"))
-               .agg(F.count(F.lit(1)).alias("_c")))
+              .unpivot([], columns, "_name", "_v").filter(F.col("_v").isNotNull()))
+    # One row per column name, so the join side is bounded by the number of columns.
+    sketch = values.groupBy("_name").agg(
+        F.percentile_approx("_v", [lo, hi], SKETCH_ACCURACY).alias("_r"),
+        F.count(F.lit(1)).alias("_n"))
+    values = (values.join(F.broadcast(sketch), "_name")
+              .filter(F.col("_v") <= F.element_at("_r", 2)))
+    inside = F.when(F.col("_v") >= F.element_at("_r", 1), F.col("_v"))
+    counted = (values.groupBy("_name", inside.alias("_v"), "_n").agg(F.count(F.lit(1)).alias("_c")))
     upto = (Window.partitionBy("_name").orderBy(F.asc_nulls_first("_v"))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (counted.withColumn("_cum", F.sum("_c").over(upto))

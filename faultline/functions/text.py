@@ -12,7 +12,7 @@ TOKEN_RE = r"(?U)([\w.\-]+)"
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.trim(col, F.lit(" \t\n\u000b\f\r"))
 
 
 def mask(col: Column) -> Column:

@@ -38,13 +38,14 @@ def parse_clock(date: Column, time: Column) -> Column:
     Two-digit years 69..99 are 19xx, 00..68 are 20xx. Stripped leading zeros and float-style
     text such as 81109.0 are accepted.
     """
-    text = F.concat(_six(date), _six(time))
+    digits = F.nullif(F.regexp_extract(F.concat(_six(date), _six(time)), "^([0-9]{12})$", 1), F.lit(""))
 
     def part(start: int) -> Column:
-        return F.substring(text, start, 2).try_cast("int")
+        return F.substring(digits, start, 2).try_cast("int")
 
+    # Every part reads the one `digits` expression, and nothing is conditional on a row's validity,
+    # so generated code evaluates the text work once per row.
     year = part(1)
-    full = F.when(year >= 69, year + 1900).otherwise(year + 2000)
-    stamp = F.try_make_timestamp_ntz(full, part(3), part(5), part(7), part(9),
-                                     part(11).cast("decimal(16,6)"))
-    return F.when(text.rlike(r"^[0-9]{12}$"), stamp)
+    full = year + F.when(year >= 69, F.lit(1900)).otherwise(F.lit(2000))
+    return F.try_make_timestamp_ntz(full, part(3), part(5), part(7), part(9),
+                                    part(11).cast("decimal(16,6)"))

@@ -47,7 +47,7 @@ def base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Clean lines and numbered incidents, each written once and shared by the branches of a job."""
     lines = materialize(windowed(spark, sf), "lines")
     table = materialize(features.create_features(lines), "features")
-    return lines, materialize(incidents.number_incidents(table), "incidents")
+    return lines, incidents.number_incidents(table)
 
 
 def report_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
