@@ -168,9 +168,11 @@ def train(df: DataFrame, key: str = "time_window", contamination: float | str =
         offset = F.lit(-0.5)
     else:
         offset = exact_quantile(raw, ["raw"], float(contamination)).scalar()
-    stats = (raw.agg(F.stddev_pop("raw").alias("sd")).withColumn("offset", offset)).first()
-    cut = float(stats["offset"])
-    rate = raw.agg(F.avg((F.col("raw") < cut).cast("int").cast("double"))).first()[0]
+    stats = (raw.withColumn("offset", offset)
+             .agg(F.stddev_pop("raw").alias("sd"), F.max("offset").alias("offset"),
+                  F.avg((F.col("raw") < F.col("offset")).cast("int").cast("double")).alias("rate"))
+             .first())
+    cut, rate = float(stats["offset"]), stats["rate"]
     return Forest(nodes, columns, medians, cut, max(float(stats["sd"]), MIN_SCALE), psi, {
         "contamination": str(contamination), "n_estimators": trees, "random_state": seed,
         "n_samples": n, "n_features": len(columns), "train_anomaly_rate": float(rate)})

@@ -13,6 +13,7 @@ from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, CONTEXT_CHAR
                          HASH_DIMS, MAX_DISTANCE, MIN_BM25, RETRIEVE_TOP_K, RRF_CONSTANT,
                          SPARSE_WEIGHT)
 from ..functions.text import strip, tokens
+from ..sources.materialize import materialize
 from .neighbours import nearest
 
 MAX_BROADCAST_ROWS = 200_000
@@ -65,16 +66,21 @@ def batch_embedder(fn: Callable[[list[str]], list[list[float]]]) -> Embedder:
 # ------------------------------------------------------------------ index
 @dataclass(frozen=True)
 class Index:
-    """Tables of a retrieval index: chunks, term postings, unit vectors."""
+    """Tables of a retrieval index: chunks, term postings, term weights, unit vectors."""
 
     chunks: DataFrame
     postings: DataFrame
+    terms: DataFrame
     vectors: DataFrame
+    avg_length: float
     embedder: Embedder = hash_embed
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(key, term, tf, dl). Text moves once, by key; exploded terms are counted where they are."""
+    """(chunk_id, term, tf, dl). Text moves once, by key; exploded terms are counted where they are.
+
+    A chunk without tokens keeps one row with a NULL term, so it still counts as a chunk.
+    """
     return (chunks.select(key, text).repartition(key)
             .select(key, tokens(F.col(text)).alias("_t"))
             .select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
@@ -82,18 +88,27 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") ->
             .select(F.col(key).alias("chunk_id"), "term", "tf", "dl"))
 
 
+def corpus_stats(post: DataFrame) -> tuple[int, float]:
+    """Number of chunks and their mean length: one aggregate row, evaluated now."""
+    row = (post.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+           .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first())
+    return row["n"], float(row["avg"] or 0.0)
+
+
 def build_index(chunks: DataFrame, embedder: Embedder = hash_embed) -> Index:
-    return Index(chunks, postings(chunks),
-                 embedder(chunks, "chunk_id", "content").select("chunk_id", "vec"), embedder)
+    """Index tables of chunks; postings and term weights are written once."""
+    post = materialize(postings(chunks), "postings")
+    n, avg_length = corpus_stats(post)
+    vectors = embedder(chunks, "chunk_id", "content").select("chunk_id", "vec")
+    return Index(chunks, post, materialize(term_weights(post, n), "terms"),
+                 materialize(vectors, "vectors"), avg_length, embedder)
 
 
-def term_weights(post: DataFrame) -> DataFrame:
+def term_weights(post: DataFrame, n: int) -> DataFrame:
     """(term, df, idf): Okapi idf, with negative values replaced by a share of the mean."""
-    per_chunk = post.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    n = per_chunk.agg(F.count(F.lit(1)).alias("n")).scalar()
     df = (post.filter(F.col("term").isNotNull())
-          .groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_n", n))
-    raw = df.select("term", "df", (F.log(F.col("_n") - F.col("df") + 0.5)
+          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    raw = df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5)
                                    - F.log(F.col("df") + 0.5)).alias("_raw"))
     floor = raw.agg((F.avg("_raw") * BM25_EPSILON).alias("f")).scalar()
     return (raw.withColumn("_f", floor)
@@ -107,58 +122,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _gain(avg_len: str) -> Column:
+def _gain(avg_length: float) -> Column:
     tf = F.col("tf").cast("double")
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col(avg_len))
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avg_length))
     return F.col("qtf") * F.col("idf") * (tf * (BM25_K1 + 1)) / (tf + norm)
 
 
-def _weighted_terms(post: DataFrame, queries: DataFrame) -> DataFrame:
-    asked = query_terms(queries)
-    return bounded_broadcast(asked.join(term_weights(post), "term"))
-
-
-def _with_avg_length(post: DataFrame) -> DataFrame:
-    lengths = post.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    return post.withColumn("_avg", lengths.agg(F.avg("dl").alias("a")).scalar())
+def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf, idf) of known terms, broadcast when proven small."""
+    return bounded_broadcast(query_terms(queries).join(index.terms.drop("df"), "term"))
 
 
-def bm25_scores(post: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25_score) of every chunk sharing a term with the query.
 
     Postings of the asked terms are placed by chunk; with a small query side the sums then need no
     further exchange, and only the k best per task leave it (see `bm25_top`).
     """
-    terms = _weighted_terms(post, queries) if terms is None else terms
     asked = bounded_broadcast(terms.select("term").distinct())
-    hits = _with_avg_length(post).join(asked, "term", "left_semi")
-    return (hits.repartition("chunk_id").join(terms, "term")
-            .groupBy("chunk_id", "query_id").agg(F.sum(_gain("_avg")).alias("bm25_score"))
+    hits = index.postings.join(asked, "term", "left_semi").repartition("chunk_id")
+    return (hits.join(terms, "term")
+            .groupBy("chunk_id", "query_id").agg(F.sum(_gain(index.avg_length)).alias("bm25_score"))
             .select("query_id", "chunk_id", "bm25_score"))
 
 
-def bm25_top(post: DataFrame, queries: DataFrame, k: int = CANDIDATES,
+def bm25_top(index: Index, queries: DataFrame, k: int = CANDIDATES,
              terms: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score, sparse_rank): the k best chunks, ties by chunk id.
 
     A query matching fewer than k chunks is filled with the first unmatched chunks at score 0; those
     are always among the k lowest chunk ids, so the fill needs k constants and no pairing of tables.
     """
+    terms = weighted_terms(index, queries) if terms is None else terms
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "chunk_id")
-    found = (bm25_scores(post, queries, terms)
-             .withColumn("sparse_rank", F.row_number().over(order)).filter(F.col("sparse_rank") <= k))
-    lowest = (post.select("chunk_id").distinct().orderBy("chunk_id").limit(k)
+    found = (bm25_scores(index, terms).withColumn("sparse_rank", F.row_number().over(order))
+             .filter(F.col("sparse_rank") <= k))
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(
+        F.struct("sparse_rank", "chunk_id", "bm25_score"))).alias("_hit"))
+    lowest = (index.chunks.select("chunk_id").orderBy("chunk_id").limit(k)
               .agg(F.collect_list("chunk_id").alias("ids")).scalar())
-    hits = found.groupBy("query_id").agg(F.collect_list("chunk_id").alias("_hit"))
-    spare = (queries.select("query_id").join(hits, "query_id", "left")
-             .withColumn("_hit", F.coalesce("_hit", F.array().cast("array<long>")))
-             .filter(F.size("_hit") < k)
-             .withColumn("_low", lowest)
-             .select("query_id", F.explode(F.array_except("_low", "_hit")).alias("chunk_id"),
-                     F.lit(0.0).alias("bm25_score")))
-    both = found.select("query_id", "chunk_id", "bm25_score").unionByName(spare)
-    return both.withColumn("sparse_rank", F.row_number().over(order)).filter(
-        F.col("sparse_rank") <= k)
+    kind = "array<struct<chunk_id:bigint,bm25_score:double>>"
+    hit = F.coalesce(F.transform("_hit", lambda h: F.struct(h["chunk_id"], h["bm25_score"])).cast(kind),
+                     F.array().cast(kind))
+    spare = F.transform(
+        F.array_except(F.sort_array("_low"), F.transform(hit, lambda h: h["chunk_id"])),
+        lambda c: F.struct(c.alias("chunk_id"), F.lit(0.0).alias("bm25_score"))).cast(kind)
+    ranked = F.slice(F.concat(hit, spare), 1, k)
+    return (queries.select("query_id").join(lists, "query_id", "left").withColumn("_low", lowest)
+            .select("query_id", F.posexplode(ranked).alias("_n", "_h"))
+            .select("query_id", "_h.chunk_id", "_h.bm25_score", (F.col("_n") + 1).alias("sparse_rank")))
 
 
 def dense_top(vectors: DataFrame, query_vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -203,16 +215,16 @@ def retrieve(index: Index, queries: DataFrame, top_k: int = RETRIEVE_TOP_K,
     if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1:
         raise ValueError("top_k must be a positive integer.")
     asked, _ = split_queries(queries)
-    terms = _weighted_terms(index.postings, asked)
-    sparse = bm25_top(index.postings, asked, candidates, terms)
+    terms = weighted_terms(index, asked)
+    # At most `candidates` rows per query: written, because the fusion reads both lists twice.
+    sparse = materialize(bm25_top(index, asked, candidates, terms), "sparse")
     probes = index.embedder(asked, "query_id", "query")
-    dense = dense_top(index.vectors, probes, candidates)
+    dense = materialize(dense_top(index.vectors, probes, candidates), "dense")
 
     # BM25 of chunks only the dense side proposed: their postings against the query's own terms.
     lone = dense.join(sparse, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id")
-    extra = (_with_avg_length(index.postings).join(lone, "chunk_id")
-             .join(terms, ["query_id", "term"])
-             .groupBy("query_id", "chunk_id").agg(F.sum(_gain("_avg")).alias("_extra")))
+    extra = (index.postings.join(bounded_broadcast(lone), "chunk_id").join(terms, ["query_id", "term"])
+             .groupBy("query_id", "chunk_id").agg(F.sum(_gain(index.avg_length)).alias("_extra")))
     fused = (fuse(dense, sparse).join(extra, ["query_id", "chunk_id"], "left")
              .withColumn("bm25_score", F.coalesce("bm25_score", "_extra", F.lit(0.0))))
     close = F.coalesce(F.col("dense_distance") <= max_distance, F.lit(False))

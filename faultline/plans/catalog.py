@@ -70,21 +70,15 @@ def stand_in_contributions() -> list[Column]:
 
 
 def runbook_index(spark: SparkSession) -> retrieval.Index:
-    chunks = materialize(chunking.chunk_documents(src.runbooks(spark)), "chunks")
-    built = retrieval.build_index(chunks)
-    return retrieval.Index(chunks, materialize(built.postings, "postings"),
-                           materialize(built.vectors, "vectors"))
+    return retrieval.build_index(materialize(chunking.chunk_documents(src.runbooks(spark)), "chunks"))
 
 
 def document_index(spark: SparkSession, sf: str) -> retrieval.Index:
     """Whole documents as retrieval units (chunk id = document id)."""
-    docs = src.table(spark, sf, "documents").select(
+    return retrieval.build_index(src.table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"),
-        F.col("text").alias("content"))
-    built = retrieval.build_index(docs)
-    return retrieval.Index(docs, materialize(built.postings, "postings"),
-                           materialize(built.vectors, "vectors"))
+        F.col("text").alias("content")))
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,8 +350,10 @@ def document_names(spark, sf):
 # ------------------------------------------------------------------ retrieval
 @query
 def term_weights(spark, sf):
-    post = document_index(spark, sf).postings
-    return retrieval.term_weights(post).select("term", "df", r6("idf"))
+    docs = src.table(spark, sf, "documents")
+    post = materialize(retrieval.postings(docs, "doc_id", "text"), "postings")
+    n, _ = retrieval.corpus_stats(post)
+    return retrieval.term_weights(post, n).select("term", "df", r6("idf"))
 
 
 @query
@@ -369,8 +365,7 @@ def text_embeddings(spark, sf):
 
 @query
 def bm25_top(spark, sf):
-    idx = document_index(spark, sf)
-    top = retrieval.bm25_top(idx.postings, benchmark_queries(spark, sf))
+    top = retrieval.bm25_top(document_index(spark, sf), benchmark_queries(spark, sf))
     return top.select("query_id", "chunk_id", r6("bm25_score"), "sparse_rank")
 
 

@@ -17,6 +17,7 @@ from ..operators.validate import require_valid
 from ..sources import store
 from ..sources.documents import load_documents
 from ..sources.logs import load_all
+from ..sources.materialize import materialize
 
 
 def prepare(spark: SparkSession, raw_dir: str, out: str, window: str,
@@ -44,17 +45,11 @@ def train_model(spark: SparkSession, features_path: str, model_path: str, window
 
 def index_documents(spark: SparkSession, folder: str, out: str, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP, embedder: Embedder = hash_embed) -> Index:
-    """Documents to a saved index; postings and vectors are built from the written chunks."""
-    chunks = chunk_documents(load_documents(spark, folder), size, overlap)
-    base = out.rstrip("/")
-    chunks.write.mode("overwrite").parquet(f"{base}/chunks")
-    stored = spark.read.parquet(f"{base}/chunks")
-    if stored.isEmpty():
+    """Documents to a saved index; everything else is built from the written chunks."""
+    chunks = materialize(chunk_documents(load_documents(spark, folder), size, overlap), "chunks")
+    if chunks.isEmpty():
         raise ValueError("No chunks were produced from the documents.")
-    built = build_index(stored, embedder)
-    (built.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-     .write.mode("overwrite").parquet(f"{base}/postings"))
-    built.vectors.write.mode("overwrite").parquet(f"{base}/vectors")
+    store.save_index(build_index(chunks, embedder), out)
     return store.load_index(spark, out, embedder)
 
 

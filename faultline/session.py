@@ -36,6 +36,9 @@ def local_session(cpus: int = 8, app: str = "faultline-local", memory: str = "8g
         **{
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": memory,
+            # Small inputs on few cores: keep every core busy instead of merging into one task.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+            "spark.sql.files.openCostInBytes": "65536",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": os.path.join("/tmp", f"faultline-{os.getpid()}"),

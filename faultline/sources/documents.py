@@ -17,7 +17,7 @@ def _read(spark: SparkSession, folder: str) -> DataFrame:
     path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(
         F.substring(path, F.length(clean_root) + 2, F.length(path)).alias("source"),
-        path.alias("path"), F.make_valid_utf8(F.decode("content", "UTF-8")).alias("content"))
+        path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:

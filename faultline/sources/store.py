@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.forest import Forest
-from ..operators.retrieval import Embedder, Index, hash_embed
+from ..operators.retrieval import Embedder, Index, corpus_stats, hash_embed
 from ..schemas import NODE_SCHEMA
 
 MODEL_FIELDS = {"columns", "medians", "offset", "scale", "subsample", "params"}
@@ -56,23 +56,25 @@ def load_model(spark: SparkSession, path: str) -> Forest:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Chunks, postings and vectors; postings are clustered by term for selective reads."""
+    """Index tables (S9); postings are clustered by term, so asked terms read few row groups."""
     base = path.rstrip("/")
     index.chunks.write.mode("overwrite").parquet(f"{base}/chunks")
     (index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
      .write.mode("overwrite").parquet(f"{base}/postings"))
+    index.terms.write.mode("overwrite").parquet(f"{base}/terms")
     index.vectors.write.mode("overwrite").parquet(f"{base}/vectors")
 
 
 def load_index(spark: SparkSession, path: str, embedder: Embedder = hash_embed) -> Index:
     base = path.rstrip("/")
     try:
-        parts = [spark.read.parquet(f"{base}/{name}") for name in ("chunks", "postings", "vectors")]
+        chunks, post, terms, vectors = (spark.read.parquet(f"{base}/{name}")
+                                        for name in ("chunks", "postings", "terms", "vectors"))
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(f"Index not found at {path}; build it first.") from exc
         raise
-    return Index(*parts, embedder)
+    return Index(chunks, post, terms, vectors, corpus_stats(post)[1], embedder)
 
 
 def write_report(report: DataFrame, path: str) -> None:
