@@ -98,17 +98,14 @@ def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
     counted = (values.groupBy("_name", inside.alias("_v"), "_n").agg(F.count(F.lit(1)).alias("_c")))
     upto = (Window.partitionBy("_name").orderBy(F.asc_nulls_first("_v"))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (counted.withColumn("_cum", F.sum("_c").over(upto))
-              .withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
-              .withColumn("_k", F.floor("_h")))
+    k = F.floor((F.col("_n") - 1) * F.lit(float(q)))
+    ranked = counted.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_k", k)
 
-    def at(offset: int, name: str) -> Column:
-        hit = (F.col("_name") == name) & (F.col("_cum") >= F.col("_k") + offset)
-        return F.min(F.when(hit, F.col("_v")))
+    def at(offset: int) -> Column:
+        return F.min(F.when(F.col("_cum") >= F.col("_k") + offset, F.col("_v")))
 
-    def value(name: str) -> Column:
-        frac = F.max(F.when(F.col("_name") == name, F.col("_h") - F.col("_k")))
-        low, high = at(1, name), F.coalesce(at(2, name), at(1, name))
-        return low + (high - low) * frac
-
-    return ranked.agg(*[value(c).alias(c) for c in columns])
+    picked = ranked.groupBy("_name").agg(at(1).alias("_low"), at(2).alias("_high"),
+                                         F.max((F.col("_n") - 1) * F.lit(float(q)) - F.col("_k")).alias("_f"))
+    value = F.col("_low") + (F.coalesce("_high", "_low") - F.col("_low")) * F.col("_f")
+    row = picked.agg(F.map_from_entries(F.collect_list(F.struct("_name", value))).alias("_m"))
+    return row.select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in columns])

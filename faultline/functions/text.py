@@ -35,7 +35,7 @@ def clean_markdown(col: Column) -> Column:
 def tokens(col: Column) -> Column:
     """Lower-cased word tokens; inner dots and dashes stay, edge ones go."""
     raw = F.regexp_extract_all(F.lower(col), F.lit(TOKEN_RE), F.lit(1))
-    trimmed = F.transform(raw, lambda t: F.regexp_replace(t, r"^[.\-]+|[.\-]+$", ""))
+    trimmed = F.transform(raw, lambda t: F.trim(t, F.lit(".-")))
     return F.filter(trimmed, lambda t: t != "")
 
 

@@ -27,27 +27,36 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
 
 
 # ------------------------------------------------------------------ embeddings
-def hash_embed(df: DataFrame, key: str, text: str, dims: int = HASH_DIMS) -> DataFrame:
-    """(key, vec): signed feature hashing of the tokens, scaled to unit length.
-
-    Rows are placed by key once; both aggregates then run without another exchange.
-    """
-    digest = F.md5("_t")
+def _hash_vectors(counts: DataFrame, key: str, dims: int) -> DataFrame:
+    """Unit vectors from (key, term, tf): a term's hash names a dimension and a sign."""
+    digest = F.md5("term")
     bucket = F.pmod(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(dims))
-    sign = F.when(F.substring(digest, 5, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
-    cells = (df.select(key, text).repartition(key)
-             .select(key, F.explode_outer(tokens(F.col(text))).alias("_t"))
-             .select(key, bucket.alias("_d"), F.when(F.col("_t").isNotNull(), sign).alias("_s"))
-             .groupBy(key, "_d").agg(F.sum("_s").alias("_w")))
+    sign = F.when(F.substring(digest, 5, 1) < "8", F.col("tf")).otherwise(-F.col("tf"))
+    cells = counts.groupBy(key, bucket.alias("_d")).agg(F.sum(sign).cast("double").alias("_w"))
     rows = cells.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_w"))))
         .alias("_m"),
-        F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+        F.sqrt(F.sum(F.when(F.col("_d").isNotNull(), F.col("_w") * F.col("_w")))).alias("_norm"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(
         F.try_divide(F.try_element_at("_m", i), F.col("_norm")), F.lit(0.0)))
     return rows.select(key, dense.alias("vec"))
 
 
+def hash_embed(df: DataFrame, key: str, text: str, dims: int = HASH_DIMS) -> DataFrame:
+    """(key, vec): signed feature hashing of the tokens, scaled to unit length.
+
+    Text is placed by key once; every aggregate then runs without another exchange.
+    """
+    return _hash_vectors(_term_counts(df, key, text), key, dims)
+
+
+def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return (df.select(key, text).repartition(key)
+            .select(key, tokens(F.col(text)).alias("_t"))
+            .select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+            .groupBy(key, "dl", "term").agg(F.count("term").alias("tf")))
+
+
 def batch_embedder(fn: Callable[[list[str]], list[list[float]]]) -> Embedder:
     """Wrap a model call on a list of texts as an embedder that runs per Arrow batch."""
     def embed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,11 +90,7 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") ->
 
     A chunk without tokens keeps one row with a NULL term, so it still counts as a chunk.
     """
-    return (chunks.select(key, text).repartition(key)
-            .select(key, tokens(F.col(text)).alias("_t"))
-            .select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-            .groupBy(key, "dl", "term").agg(F.count("term").alias("tf"))
-            .select(F.col(key).alias("chunk_id"), "term", "tf", "dl"))
+    return _term_counts(chunks, key, text).select(F.col(key).alias("chunk_id"), "term", "tf", "dl")
 
 
 def corpus_stats(post: DataFrame) -> tuple[int, float]:
@@ -99,7 +104,9 @@ def build_index(chunks: DataFrame, embedder: Embedder = hash_embed) -> Index:
     """Index tables of chunks; postings and term weights are written once."""
     post = materialize(postings(chunks), "postings")
     n, avg_length = corpus_stats(post)
-    vectors = embedder(chunks, "chunk_id", "content").select("chunk_id", "vec")
+    # The hashing embedder is a function of the term counts, so the texts are not read again for it.
+    vectors = (_hash_vectors(post, "chunk_id", HASH_DIMS) if embedder is hash_embed
+               else embedder(chunks, "chunk_id", "content").select("chunk_id", "vec"))
     return Index(chunks, post, materialize(term_weights(post, n), "terms"),
                  materialize(vectors, "vectors"), avg_length, embedder)
 
