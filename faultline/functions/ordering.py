@@ -66,23 +66,30 @@ def number_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
             .drop("_day", "_o"))
 
 
-def number_within_groups(df: DataFrame, group: str, seq: list[str], out: str) -> DataFrame:
-    """Dense numbers 0.. over all rows in (group, seq) order."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_c"))
-    ends = running_totals(counts, group, {"_c": "_end"})
-    starts = ends.select(group, (F.col("_end") - F.col("_c")).alias("_start"))
-    inside = Window.partitionBy(group).orderBy(*seq)
-    return (df.join(starts, group)
+def number_rows(df: DataFrame, order: list[str], out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Dense numbers 0.. over all rows in the order of `order`, which must identify a row.
+
+    Ranges are cut over the whole key, so one document or source with a large share of all rows is
+    spread over many ranges. `df` is read three times (bounds, counts, rows), the first two times only
+    its key columns; pass a written table when it is costly.
+    """
+    keyed = df.withColumn("_key", F.struct(*order))
+    keyed = _with_bucket(keyed, "_key", buckets)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bucket").orderBy("_key")
+    return (keyed.join(F.broadcast(starts), "_bucket")
             .withColumn(out, (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
-            .drop("_start"))
+            .drop("_start", "_bucket", "_key"))
 
 
 def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
     """One row of exact, linearly interpolated quantiles; NULLs are skipped, no value gives NULL.
 
     A sketch brackets the wanted rank within 3/10000 of the rows on both sides. Values under the
-    bracket are only counted, values over it are dropped, and just the distinct values inside it are
-    put in order.
+    bracket and over it are only counted (with their nearest value), and just the distinct values
+    inside it are put in order.
     """
     margin = 3.0 / SKETCH_ACCURACY
     lo, hi = max(0.0, q - margin), min(1.0, q + margin)
@@ -92,11 +99,14 @@ def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
     sketch = values.groupBy("_name").agg(
         F.percentile_approx("_v", [lo, hi], SKETCH_ACCURACY).alias("_r"),
         F.count(F.lit(1)).alias("_n"))
-    values = (values.join(F.broadcast(sketch), "_name")
-              .filter(F.col("_v") <= F.element_at("_r", 2)))
-    inside = F.when(F.col("_v") >= F.element_at("_r", 1), F.col("_v"))
-    counted = (values.groupBy("_name", inside.alias("_v"), "_n").agg(F.count(F.lit(1)).alias("_c")))
-    upto = (Window.partitionBy("_name").orderBy(F.asc_nulls_first("_v"))
+    values = values.join(F.broadcast(sketch), "_name")
+    side = (F.when(F.col("_v") < F.element_at("_r", 1), F.lit(-1))
+            .when(F.col("_v") > F.element_at("_r", 2), F.lit(1)).otherwise(F.lit(0)))
+    # The sketch may be one rank off at either end, so the nearest value on each side stays known.
+    counted = (values.groupBy("_name", "_n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_x"))
+               .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+               .withColumn("_v", F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min"))))
+    upto = (Window.partitionBy("_name").orderBy("_side", "_v")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     k = F.floor((F.col("_n") - 1) * F.lit(float(q)))
     ranked = counted.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_k", k)

@@ -149,12 +149,16 @@ def with_line_totals(shown: DataFrame, incidents: DataFrame, limit: int = MAX_LO
     return shown.join(ids, "time_window").drop("time_window")
 
 
+def requested_number(column: str) -> Column:
+    """Incident number in a requested id of any accepted spelling, NULL when malformed."""
+    return F.expr(f"try_cast(nullif(regexp_extract(`{column}`, r'{INCIDENT_ID_PATTERN}', 1), '') "
+                  "AS BIGINT)")
+
+
 def resolve_ids(ids: DataFrame, incidents: DataFrame, column: str = "raw_id") -> DataFrame:
     """Requested ids in any accepted spelling to incidents; unknown ones get found = false."""
-    number = F.expr(f"try_cast(nullif(regexp_extract(`{column}`, r'{INCIDENT_ID_PATTERN}', 1), '') "
-                    "AS BIGINT)")
     known = incidents.select("incident_no", "incident_id")
-    return (ids.withColumn("incident_no", number)
+    return (ids.withColumn("incident_no", requested_number(column))
             .join(known, "incident_no", "left")
             .select(*ids.columns, "incident_id", F.col("incident_id").isNotNull().alias("found")))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CAUSES, FEATURES, SIGNAL_NAMES, SIGNALS
-from ..functions.numeric import plain, round_even
+from ..functions.numeric import round_even
+from ..functions.ordering import exact_quantile, number_rows
 from ..functions.text import clean_markdown, mask, tokens
 from ..operators import attribution, chunking, clean, evidence, features, forest, incidents
 from ..operators import metrics, neighbours, retrieval, validate
@@ -203,7 +204,6 @@ def zscores(spark, sf):
 
 @query
 def feature_quantiles(spark, sf):
-    from ..functions.ordering import exact_quantile
     table = materialize(window_table(spark, sf), "features")
     parts = [exact_quantile(table, FEATURES, q).select(F.lit(q).alias("q"), *[r6(c) for c in FEATURES])
              for q in (0.05, 0.5, 0.95)]
@@ -324,21 +324,15 @@ def sections(spark, sf):
 @query
 def section_numbers(spark, sf):
     """Sections of at least 20 characters, numbered over all documents."""
-    from ..functions.ordering import number_within_groups
     parts = materialize(chunking.sections(chunking.clean_documents(
         src.sectioned_documents(spark, sf))).filter(F.length("content") >= 20)
         .select("source", "section_no"), "sections")
-    return number_within_groups(parts, "source", ["section_no"], "chunk_id")
+    return number_rows(parts, ["source", "section_no"], "chunk_id")
 
 
 @query
 def chunks(spark, sf):
-    parts = materialize(chunking.size_split(chunking.sections(chunking.clean_documents(
-        src.sectioned_documents(spark, sf)))), "pieces")
-    from ..functions.ordering import number_within_groups
-    kept = parts.filter(F.length("content") >= 20)
-    return number_within_groups(kept, "source", ["section_no", "piece_no"], "chunk_id").select(
-        "chunk_id", "source", "h1", "h2", "h3", "content")
+    return chunking.chunk_documents(src.sectioned_documents(spark, sf)).drop("path")
 
 
 @query

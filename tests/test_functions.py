@@ -40,6 +40,17 @@ def test_quantiles_match_numpy(spark):
         assert got.c is None
 
 
+def test_quantiles_of_few_rows(spark):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 20, 87, 100, 333):
+        cols = {f"c{i}": rng.normal(size=n) if i else rng.integers(0, 4, n).astype(float) for i in range(4)}
+        df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())],
+                                   ", ".join(f"{c} double" for c in cols))
+        for q in (0.05, 0.5, 0.95):
+            got = ordering.exact_quantile(df, list(cols), q).first()
+            assert np.allclose([got[c] for c in cols], [np.quantile(v, q) for v in cols.values()])
+
+
 def test_running_totals_and_numbers(spark):
     rng = np.random.default_rng(3)
     keys = rng.permutation(5000)
@@ -48,6 +59,7 @@ def test_running_totals_and_numbers(spark):
     w = got["w"].to_numpy()
     assert (got["cum"].to_numpy() == w[::-1].cumsum()[::-1]).all()
 
-    groups = spark.createDataFrame([(f"s{i % 37:02d}", i) for i in range(1000)], "g string, n int")
-    numbered = ordering.number_within_groups(groups, "g", ["n"], "id").orderBy("g", "n").toPandas()
+    rows = spark.createDataFrame([(f"s{0 if i % 3 == 0 else i % 37:02d}", i) for i in range(1000)],
+                                 "g string, n int")           # one group holds a third of the rows
+    numbered = ordering.number_rows(rows, ["g", "n"], "id").orderBy("g", "n").toPandas()
     assert numbered["id"].tolist() == list(range(1000))
