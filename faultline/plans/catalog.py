@@ -14,8 +14,10 @@ from ..functions.text import clean_markdown, mask, tokens
 from ..operators import attribution, chunking, clean, evidence, features, forest, incidents
 from ..operators import metrics, neighbours, retrieval, validate
 from ..sources import tables as src
-from ..sources.materialize import materialize
+from ..sources.materialize import materialize, scratch_path
+from ..streaming.windows import stream_features
 from . import investigate as inv
+from . import prepare
 
 WINDOW = "10min"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,6 +434,15 @@ def retrieval_eval(spark, sf):
     return report.select("n_queries", r6("top_1_accuracy"), r6("top_k_recall"), "top_k", r6("mrr"))
 
 
+@query
+def retrieval_cases(spark, sf):
+    cases = materialize(expected_sources(spark, sf), "cases")
+    hits = retrieval.retrieve(document_index(spark, sf), cases.select("query_id", "query"),
+                              max_distance=float("inf"), min_bm25=0.0)
+    return metrics.retrieval_cases(hits, cases).select(
+        "query_id", "expected_source", "first_rank", "hit_at_1", "hit_at_k", r6("reciprocal_rank"))
+
+
 @query
 def rejected_queries(spark, sf):
     """User turns, some blanked or reduced to punctuation, that cannot be searched."""
@@ -581,6 +592,19 @@ def forest_scores(spark, sf):
     return forest.predict(model, table).select("time_window", "decision", "anomaly_score", "is_anomaly")
 
 
+@query
+def incident_verdicts(spark, sf):
+    inc = materialize(numbered(spark, sf), "incidents")
+    return forest.verdicts(forest.train(inc), inc)
+
+
+@query
+def combined_evaluation(spark, sf):
+    """Unsupervised, synthetic and labelled sections; windows with two errors are labelled abnormal."""
+    model, table = _model(spark, sf)
+    return prepare.evaluate_detector(model, table, _window_labels(table))
+
+
 @query
 def top_anomalies(spark, sf):
     model, table = _model(spark, sf)
@@ -682,3 +706,28 @@ def label_coverage(spark, sf):
     table = materialize(window_table(spark, sf), "features")
     return incidents.label_coverage(table, _window_labels(table)).select(
         "n_windows", "n_labelled", r6("coverage"))
+
+
+# ------------------------------------------------------------------ streaming
+@query
+def stream_window_features(spark, sf):
+    """The window features from a stream over files of lines, run until all files are read.
+
+    Two lines far in the future push the watermark past every real window, which closes them.
+    """
+    files, out, state = (scratch_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
+    if files is None:
+        raise ValueError("Streaming needs a shared folder: set spark.checkpoint.dir.")
+    lines = raw(spark, sf).filter(F.col("pos") < 2)
+    lines.write.parquet(files)
+    for minute in ("00", "01"):
+        late = lines.limit(1).withColumns({
+            "LineId": F.lit(-1 - int(minute)).cast("long"), "Date": F.lit("350101"),
+            "Time": F.lit(f"00{minute}00")})
+        late.coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 8).parquet(files)
+    run = (stream_features(stream, WINDOW, "60 days").writeStream.format("parquet").option("path", out)
+           .option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.parquet(out).select(
+        "time_window", *[r6(c) if c.endswith("_ratio") else F.col(c) for c in FEATURES])

@@ -99,7 +99,6 @@ stamped AS (SELECT * EXCLUDE (txt),
 
 
 def level(x: str = '"Level"') -> str:
-    u = f"upper({strip(f'coalesce({x}, {lit(chr(85) + chr(78))})')})"
     u = f"upper({strip(f'coalesce({x}, ' + lit('UNKNOWN') + ')')})"
     return f"CASE WHEN {u} = '' THEN 'UNKNOWN' WHEN {u} = 'WARNING' THEN 'WARN' ELSE {u} END"
 
@@ -289,6 +288,13 @@ RB = "rb AS (SELECT row_number() OVER (ORDER BY source) - 1 AS k, source, conten
     f"({lit(s)}, {lit(t)})" for s, t in RUNBOOKS) + ") v(source, content))"
 
 
+EXPECTED = """
+ex AS (SELECT item_id AS q, any_value(b.text) AS txt, 'doc_' || min(doc_id) AS e FROM benchmark b JOIN documents d
+  ON contains(d.text, b.text) GROUP BY item_id)"""
+FIRST_RANK = """
+fr AS (SELECT ex.q, min(rank) AS r FROM ex LEFT JOIN hit ON hit.q = ex.q AND hit.source = ex.e GROUP BY ex.q)"""
+
+
 # ------------------------------------------------------------------ evidence
 def line_evidence_cte() -> str:
     w = "CASE WHEN \"Level\" IN ('FATAL', 'ERROR') THEN 3.0::DOUBLE WHEN \"Level\" = 'WARN' THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END"
@@ -420,8 +426,6 @@ fc AS (SELECT incident_no, rank::INT AS rank, feature, value, {rnd('c', 4)} AS c
 
 def report_sql() -> str:
     labels = ", ".join(f"CASE WHEN {f} > 0 THEN {f} || ' {label}' END" for f, label in FEATURE_LABELS)
-    n_labels = "+".join(f"({f} > 0)::INT" for f, _ in FEATURE_LABELS)
-    head = ", ".join(f"'{i} {t}: {p}'" for i, (t, p) in enumerate(PLAN_HEAD, 1))
     items = f"""
 fi AS (SELECT incident_no, list('ML factor: ' || replace(feature, '_', ' ') || ' = ' || value::VARCHAR || ' ('
   || lower(strength) || ' contribution)' ORDER BY rank) AS fl FROM fc WHERE rank <= 3 AND direction = 'increases' GROUP BY 1),
@@ -512,7 +516,6 @@ LABELLED = ("ls AS (SELECT doc_id, toxic AS label, (n_chars % 1000)::DOUBLE / 10
 
 
 def _valid_sql() -> str:
-    nulls = " || ', ' || ".join([])
     cols = ["LineId", "Date", "Time", "Pid", "Level", "Component", "Content", "EventId", "EventTemplate"]
     listing = "concat_ws(', ', " + ", ".join(
         f"CASE WHEN count(*) FILTER (WHERE \"{c}\" IS NULL) > 0 THEN '{c}=' || count(*) FILTER (WHERE \"{c}\" IS NULL) END"
@@ -569,6 +572,7 @@ def build() -> dict[str, str]:
     sql["masked_text"] = ctes(LOG) + f"SELECT \"LineId\", pos, {mask(chr(34) + 'Content' + chr(34))} AS masked FROM log"
 
     sql["window_features"] = feats + f"SELECT time_window, {feat_cols} FROM feats"
+    sql["stream_window_features"] = sql["window_features"]
     sql["level_counts"] = lines + 'SELECT time_window, "Level", count(*)::BIGINT AS n FROM lines GROUP BY ALL'
     sql["signal_counts"] = ctes(*TO_LINES, SIG) + "SELECT * FROM sigs"
     sql["component_lists"] = lines + (
@@ -621,7 +625,6 @@ SELECT a.raw_id, i.incident_id, i.incident_id IS NOT NULL AS found FROM
 LEFT JOIN inc i ON i.incident_no = try_cast(nullif(regexp_extract(a.raw_id, '(?i)^\s*(?:INC[-_ ]?)?0*(\d+)\s*$', 1), '') AS BIGINT)"""
     sql["similar_incidents"] = ctes(*BASE, *similar_ctes()) + "SELECT * FROM sims"
 
-    dirty = "replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(9) || '---- ' || chr(13) || repeat(chr(10), 4))"
     dirty = ("replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(9) || '---- ' || chr(13) || chr(10) || repeat(chr(10), 3))")
     sql["clean_text"] = f"SELECT doc_id, md5(c) AS digest, length(c)::INT AS n FROM (SELECT doc_id, {clean_md(dirty)} AS c FROM documents)"
     sql["token_lists"] = (f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM "
@@ -657,12 +660,12 @@ bl AS (SELECT q, rank, {block} AS b, sum(length({block})) OVER (PARTITION BY q O
     sql["retrieval_stats"] = hybrid + (
         "SELECT bq.q AS query_id, count(hit.k)::BIGINT AS number_of_results, "
         "coalesce(string_agg(source, ' | ' ORDER BY rank), '') AS sources FROM bq LEFT JOIN hit ON hit.q = bq.q GROUP BY bq.q")
-    sql["retrieval_eval"] = ctes(DOCS, """
-ex AS (SELECT item_id AS q, any_value(b.text) AS txt, 'doc_' || min(doc_id) AS e FROM benchmark b JOIN documents d
-  ON contains(d.text, b.text) GROUP BY item_id)""", hybrid_ctes("docs", "ex", "1e300", "0.0"), """
-fr AS (SELECT ex.q, min(rank) AS r FROM ex LEFT JOIN hit ON hit.q = ex.q AND hit.source = ex.e GROUP BY ex.q)""") + (
+    sql["retrieval_eval"] = ctes(DOCS, EXPECTED, hybrid_ctes("docs", "ex", "1e300", "0.0"), FIRST_RANK) + (
         "SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce(r = 1, false)::INT), 6) AS top_1_accuracy, "
         "round(avg((r IS NOT NULL)::INT), 6) AS top_k_recall, 3::INT AS top_k, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM fr")
+    sql["retrieval_cases"] = ctes(DOCS, EXPECTED, hybrid_ctes("docs", "ex", "1e300", "0.0"), FIRST_RANK) + (
+        "SELECT ex.q AS query_id, e AS expected_source, r::INT AS first_rank, coalesce(r = 1, false) AS hit_at_1, "
+        "r IS NOT NULL AS hit_at_k, round(coalesce(1.0::DOUBLE / r, 0), 6) AS reciprocal_rank FROM ex JOIN fr ON fr.q = ex.q")
     sql["rejected_queries"] = """
 WITH u AS (SELECT conv_id * 100 + turn AS n, text FROM conversations WHERE role = 'user'),
 v AS (SELECT n, CASE WHEN n % 5 = 0 THEN '  ' || chr(9) WHEN n % 7 = 0 THEN '!!! ??' WHEN n % 11 = 0 THEN NULL ELSE text END AS q FROM u)

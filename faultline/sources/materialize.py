@@ -5,24 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and read it back.
+def scratch_path(spark: SparkSession, label: str) -> str | None:
+    """A fresh path below the folder the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir, so a lost executor loses nothing.
-    Where it is unset, a local session uses a fresh temporary folder; on a cluster the plan is
-    returned as it is, since a machine-local folder is not shared.
+    Where it is unset, a local session gets a new temporary folder. On a cluster there is then no
+    path: a machine-local folder is not shared.
     """
-    spark = df.sparkSession
     base = shared_dir(spark)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
-            return df
+            return None
         base = tempfile.mkdtemp(prefix="faultline-")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once and read it back, so a lost executor costs no recomputation of its lineage.
+
+    Without a shared folder the plan is returned as it is: right, only recomputed.
+    """
+    path = scratch_path(df.sparkSession, label)
+    if path is None:
+        return df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
