@@ -21,9 +21,14 @@ MAX_BROADCAST_ROWS = 200_000
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a table is proven to hold at most `max_rows` rows; counts no further than that."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when a bounded count proves the side small; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 # ------------------------------------------------------------------ embeddings
@@ -136,21 +141,29 @@ def _gain(avg_length: float) -> Column:
 
 
 def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, idf) of known terms, broadcast when proven small."""
-    return bounded_broadcast(query_terms(queries).join(index.terms.drop("df"), "term"))
+    """(query_id, term, qtf, idf) of the terms the corpus knows, written once."""
+    return materialize(query_terms(queries).join(index.terms.drop("df"), "term"), "query-terms")
 
 
-def bm25_scores(index: Index, terms: DataFrame) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(query_id, chunk_id, bm25_score) of every chunk sharing a term with the query.
 
-    Postings of the asked terms are placed by chunk; with a small query side the sums then need no
-    further exchange, and only the k best per task leave it (see `bm25_top`).
+    The smaller side is broadcast when its size is proven, and the larger one is placed by its own
+    key: by chunk for few queries over a large corpus, by query for many queries over a small one.
+    The sums then need no further exchange, and only the k best per task leave it (see `bm25_top`).
+    With both sides large, Spark joins on the term and splits skewed terms.
     """
-    asked = bounded_broadcast(terms.select("term").distinct())
-    hits = index.postings.join(asked, "term", "left_semi").repartition("chunk_id")
-    return (hits.join(terms, "term")
-            .groupBy("chunk_id", "query_id").agg(F.sum(_gain(index.avg_length)).alias("bm25_score"))
-            .select("query_id", "chunk_id", "bm25_score"))
+    known = index.postings.filter(F.col("term").isNotNull())
+    if is_small(terms, max_rows):
+        asked = F.broadcast(terms.select("term").distinct())
+        pairs = (known.join(asked, "term", "left_semi").repartition("chunk_id")
+                 .join(F.broadcast(terms), "term"))
+    elif is_small(known, max_rows):
+        pairs = terms.repartition("query_id").join(F.broadcast(known), "term")
+    else:
+        pairs = terms.join(known, "term")
+    return (pairs.groupBy("query_id", "chunk_id")
+            .agg(F.sum(_gain(index.avg_length)).alias("bm25_score")))
 
 
 def bm25_top(index: Index, queries: DataFrame, k: int = CANDIDATES,

@@ -412,12 +412,13 @@ def expected_sources(spark, sf):
     middle = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
     inner = (items.withColumn("t", tokens(F.col("query")))
              .select("query_id", F.explode(F.array_distinct(middle)).alias("term")))
-    counts = (held.join(F.broadcast(inner.select("term").distinct()), "term", "left_semi")
+    small = retrieval.bounded_broadcast
+    counts = (held.join(small(inner.select("term").distinct()), "term", "left_semi")
               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     rare = (inner.join(counts, "term").groupBy("query_id")
             .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    pairs = held.join(F.broadcast(rare), "term").select("query_id", "doc_id")
-    found = (pairs.join(docs, "doc_id").join(F.broadcast(items), "query_id")
+    pairs = held.join(small(rare), "term").select("query_id", "doc_id")
+    found = (pairs.join(docs, "doc_id").join(small(items), "query_id")
              .filter(F.contains("text", F.col("query")))
              .groupBy("query_id").agg(F.min("doc_id").alias("doc_id")))
     return items.join(found, "query_id").select(

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, DISCLAIMER, FEATURE_LABELS, FEATURES,
-                         GENERAL_RECOMMENDATIONS, HASH_DIMS, LIMIT_NO_MODEL, LIMIT_NO_RUNBOOK, MASKS,
-                         MAX_LOG_CHARS, MAX_LOG_LINES, NO_FACTORS_TEXT, NO_INCIDENT, NO_RISING_TEXT,
+                         GENERAL_RECOMMENDATIONS, HASH_DIMS, LIMIT_NO_RUNBOOK, MASKS,
+                         MAX_LOG_CHARS, MAX_LOG_LINES, NO_INCIDENT, NO_RISING_TEXT,
                          PLAN_AUTO, PLAN_HEAD, PLAN_TAIL, QUERY_FALLBACK, QUERY_HEAD, QUERY_HINTS,
                          REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SIGNAL_NAMES,
                          SIGNAL_QUERIES, SIGNALS, UNDETERMINED)

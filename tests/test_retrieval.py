@@ -151,6 +151,18 @@ def test_bm25_against_plain_python(spark):
     assert [r.chunk_id for r in short] == list(range(10)) and all(r.bm25_score == 0 for r in short)
 
 
+def test_bm25_placement_does_not_matter(spark, index):
+    """Few queries, many queries over a small corpus, and a plain join give the same scores."""
+    q = ask(spark, *[t for t in ("disk space volume", "safe mode", "fsck block") for _ in range(60)])
+    terms = retrieval.weighted_terms(index, q)
+    n_terms, n_post = terms.count(), index.postings.count()
+    assert n_terms > n_post
+    results = [sorted((r.query_id, r.chunk_id, round(r.bm25_score, 9))
+                      for r in retrieval.bm25_scores(index, terms, limit).collect())
+               for limit in (n_terms, n_post, 0)]
+    assert results[0] and results[0] == results[1] == results[2]
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "disk full disk"), (2, "disk full disk"), (3, "???")], "k long, t string")
     v = {r.k: np.array(r.vec) for r in retrieval.hash_embed(df, "k", "t").collect()}
