@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,42 +27,31 @@ class Cells:
 
     def __init__(self, rows: list[tuple[int, int, int, int, int]]):
         self.rows = sorted(rows)
-        self.total = sum(r[2] for r in self.rows)
+        self.bounds = [0, *accumulate(r[2] for r in self.rows)]
         self.largest = max((r[4] for r in self.rows), default=0)
 
-    def reach(self, capacity: int, shards: int, whole: bool) -> list[int] | None:
-        """Prefix positions where greedy filling ends each shard; None when `shards` don't suffice.
+    def ends(self, capacity: int, shards: int, whole: bool, known: bool = True) -> list[int]:
+        """Positions in the ordered bytes at which greedy filling ends each shard.
 
-        `whole`: a cell of several groups can't be cut (the true cuts lie at or beyond these);
-        otherwise it can be cut anywhere (the true cuts lie at or before these).
+        `whole`: a cell is never cut, so the cuts among single groups lie at these or beyond; else a
+        cell of several groups can be cut anywhere, and they lie at these or before. Without `known`,
+        a shard ends at most one largest group short of the capacity, also inside a cell.
         """
-        ends, pos, fill = [], 0, 0
-        for _, _, size, groups, largest in self.rows:
-            if largest > capacity or (whole and size > capacity):
-                return None
-            if fill + size <= capacity:
-                fill += size
-            elif whole or groups == 1:
-                ends.append(pos)
-                fill = size
-            else:
-                over = size - (capacity - fill)
-                ends.append(pos + size - over)
-                while over > capacity:
-                    over -= capacity
-                    ends.append(pos + size - over)
-                fill = over
-            pos += size
-            if len(ends) >= shards:
-                return None
-        return ends + [pos] * (shards - len(ends))
+        found, pos = [], 0
+        for _ in range(shards):
+            at = bisect_right(self.bounds, pos + capacity) - 1
+            inside = at < len(self.rows) and not whole and self.rows[at][3] > 1
+            pos = max(pos, pos + capacity if inside else self.bounds[at], 0 if known else pos + capacity - self.largest)
+            found.append(min(pos, self.bounds[-1]))
+        return found
 
     def capacity(self, shards: int, whole: bool) -> int:
-        """Smallest feasible capacity, by binary search."""
-        lo, hi = max(self.largest, -(-self.total // shards), 1), max(self.total, 1)
+        """Smallest capacity with which greedy filling places everything, by binary search."""
+        total = self.bounds[-1]
+        lo, hi = max(self.largest, -(-total // shards), 1), max(total, 1)
         while lo < hi:
             mid = (lo + hi) // 2
-            if self.reach(mid, shards, whole) is None:
+            if self.ends(mid, shards, whole)[-1] < total:
                 lo = mid + 1
             else:
                 hi = mid
@@ -67,34 +59,22 @@ class Cells:
 
     def open_cells(self, shards: int) -> list[tuple[int, int, int, int, int]]:
         """Cells of several groups within which a cut of the best partition may lie."""
-        low, high = self.capacity(shards, False), self.capacity(shards, True)
-        first = self.reach(low, shards, True)
-        last = self.reach(high, shards, False)
-        if first is None:  # `low` can't be filled with whole cells: only a bound from the right is known
-            first = [max(0, end - (i + 1) * (high - low) - self.widest()) for i, end in enumerate(last)]
-        spans = [(min(a, b), max(a, b)) for a, b in zip(first[:-1], last[:-1], strict=True)]
-        found, pos, at = [], 0, 0
-        for cell in self.rows:
-            end = pos + cell[2]
+        low = self.ends(self.capacity(shards, False), shards, True, known=False)
+        high = self.ends(self.capacity(shards, True), shards, False)
+        spans = list(zip(low[:-1], high[:-1], strict=True))
+        found, at = [], 0
+        for cell, pos, end in zip(self.rows, self.bounds, self.bounds[1:], strict=False):
             while at < len(spans) and spans[at][1] < pos:
                 at += 1
             if cell[3] > 1 and any(a < end and b > pos for a, b in spans[at:]):
                 found.append(cell)
-            pos = end
         return found
 
-    def widest(self) -> int:
-        return max((r[2] for r in self.rows), default=0)
-
     def cuts(self, shards: int) -> list[int]:
         """First keys of shards 1, 2, ... under the smallest feasible capacity."""
-        capacity, fill, keys = self.capacity(shards, True), 0, []
-        for key, _, size, _, _ in self.rows:
-            if fill + size > capacity and fill:
-                keys.append(key)
-                fill = 0
-            fill += size
-        return keys
+        places = dict(zip(self.bounds, [r[0] for r in self.rows], strict=False))
+        ends = self.ends(self.capacity(shards, True), shards, True)
+        return [places[e] for e in ends[:-1] if e in places and e < self.bounds[-1]]
 
 
 def _histogram(groups: DataFrame, bits: int) -> list[tuple[int, int, int, int, int]]:
@@ -104,18 +84,11 @@ def _histogram(groups: DataFrame, bits: int) -> list[tuple[int, int, int, int, i
     return [(r.cell << (KEY_BITS - bits), bits, r.b, r.n, r.m) for r in rows]
 
 
-def _ranges(cells, col: str) -> Column:
-    """Whether the key is in one of the cells; neighbouring cells are one range."""
-    spans: list[list[int]] = []
-    for key, bits, *_ in cells:
-        end = key + (1 << (KEY_BITS - bits))
-        if spans and spans[-1][1] == key:
-            spans[-1][1] = end
-        else:
-            spans.append([key, end])
+def _inside(cells, col: str) -> Column:
+    """Whether the key is in one of the cells."""
     test = F.lit(False)
-    for a, b in spans:
-        test = test | ((F.col(col) >= a) & (F.col(col) < b))
+    for bits in {c[1] for c in cells}:
+        test = test | F.shiftright(col, KEY_BITS - bits).isin([c[0] >> (KEY_BITS - bits) for c in cells if c[1] == bits])
     return test
 
 
@@ -142,9 +115,9 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
     cells = Cells(_histogram(rest, FIRST_BITS))
     while wanted := cells.open_cells(free):
         bits = min(KEY_BITS, wanted[0][1] + STEP_BITS)
-        wanted = [c for c in wanted if c[1] < bits]
-        finer = _histogram(rest.filter(_ranges(wanted, "group_key")), bits)
-        cells = Cells([c for c in cells.rows if c not in set(wanted)] + finer)
+        wanted = {c for c in wanted if c[1] < bits}
+        finer = _histogram(rest.filter(_inside(wanted, "group_key")), bits)
+        cells = Cells([c for c in cells.rows if c not in wanted] + finer)
     return alone, cells.cuts(free)
 
 
