@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, topk  # noqa: F401
+from . import decontamination, packing, sharding, topk  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
