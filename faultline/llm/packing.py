@@ -32,7 +32,7 @@ class WordIds:
     def of(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.split() if not any(c in t for c in ODD_SPACE) else [t] for t in texts]
         for words in split:
-            if new := list(set(words) - self.known.keys()):
+            if new := [w for w in set(words) if w not in self.known]:
                 if len(self.known) + len(new) > self.keep:
                     self.known, new = {}, list(set(words))
                 for at in range(0, len(new), 10_000):
