@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, secrets, sharding, topk  # noqa: F401
+from . import decontamination, language, packing, pii, secrets, sharding, topk  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
