@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +18,9 @@ from .common import materialize, query, slices, table
 
 SEQUENCE, END_ID = 2048, 1
 #: Mean number of documents in a group, and words whose ids a task keeps.
-GROUP_DOCS, CACHE_WORDS = 4_096, 400_000
+GROUP_DOCS, CACHE_WORDS = 4_096, 600_000
+#: A word of Latin letters, perhaps with marks behind: two units of the tokenizer, whatever stands around.
+UNITS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#$%&*]*)")
 #: White space for Python's split() that the tokenizer takes for ordinary characters.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -21,24 +28,51 @@ ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes; ids of words are kept.
 
-    The tokenizer never joins across white space, so a text's ids are those of its words in a row.
+    The tokenizer never joins across white space, so a text's ids are those of its words in a row. A
+    word of letters with marks behind is two of its units, and case is folded, so the ids of the two
+    are kept once for all words that share them.
     """
 
     def __init__(self, path: str, keep: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
+        self.tokenizer, self.keep, self.known, self.units = Tokenizer.from_file(path), keep, {}, {"": b""}
+        self.ends = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
+
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 10_000):
+            for e in self.tokenizer.encode_batch_fast(texts[at:at + 10_000], add_special_tokens=False):
+                yield e.ids
+
+    def _learn_units(self, units: list[str]) -> None:
+        """Many units in one text, told apart by the tokens that end one; singly where that fails."""
+        parts = [units[at:at + 200] for at in range(0, len(units), 200)]
+        for part, ids in zip(parts, self._encode([" ".join(p) for p in parts]), strict=True):
+            cuts = [4 * i for i, t in enumerate(ids, 1) if t in self.ends]
+            if len(cuts) == len(part):
+                flat = array("I", ids).tobytes()
+                self.units.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            else:
+                self.units.update(zip(part, [array("I", e).tobytes() for e in self._encode(part)], strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        fits = [(w, UNITS.fullmatch(w)) for w in words]
+        split = [w for w, m in fits if m]
+        letters, marks = [m[1].lower() for _, m in fits if m], [m[2] for _, m in fits if m]
+        self._learn_units([u for u in {*letters, *marks} if u not in self.units])
+        ids = self.units.__getitem__
+        self.known.update(zip(split, map(add, map(ids, letters), map(ids, marks)), strict=True))
+        others = [w for w, m in fits if not m]
+        self.known.update(zip(others, [array("I", e).tobytes() for e in self._encode(others)], strict=True))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.split() if not any(c in t for c in ODD_SPACE) else [t] for t in texts]
+        every = set().union(*split)
+        if len(self.known) + len(every) > self.keep:
+            self.known, self.units = {}, {"": b""}
+        self._learn([w for w in every if w not in self.known])
         for words in split:
-            if new := [w for w in set(words) if w not in self.known]:
-                if len(self.known) + len(new) > self.keep:
-                    self.known, new = {}, list(set(words))
-                for at in range(0, len(new), 10_000):
-                    part = new[at:at + 10_000]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
             yield b"".join(map(self.known.__getitem__, words))
 
 
@@ -78,18 +112,22 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, place = WordIds(path), 0
-        for batch in slices(batches):
-            tokens, crcs, salts = [], [], []
-            for ids in ids_of.of(batch.column("text").to_pylist()):
-                view = memoryview(ids + last)
-                tokens.append(len(view) // 4)
-                crcs.append([zlib.crc32(view[at:at + 4 * sequence]) for at in range(0, len(view), 4 * sequence)])
-                salts.append(place)
-                place += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(salts, pa.int64())],
-                ["key", "doc_tokens", "crcs", "salt"])
+        gc.disable()  # a great many small objects, none in cycles
+        try:
+            ids_of, place = WordIds(path), 0
+            for batch in slices(batches):
+                tokens, crcs, salts = [], [], []
+                for ids in ids_of.of(batch.column("text").to_pylist()):
+                    view = memoryview(ids + last)
+                    tokens.append(len(view) // 4)
+                    crcs.append([zlib.crc32(view[at:at + 4 * sequence]) for at in range(0, len(view), 4 * sequence)])
+                    salts.append(place)
+                    place += 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(salts, pa.int64())],
+                    ["key", "doc_tokens", "crcs", "salt"])
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(encode, f"key {kind}, doc_tokens bigint, crcs array<bigint>, salt bigint").withColumnRenamed("key", key)
 

@@ -16,7 +16,7 @@ def test_word_ids_equal_whole_text_ids():
 
     whole = Tokenizer.from_file(PATH)
     rng = random.Random(1)
-    alphabet = ["the", "Don't", "x1y22", "Ünï", "ΣΑΣ", "é", "<|endoftext|>", "!!", "日本", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c",
+    alphabet = ["the", "Don't", "x1y22", "Ünï", "ΣΑΣ", "é", "<|endoftext|>", "!!", "日本", "Gefäß,", "ÇA!?", "A", "don't.", "it'S", "end.\u0301", "ÿ", "Ω;", "%%%", "İ", "$$$,", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c",
                 "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", " ", "　",
                 "​", "﻿", "\x00", "́"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(600)]
