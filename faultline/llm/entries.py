@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, packing, pii, secrets, sharding, topk, urls  # noqa: F401
+from . import decontamination, jaccard, language, packing, pii, quality, secrets, sharding, topk, urls  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
