@@ -188,26 +188,26 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fdr:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", fdr: float = FDR) -> DataFrame:
-    """`docs` with every secret in `text` replaced by its kind in brackets and `length` set anew."""
+    """`docs` with every secret in `text` replaced by its kind in brackets, and `length` set anew there."""
     found = materialize(scanned(docs.select(F.lit(0).alias("key"), text), "key", text).drop("base"), "secret-scan")
     limits = thresholds(found, fdr)
-    at = docs.columns.index(text)
+    at, sized = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else -1
 
     def mask(batches):
         for batch in slices(batches):
-            texts = batch.column(at).to_pylist()
-            new = []
-            for t, (base, candidates, _) in zip(texts, scan(texts), strict=True):
+            texts, cols = batch.column(at).to_pylist(), list(batch.columns)
+            sizes = cols[sized].to_pylist()
+            for i, (t, (base, candidates, _)) in enumerate(zip(texts, scan(texts), strict=True)):
                 spans = [(s["start"], s["end"], s["kind"]) for s in base] + [(a, b, "random") for a, b, s, d in candidates if d <= limits[s]]
-                new.append(masked(t, spans) if spans else t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    out = docs.mapInArrow(mask, docs.schema)
-    if length not in docs.columns:
-        return out
-    n = F.when(F.col(text).isNull(), F.col(length)).otherwise(F.length(text))
-    return out.withColumn(length, n.cast(docs.schema[length].dataType))
+                if spans:
+                    texts[i] = masked(t, spans)
+                    sizes[i] = len(texts[i])
+            if sized >= 0:
+                cols[sized] = pa.array(sizes, cols[sized].type)
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+
+    return docs.mapInArrow(mask, docs.schema)
 
 
 @query

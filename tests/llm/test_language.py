@@ -50,9 +50,9 @@ def test_backoff_takes_the_longest_known_grams():
     totals = {"word": {"a": 1, "b": 1}, "3": {"a": 1, "b": 1}, "1": {"a": 1, "b": 1}}
     model = language.Model(["a", "b"], totals, {"word": {"one": {"a": 1}}, "3": {"^tw": {"b": 1}}, "1": {"t": {"a": 1}}})
     scorer = language.Scorer(model)
-    assert scorer.predict("one")[0] == "a"
-    assert scorer.predict("two")[0] == "b"  # by ^tw, although t speaks for a
-    assert scorer.predict("tx")[0] == "a"
+    assert scorer.predict(["one"])[0][0] == "a"
+    assert scorer.predict(["two"])[0][0] == "b"  # by ^tw, although t speaks for a
+    assert scorer.predict(["tx"])[0][0] == "a"
 
 
 def test_counts_are_of_all_texts(spark):
