@@ -64,20 +64,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.filter("u <> m").select("u", "m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """node, root for every node of `edges` (a, b: integers): root is the smallest node reachable.
 
-    Edges are contracted within tasks first; then alternating large and small stars. Nothing of a
-    component meets in one task but the minimum of a node's neighbours.
+    Edges are contracted within tasks of some `local` edges. What one such task can hold is done then;
+    more edges go through alternating large and small stars until nothing changes. Nothing of a
+    component meets in one task but `local` edges and the minimum of a node's neighbours.
     """
     now = materialize(edges.filter("a <> b").mapInArrow(contract, EDGES), "cc-edges")
     seen = None
     while True:
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if state == seen or state[0] == 0:
+        count, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        if count <= local:
+            now = materialize(now.coalesce(1).mapInArrow(contract, EDGES), "cc-edges")
             break
-        seen = state
-        # The same edges again mean that each node points at its root.
+        if (count, total) == seen:  # the same edges again: each node points at its root
+            break
+        seen = count, total
         stars = _star(_star(now, True).distinct(), False).distinct()
-        now = materialize(stars.mapInArrow(contract, EDGES).distinct(), "cc-edges")
+        now = materialize(stars.coalesce(-(-count // local)).mapInArrow(contract, EDGES).distinct(), "cc-edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
