@@ -16,14 +16,14 @@ from .shingles import shingle_sets, signature
 PERCENT = 85
 #: Shingles counted together by a task; a shingle met in so many sets in all is frequent; so many of the
 #: most frequent ones are known to every task. This only orders the shingles and decides no answer.
-COUNTED, FREQUENT, KNOWN = 4_000_000, 64, 200_000
+COUNTED, FREQUENT, KNOWN = 4_000_000, 16, 500_000
 #: Index entries a task hands on at a time, and entries of a bucket of lists, on average.
 HANDED, BUCKET = 500_000, 400_000
 #: Lists up to this length are paired without blocks.
 SHORT = 24
 #: While all pairs of not yet connected sets in the lists are more than so many times the entries, lists
 #: are compared with so many leaders each, and at most so often; then all pairs are compared.
-DENSE, LEADERS, LIMITED_ROUNDS = 8, 4, 3
+DENSE, LEADERS, LIMITED_ROUNDS = 1, 4, 3
 #: Sets compared with one leader at a time, and texts in one verification task, on average.
 GROUP, TASK_TEXTS = 256, 1_500
 ENTRY = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
