@@ -26,6 +26,8 @@ SHORT = 24
 DENSE, LEADERS, LIMITED_ROUNDS = 1, 4, 3
 #: Sets compared with one leader at a time, and texts in one verification task, on average.
 GROUP, TASK_TEXTS = 256, 1_500
+#: Slots of the filter that tells which texts are wanted: 16 to 32 for each, but 2 to the power of 27 (16 MB) at most.
+LEAST_SLOTS, MOST_SLOTS = 16, 27
 ENTRY = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -292,6 +294,29 @@ def verify(group: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
+def probably(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """Rows (doc_id, text) whose doc_id is in `wanted` (id), and a few others, picked where they are read.
+
+    A one-hash filter of bounded size goes to all tasks, so that few of the other texts are shuffled.
+    """
+    slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (16 * count).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(slots - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    words = wanted.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table_ = np.zeros(slots // 64, np.int64)
+    table_[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table_.tobytes())
+
+    def pick(batches):
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            known = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(known.astype(bool)))
+
+    return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(pick, "doc_id bigint, text string")
+
+
 def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what `pairs` connects: exact, by the texts."""
     one = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
@@ -301,8 +326,9 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     parts = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     members = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
     wanted = materialize(members.union(members.select("a", "part", F.col("a").alias("id")).distinct()), "join-wanted")
-    tasks = max(1, -(-wanted.count() // TASK_TEXTS))
-    rows = wanted.join(texts, wanted["id"] == texts["doc_id"]).select("a", "part", "id", "text", F.pmod(F.xxhash64("a", "part"), F.lit(tasks)).alias("task"))
+    count = wanted.count()
+    tasks, texts = max(1, -(-count // TASK_TEXTS)), probably(texts, wanted, count)
+    rows = wanted.join(texts.hint("merge"), wanted["id"] == texts["doc_id"]).select("a", "part", "id", "text", F.pmod(F.xxhash64("a", "part"), F.lit(tasks)).alias("task"))
     return materialize(rows.groupBy("task").applyInArrow(lambda g: verify(g, percent), EDGES), "join-links")
 
 
