@@ -16,10 +16,10 @@ from .common import materialize, query, slices, table
 UNKNOWN = "und"
 #: The model: so many of the most frequent words, and n-grams of each length, of all languages together.
 #: It is this large at most, whatever the corpus; the counts cover every training text.
-MODEL_WORDS, MODEL_GRAMS = 60_000, 20_000
+MODEL_WORDS, MODEL_GRAMS = 100_000, 20_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Words counted before a task hands on its counts; words of unseen scores that a task keeps.
-HELD_WORDS, HELD_SCORES = 400_000, 200_000
+HELD_WORDS, HELD_SCORES = 400_000, 400_000
 #: Evidence of a text counts like that of so many words at most, so that the score is not always 1.
 EVIDENCE = 8.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,79 +65,96 @@ def count_words(batches: Iterator) -> Iterator:
 
 
 def count_grams(batches: Iterator) -> Iterator:
-    """(lang, n-gram with its length in front, count) from counted words."""
+    """(lang, n-gram, count) from counted words; an n-gram's length is its n."""
+    held: dict[str, dict[str, int]] = {}
     for batch in slices(batches, 20_000):
-        held: Counter = Counter()
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "unit", "n")), strict=True):
+            counts = held.setdefault(lang, {})
             for size in NGRAMS:
                 for gram in grams_of(word, size):
-                    held[lang, f"{size}{gram}"] += n
-        yield _pairs(held)
+                    counts[gram] = counts.get(gram, 0) + n
+        if sum(map(len, held.values())) > HELD_WORDS:
+            yield _pairs({(lang, g): n for lang, c in held.items() for g, n in c.items()})
+            held = {}
+    yield _pairs({(lang, g): n for lang, c in held.items() for g, n in c.items()})
 
 
 class Model:
     """Per-language log frequencies of words and n-grams, smoothed over the languages."""
 
     def __init__(self, langs: list[str], totals: dict[str, dict[str, int]], units: dict[str, dict[str, dict[str, int]]]):
-        self.langs, self.tables = langs, {}
-        for table_name, found in units.items():
-            whole = np.array([totals[table_name].get(x, 0) for x in langs], float)
-            rows = {}
-            for unit, by_lang in found.items():
-                counts = np.array([by_lang.get(x, 0) for x in langs], float)
-                rate = (counts + 0.05) / (whole + 0.05 * (len(found) + 1))
-                rows[unit] = np.log(rate) - np.log(rate).mean()
-            self.tables[table_name] = rows
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the word's known n-grams of the greatest length that has any."""
+        self.langs, self.index, self.rows = langs, {}, {}
+        for kind, found in units.items():
+            whole = np.array([totals[kind].get(x, 0) for x in langs], float)
+            counts = np.array([[by_lang.get(x, 0) for x in langs] for by_lang in found.values()], float).reshape(len(found), len(langs))
+            rates = np.log((counts + 0.05) / (whole + 0.05 * (len(found) + 1)))
+            self.index[kind] = {u: i for i, u in enumerate(found)}
+            self.rows[kind] = rates - (rates.mean(axis=1, keepdims=True) if len(langs) else 0)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean over its known n-grams of the greatest length that has any."""
+        out, left = np.zeros((len(words), len(self.langs))), range(len(words))
         for n in NGRAMS:
-            known = self.tables.get(str(n), {})
-            rows = [known[g] for g in grams_of(word, n) if g in known]
-            if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(len(self.langs))
+            index = self.index.get(str(n), {})
+            flat, sizes, met, missed = [], [], [], []
+            for i in left:
+                known = [index[g] for g in grams_of(words[i], n) if g in index]
+                if known:
+                    flat += known
+                    sizes.append(len(known))
+                    met.append(i)
+                else:
+                    missed.append(i)
+            if met:
+                starts = np.cumsum(sizes) - sizes
+                out[met] = np.add.reduceat(self.rows[str(n)][flat], starts, axis=0) / np.array(sizes)[:, None]
+            left = missed
+        return out
 
 
 class Scorer:
     """Predictions by a model, with a table of the scores of words already met."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, list(model.tables["word"])
-        self.index = {w: i for i, w in enumerate(self.words)}
-        self.base = len(self.words)
+        self.model, self.base = model, len(model.index["word"])
         self.rows = np.zeros((self.base + HELD_SCORES, len(model.langs)))
-        if self.base:
-            self.rows[:self.base] = [model.tables["word"][w] for w in self.words]
-        self.used = self.base
-
-    def _learn(self, new: list[str]) -> None:
-        for w in new:
-            if self.used == len(self.rows):
-                self.index = {w: i for i, w in enumerate(self.words)}
-                self.used = self.base
-            self.rows[self.used] = self.model.unseen(w)
-            self.index[w] = self.used
-            self.used += 1
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        total, at = np.zeros(len(self.model.langs)), 0
-        for at in range(0, len(words), HELD_SCORES // 2):
-            part = words[at:at + HELD_SCORES // 2]
-            new = [w for w in set(part) if w not in self.index]
-            if self.used + len(new) > len(self.rows):
-                self.index, self.used = {w: i for i, w in enumerate(self.words)}, self.base
-                new = [w for w in set(part) if w not in self.index]
-            self._learn(new)
-            total += self.rows[np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        logit = total / len(words) * min(len(words), EVIDENCE)
-        chance = np.exp(logit - logit.max())
-        chance /= chance.sum()
-        best = int(np.argmax(np.round(chance, 12)))
-        return self.model.langs[best], float(round(chance[best], 6))
+        self.rows[:self.base] = model.rows["word"]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.used = dict(self.model.index["word"]), self.base
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.index]
+        if self.used + len(new) > len(self.rows):
+            self.clear()
+            new = [w for w in words if w not in self.index]
+        self.rows[self.used:self.used + len(new)] = self.model.unseen(new)
+        self.index.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        split, out = list(map(words_of, texts)), []
+        every = set().union(*split)
+        together = len(every) <= HELD_SCORES // 2
+        if together:
+            self.learn(every)
+        for words in split:
+            if not words or not self.model.langs:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = np.zeros(len(self.model.langs))
+            for at in range(0, len(words), HELD_SCORES // 2):
+                part = words[at:at + HELD_SCORES // 2]
+                if not together:
+                    self.learn(set(part))
+                total += self.rows[np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))].sum(axis=0)
+            logit = total / len(words) * min(len(words), EVIDENCE)
+            chance = np.exp(logit - logit.max())
+            chance /= chance.sum()
+            best = int(np.argmax(np.round(chance, 12)))
+            out.append((self.model.langs[best], float(round(chance[best], 6))))
+        return out
 
 
 def train(labelled: DataFrame) -> Model:
@@ -147,8 +164,7 @@ def train(labelled: DataFrame) -> Model:
     counted = materialize(spread.groupBy("lang", "unit").agg(F.sum("n").alias("n")), "lang-words")
     grams = counted.mapInArrow(count_grams, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "lang-grams")
-    kinds = {"word": counted.withColumn("kind", F.lit("word")),
-             **{str(n): grams.filter(F.col("unit").startswith(str(n))).select("lang", F.substring("unit", 2, 1_000_000).alias("unit"), "n") for n in NGRAMS}}
+    kinds = {"word": counted, **{str(n): grams.filter(F.length("unit") == n) for n in NGRAMS}}
     langs: set[str] = set()
     totals: dict[str, dict[str, int]] = {}
     units: dict[str, dict[str, dict[str, int]]] = {}
@@ -174,7 +190,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predict(batches):
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            found = scorer.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
 
@@ -203,7 +219,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, text: str = "text") ->
     def keep(batches):
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            found = scorer.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
