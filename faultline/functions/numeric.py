@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 def round_even(col: Column, digits: int) -> Column:
     """Round the exact binary value of a double; only true ties go to the even neighbour.
 
-    The value is cut at bit 26 so that both products below are exact, which makes the comparison
-    with the half-way point exact too (for magnitudes up to about a million).
+    The product with the power of ten is taken together with its rounding error (the value is split
+    so that both partial products are exact), so the comparison with the half-way point is exact. From
+    a product of 2^53 on, neighbouring doubles are further apart than the last digit: the value stays.
     """
-    scale, cut = float(10 ** digits), float(2 ** 26)
-    high = F.floor(col * F.lit(cut)).cast("double") / F.lit(cut)
-    low = col - high
-    base = F.floor(col * F.lit(scale)).cast("double")
-    past = (high * F.lit(scale) - (base + 0.5)) + low * F.lit(scale)
+    if not 0 <= digits <= 11:
+        raise ValueError("round_even takes 0 to 11 digits.")
+    scale = F.lit(float(10 ** digits))
+    product = col * scale
+    wide = col * F.lit(134217729.0)
+    high = wide - (wide - col)
+    error = (high * scale - product) + (col - high) * scale
+    base = F.floor(product).cast("double")
+    past = ((product - base) - 0.5) + error
     up = (past > 0) | ((past == 0) & (base % 2 != 0))
-    return F.when(col.isNotNull(), (base + up.cast("int")) / F.lit(scale))
+    near = (base + up.cast("int")) / scale
+    return F.when(F.abs(product) < 2.0 ** 53, near).otherwise(col)
 
 
 def finite(col: Column) -> Column:
@@ -43,8 +49,8 @@ def fixed(col: Column, digits: int) -> Column:
 
 
 def percent(col: Column) -> Column:
-    """Fraction as a whole percentage, as text."""
-    return F.format_string("%d%%", F.rint(round_even(col, 2) * 100.0).cast("long"))
+    """Fraction as a whole percentage, as text; a tie goes to the even one."""
+    return F.format_string("%d%%", F.rint(col * 100.0).cast("long"))
 
 
 def plain(col: Column) -> Column:

@@ -5,36 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from ..sources.materialize import materialize
+
+#: Rows of one key range, on average.
+RANGE_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
-def _bounds(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """One row: up to `buckets` keys, spread evenly over the distinct keys by their hash.
+def _in_ranges(df: DataFrame, key: str, range_rows: int) -> DataFrame:
+    """Rows with `_bucket`, the number of their key range; as many ranges as the row count asks for.
 
-    A pure function of the set of keys, so every evaluation (and every retry) gives the same bounds.
+    The placed rows are written once, so every later step and every retry sees the same ranges.
     """
-    hashed = F.xxhash64(F.col(key))
-    sample = (df.groupBy(F.pmod(hashed, F.lit(buckets)).alias("_h"))
-              .agg(F.max_by(F.col(key), F.xxhash64(F.col(key), F.lit(1))).alias("_k")))
-    return sample.agg(F.sort_array(F.collect_list("_k")).alias("bounds"))
-
-
-def _with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    bounds = _bounds(df.select(key), key, buckets).scalar()
-    return (df.withColumn("_b", bounds)
-            .withColumn("_bucket", F.size(F.filter("_b", lambda b: b <= F.col(key))))
-            .drop("_b"))
+    ranges = -(-df.count() // range_rows)
+    if ranges <= 1:
+        return df.withColumn("_bucket", F.lit(0))
+    return materialize(df.repartitionByRange(ranges, key).withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def running_totals(df: DataFrame, key: str, sums: dict[str, str], descending: bool = False,
-                   buckets: int = BUCKETS) -> DataFrame:
+                   range_rows: int = RANGE_ROWS) -> DataFrame:
     """Inclusive running sums of columns in the order of `key`, which must be unique and non-null.
 
-    Rows are split into key ranges; ranges are summed (a table of at most `buckets` + 1 rows), and
-    each range is windowed on its own with the total of the ranges before it added.
+    Rows are placed by key range; ranges are summed (a row per `range_rows` rows), and each range is
+    windowed on its own with the total of the ranges before it added. `df` is read more than once;
+    pass a written table when it is costly.
     """
-    df = _with_bucket(df, key, buckets)
+    df = _in_ranges(df, key, range_rows)
 
     def direction(col: str) -> Column:
         return F.desc(col) if descending else F.asc(col)
@@ -45,7 +42,7 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, str], descending: bo
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
     inside = (Window.partitionBy("_bucket").orderBy(direction(key))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (df.join(F.broadcast(offsets), "_bucket")
+    return (df.join(offsets, "_bucket")
             .withColumns({out: F.col(f"_o_{c}") + F.sum(c).over(inside) for c, out in sums.items()})
             .drop("_bucket", *[f"_o_{c}" for c in sums]))
 
@@ -66,20 +63,18 @@ def number_by_day(df: DataFrame, ts: str, out: str) -> DataFrame:
             .drop("_day", "_o"))
 
 
-def number_rows(df: DataFrame, order: list[str], out: str, buckets: int = BUCKETS) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Dense numbers 0.. over all rows in the order of `order`, which must identify a row.
 
     Ranges are cut over the whole key, so one document or source with a large share of all rows is
-    spread over many ranges. `df` is read three times (bounds, counts, rows), the first two times only
-    its key columns; pass a written table when it is costly.
+    spread over many ranges. `df` is read more than once; pass a written table when it is costly.
     """
-    keyed = df.withColumn("_key", F.struct(*order))
-    keyed = _with_bucket(keyed, "_key", buckets)
+    keyed = _in_ranges(df.withColumn("_key", F.struct(*order)), "_key", range_rows)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
     starts = counts.select("_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_bucket").orderBy("_key")
-    return (keyed.join(F.broadcast(starts), "_bucket")
+    return (keyed.join(starts, "_bucket")
             .withColumn(out, (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
             .drop("_start", "_bucket", "_key"))
 

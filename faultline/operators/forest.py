@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (CONTAMINATION, EULER_GAMMA, FEATURES, MIN_SCALE, MIN_TRAIN_ROWS, N_TREES,
                          SEED, SUBSAMPLE)
+from ..functions.numeric import round_even
 from ..functions.ordering import exact_quantile
 from ..schemas import NODE_SCHEMA
 from ..sources.materialize import materialize
@@ -104,11 +105,6 @@ def decisions(a: dict[str, np.ndarray], subsample: int, offset: float, x: np.nda
     return -np.power(2.0, -path_lengths(a, x) / average_path(subsample)) - offset
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions for per-row numeric work; small tables would otherwise sit in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def _stack(cols: tuple[pd.Series, ...]) -> np.ndarray:
     return np.column_stack([c.to_numpy(dtype=float) for c in cols])
 
@@ -163,7 +159,7 @@ def train(df: DataFrame, key: str = "time_window", contamination: float | str =
              .sort_values(["tree_id", "node_id"], ignore_index=True))
 
     raw_model = Forest(nodes, columns, medians, 0.0, 1.0, psi)
-    raw = materialize(spread(data).select(decision_column(raw_model, df).alias("raw")), "decisions")
+    raw = materialize(data.select(decision_column(raw_model, df).alias("raw")), "decisions")
     if contamination == "auto":
         offset = F.lit(-0.5)
     else:
@@ -206,7 +202,7 @@ def filled(model: Forest, df: DataFrame) -> DataFrame:
 
 def predict(model: Forest, df: DataFrame) -> DataFrame:
     """Input rows with decision, anomaly_score and is_anomaly (M3, M4, M7)."""
-    scored = spread(filled(model, df)).withColumn("decision", decision_column(model, df))
+    scored = filled(model, df).withColumn("decision", decision_column(model, df))
     return scored.withColumns({"anomaly_score": score_expr(F.col("decision"), model.scale),
                                "is_anomaly": F.col("decision") < 0})
 
@@ -219,7 +215,7 @@ def max_score(model: Forest, df: DataFrame) -> DataFrame:
 def verdicts(model: Forest, incidents: DataFrame) -> DataFrame:
     """(incident_no, incident_id, anomaly_score to 4 places, is_anomaly) of every incident (M8)."""
     return predict(model, incidents).select(
-        "incident_no", "incident_id", F.round("anomaly_score", 4).alias("anomaly_score"), "is_anomaly")
+        "incident_no", "incident_id", round_even(F.col("anomaly_score"), 4).alias("anomaly_score"), "is_anomaly")
 
 
 def top_anomalies(model: Forest, features: DataFrame, n: int = 10) -> DataFrame:

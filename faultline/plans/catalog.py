@@ -20,6 +20,7 @@ from . import investigate as inv
 from . import prepare
 
 WINDOW = "10min"
+STREAM_DAYS = 6
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -299,6 +300,14 @@ def similar_incidents(spark, sf):
         "incident_no", "rank", "similar_id", "similarity", "window_start", "n_logs", "error_count")
 
 
+@query
+def similar_incidents_blocks(spark, sf):
+    """The same with few probes at a time, in many passes over the incidents."""
+    inc = materialize(numbered(spark, sf), "incidents")
+    return neighbours.similar_incidents(inc, block=512).select(
+        "incident_no", "rank", "similar_id", "similarity", "window_start", "n_logs", "error_count")
+
+
 # ------------------------------------------------------------------ text
 @query
 def clean_text(spark, sf):
@@ -374,6 +383,16 @@ def dense_knn(spark, sf):
                        F.round(F.col("distance") * F.col("distance"), 6).alias("distance"))
 
 
+@query
+def dense_knn_blocks(spark, sf):
+    """The same with few probes at a time."""
+    e = src.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    near = neighbours.nearest(e, e, 3, block=100)
+    return near.select("query_id", "rank", "point_id",
+                       F.round(F.col("distance") * F.col("distance"), 6).alias("distance"))
+
+
 def _hybrid(spark, sf, **options):
     queries = benchmark_queries(spark, sf)
     return retrieval.retrieve(document_index(spark, sf), queries, **options), queries
@@ -404,23 +423,27 @@ def expected_sources(spark, sf):
     """Least document holding each benchmark text.
 
     A holder contains every inner token of the item, so documents meet items on the item's rarest
-    inner token and only those pairs are searched.
+    inner token and only those pairs are searched. Items without inner token (of one or two tokens, a
+    few short texts) are looked for in every document, in one pass.
     """
     docs = src.table(spark, sf, "documents").select("doc_id", "text")
     held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    items = benchmark_queries(spark, sf)
+    items = benchmark_queries(spark, sf).withColumn("t", tokens(F.col("query")))
     middle = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
-    inner = (items.withColumn("t", tokens(F.col("query")))
-             .select("query_id", F.explode(F.array_distinct(middle)).alias("term")))
+    inner = items.select("query_id", F.explode(F.array_distinct(middle)).alias("term"))
     small = retrieval.bounded_broadcast
     counts = (held.join(small(inner.select("term").distinct()), "term", "left_semi")
               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     rare = (inner.join(counts, "term").groupBy("query_id")
             .agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     pairs = held.join(small(rare), "term").select("query_id", "doc_id")
-    found = (pairs.join(docs, "doc_id").join(small(items), "query_id")
-             .filter(F.contains("text", F.col("query")))
-             .groupBy("query_id").agg(F.min("doc_id").alias("doc_id")))
+    found = (pairs.join(docs, "doc_id").join(small(items.drop("t")), "query_id")
+             .filter(F.contains("text", F.col("query"))).select("query_id", "doc_id"))
+    short = items.filter(F.size("t") < 3).agg(F.collect_list(F.struct("query_id", "query"))).scalar()
+    holders = F.filter("short", lambda i: F.contains(F.col("text"), i["query"]))
+    found = found.union(docs.withColumn("short", short).select(F.explode(holders).alias("i"), "doc_id")
+                        .select("i.query_id", "doc_id"))
+    found = found.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
     return items.join(found, "query_id").select(
         "query_id", "query", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
         .alias("expected_source"))
@@ -714,20 +737,25 @@ def label_coverage(spark, sf):
 def stream_window_features(spark, sf):
     """The window features from a stream over files of lines, run until all files are read.
 
-    Two lines far in the future push the watermark past every real window, which closes them.
+    The lines of each of a few spans of days are one file, and files arrive in time order, so a delay
+    of some hours is enough. Two lines far in the future push the watermark past every real window,
+    which closes them.
     """
     files, out, state = (scratch_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
     if files is None:
         raise ValueError("Streaming needs a shared folder: set spark.checkpoint.dir.")
-    lines = raw(spark, sf).filter(F.col("pos") < 2)
-    lines.write.parquet(files)
+    lines = materialize(raw(spark, sf), "stream-lines")
+    days = sorted(r[0] for r in lines.select("Date").distinct().collect())
+    for start in range(0, len(days), STREAM_DAYS):
+        span = lines.filter(F.col("Date").isin(days[start:start + STREAM_DAYS]))
+        span.coalesce(1).write.mode("append").parquet(files)
     for minute in ("00", "01"):
         late = lines.limit(1).withColumns({
             "LineId": F.lit(-1 - int(minute)).cast("long"), "Date": F.lit("350101"),
             "Time": F.lit(f"00{minute}00")})
         late.coalesce(1).write.mode("append").parquet(files)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 8).parquet(files)
-    run = (stream_features(stream, WINDOW, "60 days").writeStream.format("parquet").option("path", out)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    run = (stream_features(stream, WINDOW, "6 hours").writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start())
     run.awaitTermination()
     return spark.read.parquet(out).select(

@@ -32,21 +32,16 @@ def mask(x: str) -> str:
 
 
 def rnd(x: str, digits: int) -> str:
-    """Round the exact binary value; only true ties go to the even neighbour."""
-    s = float(10 ** digits)
-    high = f"(floor(({x})*67108864.0::DOUBLE)/67108864.0::DOUBLE)"
-    base = f"floor(({x})*{s}::DOUBLE)"
-    past = f"(({high}*{s}::DOUBLE - ({base}+0.5::DOUBLE)) + (({x})-{high})*{s}::DOUBLE)"
-    return (f"(({base} + CASE WHEN {past} > 0 OR ({past} = 0 AND {base}::BIGINT % 2 <> 0) THEN 1 ELSE 0 END)"
-            f"/{s}::DOUBLE)")
+    """Through the correctly rounded decimal text."""
+    return f"format('{{:.{digits}f}}', ({x})::DOUBLE)::DOUBLE"
 
 
 def fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', {rnd(x, digits)})"
+    return f"format('{{:.{digits}f}}', ({x})::DOUBLE)"
 
 
 def percent(x: str) -> str:
-    return f"(round({rnd(x, 2)}*100)::BIGINT::VARCHAR || '%')"
+    return f"format('{{:.0f}}%', ({x})::DOUBLE * 100)"
 
 
 def r6(cols: list[str]) -> str:
@@ -737,4 +732,6 @@ cm AS (SELECT count(*)::BIGINT AS n_samples, sum(label)::BIGINT AS n_positive,
     sql["label_coverage"] = feats + (
         "SELECT count(*)::BIGINT AS n_windows, count(*) FILTER (WHERE minute(time_window) % 20 = 0)::BIGINT AS n_labelled, "
         "round(avg((minute(time_window) % 20 = 0)::INT), 6) AS coverage FROM feats")
+    sql["similar_incidents_blocks"] = sql["similar_incidents"]
+    sql["dense_knn_blocks"] = sql["dense_knn"]
     return sql

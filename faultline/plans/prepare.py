@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, CONTAMINATION, RETRIEVE_TOP_K
 from ..operators import metrics
@@ -27,8 +26,7 @@ def prepare(spark: SparkSession, raw_dir: str, out: str, window: str,
     report = require_valid(raw, strict)
     lines = preprocess_logs(raw, window)
     base = out.rstrip("/")
-    (lines.drop("pos").withColumn("date", F.to_date("Timestamp")).write.mode("overwrite")
-     .partitionBy("date").parquet(f"{base}/logs"))
+    store.write_lines(lines.drop("pos"), out)
     stored = spark.read.parquet(f"{base}/logs").drop("date")
     create_features(stored).write.mode("overwrite").parquet(f"{base}/features")
     return *store.read_prepared(spark, out), report

@@ -56,4 +56,4 @@ def load_eval_cases(spark: SparkSession, path: str | None = None) -> DataFrame:
         raise ValueError(f"{path} must contain a non-empty JSON list of cases.")
     if figures["bad"]:
         raise ValueError(f"{figures['bad']} item(s) in {path} lack 'query' or 'expected_source'.")
-    return cases.withColumn("query_id", F.xxhash64("query", "expected_source"))
+    return cases.withColumn("query_id", F.monotonically_increasing_id())

@@ -14,11 +14,10 @@ from ..schemas import NODE_SCHEMA
 MODEL_FIELDS = {"columns", "medians", "offset", "scale", "subsample", "params"}
 
 
-def write_prepared(lines: DataFrame, features: DataFrame, out: str) -> None:
-    """Clean lines by date and window features."""
-    (lines.withColumn("date", F.to_date("Timestamp")).write.mode("overwrite")
+def write_lines(lines: DataFrame, out: str) -> None:
+    """Clean lines by date (S7); rows of a date are brought together, a busy date in several files."""
+    (lines.withColumn("date", F.to_date("Timestamp")).hint("rebalance", "date").write.mode("overwrite")
      .partitionBy("date").parquet(f"{out.rstrip('/')}/logs"))
-    features.write.mode("overwrite").parquet(f"{out.rstrip('/')}/features")
 
 
 def read_prepared(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
@@ -81,4 +80,4 @@ def write_report(report: DataFrame, path: str) -> None:
     """Report rows as JSON, non-finite numbers as null."""
     from ..functions.numeric import finite
     clean = report.withColumns({c: finite(F.col(c)) for c, t in report.dtypes if t == "double"})
-    clean.coalesce(1).write.mode("overwrite").json(path)
+    clean.write.mode("overwrite").json(path)

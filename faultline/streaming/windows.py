@@ -19,9 +19,11 @@ from ..operators.forest import Forest, predict
 def stream_features(lines: DataFrame, window: str, delay: str) -> DataFrame:
     """Window features of a stream of structured lines, append mode (ST1).
 
-    Repeated LineIds are dropped within the watermark. No set of values is ever collected: the first
-    stateful step keeps one count per (window, kind, value), the second counts those rows per window.
-    Both state stores are spread by key, so one busy window does not become one large state row.
+    Of the lines with one LineId in a window, the one of the lowest `pos` counts, whenever it arrives
+    before the window closes; lines later than `delay` are dropped. No set of values is ever collected:
+    the first stateful step keeps one row per (window, LineId), the second one count per (window, kind,
+    value), the third counts those rows per window. All state is spread by key, so one busy window
+    does not become one large state row, and it is dropped when its window closes.
     """
     width = window_interval(window)
     rows = (lines.transform(lambda d: drop_blank_rows(d, "pos"))
@@ -29,14 +31,17 @@ def stream_features(lines: DataFrame, window: str, delay: str) -> DataFrame:
             .transform(extract_log_features)
             .filter(F.col("Timestamp").isNotNull())
             .withColumn("event_time", F.col("Timestamp").cast("timestamp"))
-            .withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["LineId"]))
+            .withWatermark("event_time", delay))
+    flags = [flag for _, flag in _SUMS]
+    wanted = F.struct(*flags, *[F.col(c).cast("string").alias(name) for name, c in _DISTINCTS])
+    first = (rows.groupBy(F.window("event_time", width).alias("w"), "LineId")
+             .agg(F.min_by(wanted, "pos").alias("line"))
+             .select(F.window_time("w").alias("event_time"), "line.*"))
     # One row per value kind: a line counts once ('line') and offers three values to be distinct.
     kinds = F.explode(F.array(
         F.struct(F.lit("line").alias("kind"), F.lit(None).cast("string").alias("value")),
-        *[F.struct(F.lit(name).alias("kind"), F.col(c).cast("string").alias("value"))
-          for name, c in _DISTINCTS]))
-    long = rows.select("event_time", *[flag for _, flag in _SUMS], kinds.alias("k"))
+        *[F.struct(F.lit(name).alias("kind"), F.col(name).alias("value")) for name, _ in _DISTINCTS]))
+    long = first.select("event_time", *flags, kinds.alias("k"))
     is_line = F.col("k.kind") == "line"
     per_value = (long.groupBy(F.window("event_time", width).alias("w"), F.col("k.kind").alias("kind"),
                               F.col("k.value").alias("value"))

@@ -17,6 +17,23 @@ def test_round_even_matches_python(spark):
         assert [got[i] for i in range(len(values))] == [round(v, d) for v in values]
 
 
+def test_round_even_at_every_magnitude(spark):
+    rng = random.Random(2)
+    values = [2962215.29435, 1e300, -1e17, 4503599627370497.5, 9007199254740993.0, 0.5, 1.5, 2.5, 1e-300, float("inf")]
+    values += [round(rng.uniform(-1, 1) * 10 ** rng.randrange(1, 16), 5) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, float("nan")), (-2, None)], "i int, v double")
+    for d in (0, 2, 4):
+        got = {r.i: r.x for r in df.select("i", numeric.round_even(F.col("v"), d).alias("x")).collect()}
+        assert [got[i] for i in range(len(values))] == [round(v, d) if d else float(round(v, 0)) for v in values]
+        assert got[-1] != got[-1] and got[-2] is None
+
+
+def test_percent_of_all_small_ratios(spark):
+    ratios = [(e, n) for n in range(1, 401) for e in range(n + 1)]
+    df = spark.createDataFrame(ratios, "e int, n int").select("e", "n", numeric.percent(F.col("e") / F.col("n")).alias("p"))
+    assert all(r.p == f"{r.e / r.n:.0%}" for r in df.collect())
+
+
 def test_mask_clean_tokens(spark):
     row = spark.createDataFrame([(
         "blk_-123 at 10.0.0.1:50010 took 123456 and 12",
