@@ -18,6 +18,8 @@ QUERY_BLOCK = 2_048
 CHUNK, BINS = 2_048, 1_024
 SCALE = 256
 EXACT_FLOAT = 2.0**53
+#: Scores lie between -MOST and MOST.
+MOST = 2**61
 
 
 def usable(vector: Column) -> Column:
@@ -156,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = QUERY_B
     Rows without id, and vectors that are null, empty or hold a null or non-finite component, take no
     part. A query meets candidates of its own length only. Fewer candidates than k give all of them;
     ties go to the smaller id; repeated candidate rows are candidates each, a repeated query id is
-    asked once, with its least vector. An empty table gives no rows; other columns are ignored.
+    asked once, with its least vector. Scores beyond 61 bits aren't told apart. An empty table gives no rows; other columns are ignored.
     Work is queries x rows, in blocks of `block` queries that are sent to where the rows are; what
     leaves a task is a few counts, and then at most k rows, per query.
     """
@@ -169,7 +171,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = QUERY_B
     stats = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"),
                      F.sum(F.col("asked").cast("bigint")).alias("n")).first()
     passes = -(-(stats.n or 0) // block)
-    bound = int((stats.norm or 0) * (1 + 1e-9)) + 1  # |inner product| <= largest squared norm
+    bound = min(MOST, int((stats.norm or 0) * (1 + 1e-9)) + 1)  # |inner product| <= largest squared norm
     found = []
     for p in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).orderBy("vec_id").collect()
