@@ -16,9 +16,9 @@ from .shingles import shingle_sets, signature
 PERCENT = 85
 #: Shingles counted together by a task; a shingle met in so many sets in all is frequent; so many of the
 #: most frequent ones are known to every task. This only orders the shingles and decides no answer.
-COUNTED, FREQUENT, KNOWN = 4_000_000, 16, 500_000
+COUNTED, FREQUENT, KNOWN = 2_000_000, 16, 500_000
 #: Index entries a task hands on at a time, and entries of a bucket of lists, on average.
-HANDED, BUCKET = 500_000, 400_000
+HANDED, BUCKET = 250_000, 250_000
 #: Lists up to this length are paired without blocks.
 SHORT = 24
 #: While all pairs of not yet connected sets in the lists are more than so many times the entries, lists
