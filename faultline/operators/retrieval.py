@@ -17,6 +17,7 @@ from ..sources.materialize import materialize
 from .neighbours import nearest
 
 MAX_BROADCAST_ROWS = 200_000
+TERM_BUCKETS = 64
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -140,6 +141,19 @@ def _gain(avg_length: float) -> Column:
     return F.col("qtf") * F.col("idf") * (tf * (BM25_K1 + 1)) / (tf + norm)
 
 
+def term_bucket(term: Column) -> Column:
+    """Storage bucket of a term; a stored index keeps the postings of each bucket in a folder."""
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def asked_postings(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings that can hold the asked terms: of a stored index, only their buckets are read."""
+    if "bucket" not in index.postings.columns:
+        return index.postings
+    wanted = [r[0] for r in terms.select(term_bucket(F.col("term"))).distinct().collect()]
+    return index.postings.filter(F.col("bucket").isin(wanted)).drop("bucket")
+
+
 def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf, idf) of the terms the corpus knows, written once."""
     return materialize(query_terms(queries).join(index.terms.drop("df"), "term"), "query-terms")
@@ -153,7 +167,7 @@ def bm25_scores(index: Index, terms: DataFrame, max_rows: int = MAX_BROADCAST_RO
     The sums then need no further exchange, and only the k best per task leave it (see `bm25_top`).
     With both sides large, Spark joins on the term and splits skewed terms.
     """
-    known = index.postings.filter(F.col("term").isNotNull())
+    known = asked_postings(index, terms).filter(F.col("term").isNotNull())
     if is_small(terms, max_rows):
         asked = F.broadcast(terms.select("term").distinct())
         pairs = (known.join(asked, "term", "left_semi").repartition("chunk_id")
@@ -243,7 +257,7 @@ def retrieve(index: Index, queries: DataFrame, top_k: int = RETRIEVE_TOP_K,
 
     # BM25 of chunks only the dense side proposed: their postings against the query's own terms.
     lone = dense.join(sparse, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id")
-    extra = (index.postings.join(bounded_broadcast(lone), "chunk_id").join(terms, ["query_id", "term"])
+    extra = (asked_postings(index, terms).join(bounded_broadcast(lone), "chunk_id").join(terms, ["query_id", "term"])
              .groupBy("query_id", "chunk_id").agg(F.sum(_gain(index.avg_length)).alias("_extra")))
     fused = (fuse(dense, sparse).join(extra, ["query_id", "chunk_id"], "left")
              .withColumn("bm25_score", F.coalesce("bm25_score", "_extra", F.lit(0.0))))
@@ -252,8 +266,10 @@ def retrieve(index: Index, queries: DataFrame, top_k: int = RETRIEVE_TOP_K,
     order = Window.partitionBy("query_id").orderBy(
         F.desc(F.round("rrf_score", 12)), F.asc_nulls_last("dense_rank"), "sparse_rank")
     best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    # At most `top_k` rows per query: where that is few, the texts stay where they are.
+    best = materialize(best, "best")
     texts = index.chunks.select("chunk_id", "source", "content")
-    return best.join(texts, "chunk_id").select(
+    return texts.join(bounded_broadcast(best), "chunk_id").select(
         "query_id", "rank", "source", "chunk_id", "dense_distance", "bm25_score", "rrf_score",
         "content")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.forest import Forest
-from ..operators.retrieval import Embedder, Index, corpus_stats, hash_embed
+from ..operators.retrieval import Embedder, Index, corpus_stats, hash_embed, term_bucket
 from ..schemas import NODE_SCHEMA
 
 MODEL_FIELDS = {"columns", "medians", "offset", "scale", "subsample", "params"}
@@ -55,11 +55,12 @@ def load_model(spark: SparkSession, path: str) -> Forest:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Index tables (S9); postings are clustered by term, so asked terms read few row groups."""
+    """Index tables (S9); postings lie in folders by term bucket, so asked terms read few of them."""
     base = path.rstrip("/")
     index.chunks.write.mode("overwrite").parquet(f"{base}/chunks")
-    (index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-     .write.mode("overwrite").parquet(f"{base}/postings"))
+    (index.postings.withColumn("bucket", term_bucket(F.coalesce("term", F.lit(""))))
+     .repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings"))
     index.terms.write.mode("overwrite").parquet(f"{base}/terms")
     index.vectors.write.mode("overwrite").parquet(f"{base}/vectors")
 
