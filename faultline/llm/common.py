@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.materialize import materialize
 
@@ -32,4 +33,27 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
             yield batch.slice(start, rows)
 
 
-__all__ = ["QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize"]
+def most_frequent(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows with the largest values of `by` (1 or more), `most` at most; of about equal values all or none.
+
+    A histogram of the logarithm, of some thousand cells at any size, gives the least value kept.
+    """
+    cell = F.floor(F.log2(F.col(by)) * 64).cast("int")
+    cells = sorted(((r.cell, r["count"]) for r in rows.groupBy(cell.alias("cell")).count().collect()), reverse=True)
+    least, kept = None, 0
+    for value, count in cells:
+        kept += count
+        if kept > most:
+            break
+        least = value
+    return rows.filter(F.lit(False)) if least is None else rows.filter(cell >= least)
+
+
+def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows of smallest hash of `key`; rows that can hardly be among them are left out first."""
+    share = min(1.0, 2 * (most + 100) / max(1, rows.count()))
+    likely = rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
+
+
+__all__ = ["most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, slices, table
+from .common import materialize, most_frequent, query, slices, table
 
 UNKNOWN = "und"
 #: The model: so many of the most frequent words, and n-grams of each length, of all languages together.
@@ -82,11 +82,10 @@ def count_grams(batches: Iterator) -> Iterator:
 class Model:
     """Per-language log frequencies of words and n-grams, smoothed over the languages."""
 
-    def __init__(self, langs: list[str], totals: dict[str, dict[str, int]], units: dict[str, dict[str, dict[str, int]]]):
+    def __init__(self, langs: list[str], totals: dict[str, dict[str, int]], units: dict[str, tuple[list[str], np.ndarray]]):
         self.langs, self.index, self.rows = langs, {}, {}
-        for kind, found in units.items():
+        for kind, (found, counts) in units.items():
             whole = np.array([totals[kind].get(x, 0) for x in langs], float)
-            counts = np.array([[by_lang.get(x, 0) for x in langs] for by_lang in found.values()], float).reshape(len(found), len(langs))
             rates = np.log((counts + 0.05) / (whole + 0.05 * (len(found) + 1)))
             self.index[kind] = {u: i for i, u in enumerate(found)}
             self.rows[kind] = rates - (rates.mean(axis=1, keepdims=True) if len(langs) else 0)
@@ -165,16 +164,16 @@ def train(labelled: DataFrame) -> Model:
     grams = counted.mapInArrow(count_grams, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "lang-grams")
     kinds = {"word": counted, **{str(n): grams.filter(F.length("unit") == n) for n in NGRAMS}}
-    langs: set[str] = set()
-    totals: dict[str, dict[str, int]] = {}
-    units: dict[str, dict[str, dict[str, int]]] = {}
+    totals = {k: {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()} for k, found in kinds.items()}
+    langs = sorted(set().union(*totals.values()))
+    units: dict[str, tuple[list[str], np.ndarray]] = {}
     for kind, found in kinds.items():
-        totals[kind] = {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        langs |= set(totals[kind])
-        best = found.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        most = MODEL_WORDS if kind == "word" else MODEL_GRAMS
-        units[kind] = {r.unit: r["by"] for r in best.orderBy(F.desc("all"), "unit").limit(most).collect()}
-    return Model(sorted(langs), totals, units)
+        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+        every = found.groupBy("unit").agg(F.sum("n").alias("all"), *by_lang)
+        rows = most_frequent(every, "all", MODEL_WORDS if kind == "word" else MODEL_GRAMS).drop("all").toArrow().sort_by("unit")
+        counts = [rows[f"n{i}"].to_numpy() for i in range(len(langs))]
+        units[kind] = rows["unit"].to_pylist(), np.array(counts, float).T.reshape(len(rows), len(langs))
+    return Model(langs, totals, units)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from faultline.llm import language
 
 DDL = "doc_id bigint, text string, lang string, score string, held_out string"
@@ -48,7 +50,7 @@ def test_nothing_to_learn_from(spark):
 
 def test_backoff_takes_the_longest_known_grams():
     totals = {"word": {"a": 1, "b": 1}, "3": {"a": 1, "b": 1}, "1": {"a": 1, "b": 1}}
-    model = language.Model(["a", "b"], totals, {"word": {"one": {"a": 1}}, "3": {"^tw": {"b": 1}}, "1": {"t": {"a": 1}}})
+    model = language.Model(["a", "b"], totals, {"word": (["one"], np.array([[1.0, 0]])), "3": (["^tw"], np.array([[0, 1.0]])), "1": (["t"], np.array([[1.0, 0]]))})
     scorer = language.Scorer(model)
     assert scorer.predict(["one"])[0][0] == "a"
     assert scorer.predict(["two"])[0][0] == "b"  # by ^tw, although t speaks for a
