@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, materialize, query, table
+from .common import ORACLE, materialize, most_frequent, query, table
 from .components import EDGES, Forest, components
 from .shingles import shingle_sets, signature
 
@@ -350,7 +350,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = materialize(rows.mapInArrow(profile, PROFILE), "join-profile")
     texts = found.filter("token IS NULL")
     many = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
-    many = many.orderBy(F.desc("times"), "token").limit(KNOWN).toArrow().sort_by("token")
+    many = most_frequent(many, "times", KNOWN).toArrow().sort_by("token")
     tokens, times = many["token"].to_numpy(), many["times"].to_numpy()
     known = docs.sparkSession.sparkContext.broadcast((tokens, times))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, slices, table
+from .common import materialize, query, slices, smallest_hashes, table
 from .language import words_of
 
 #: Labelled and unlabelled documents that the classifiers are fitted on, at most: those of smallest hash.
@@ -154,9 +154,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")).alias("good"))
-    marked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    marked = smallest_hashes(good, "doc_id", LABELLED)
     free = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(good, "doc_id", "left_anti")
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL).withColumn("good", F.lit(None).cast("double"))
+    free = smallest_hashes(free, "doc_id", POOL).withColumn("good", F.lit(None).cast("double"))
     picked = materialize(marked.union(free), "quality-picked")  # LABELLED + POOL rows at most
     return materialize(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "good", "text", "source", "lang", "n_chars"), "quality-sample")
 
