@@ -16,8 +16,8 @@ from ..operators import metrics, neighbours, retrieval, validate
 from ..sources import tables as src
 from ..sources.materialize import materialize, scratch_path
 from ..streaming.windows import stream_features
+from . import fixed_forest, prepare
 from . import investigate as inv
-from . import prepare
 
 WINDOW = "10min"
 STREAM_DAYS = 6
@@ -760,3 +760,6 @@ def stream_window_features(spark, sf):
     run.awaitTermination()
     return spark.read.parquet(out).select(
         "time_window", *[r6(c) if c.endswith("_ratio") else F.col(c) for c in FEATURES])
+
+
+QUERIES |= fixed_forest.queries(window_table, numbered, r6)

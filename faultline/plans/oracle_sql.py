@@ -9,6 +9,7 @@ from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, DISCLAIMER, FEAT
                          REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SIGNAL_NAMES,
                          SIGNAL_QUERIES, SIGNALS, UNDETERMINED)
 from ..sources.tables import RUNBOOKS
+from . import fixed_forest
 
 NL = "chr(10)"
 
@@ -734,4 +735,5 @@ cm AS (SELECT count(*)::BIGINT AS n_samples, sum(label)::BIGINT AS n_positive,
         "round(avg((minute(time_window) % 20 = 0)::INT), 6) AS coverage FROM feats")
     sql["similar_incidents_blocks"] = sql["similar_incidents"]
     sql["dense_knn_blocks"] = sql["dense_knn"]
+    sql |= fixed_forest.oracle(feats, ctes(*BASE))
     return sql
