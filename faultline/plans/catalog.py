@@ -16,7 +16,7 @@ from ..operators import metrics, neighbours, retrieval, validate
 from ..sources import tables as src
 from ..sources.materialize import materialize, scratch_path
 from ..streaming.windows import stream_features
-from . import fixed_forest, prepare
+from . import fixed_forest, prepare, round_trips
 from . import investigate as inv
 
 WINDOW = "10min"
@@ -763,3 +763,4 @@ def stream_window_features(spark, sf):
 
 
 QUERIES |= fixed_forest.queries(window_table, numbered, r6)
+QUERIES |= round_trips.queries(window_table, document_index, benchmark_queries)

@@ -9,7 +9,7 @@ from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, DISCLAIMER, FEAT
                          REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SIGNAL_NAMES,
                          SIGNAL_QUERIES, SIGNALS, UNDETERMINED)
 from ..sources.tables import RUNBOOKS
-from . import fixed_forest
+from . import fixed_forest, round_trips
 
 NL = "chr(10)"
 
@@ -736,4 +736,5 @@ cm AS (SELECT count(*)::BIGINT AS n_samples, sum(label)::BIGINT AS n_positive,
     sql["similar_incidents_blocks"] = sql["similar_incidents"]
     sql["dense_knn_blocks"] = sql["dense_knn"]
     sql |= fixed_forest.oracle(feats, ctes(*BASE))
+    sql |= round_trips.oracle(sql, ctes(LOG))
     return sql

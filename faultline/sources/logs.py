@@ -50,14 +50,18 @@ def _valid_text(df: DataFrame) -> DataFrame:
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header, columns matched by name.
 
-    Extra columns pass through as text. Only the header line is read on the driver.
+    Extra columns pass through as text. Only the header line is read on the driver. Where a quoted
+    field holds a line break (a line with an odd number of quotes shows it), records span lines, and a
+    file is then read by one task; other files stay splittable.
     """
     _check(spark, path)
     names = spark.read.option("header", True).csv(path).columns
     typed = {f.name: f for f in schema.fields}
     given = T.StructType([typed.get(n, T.StructField(n, T.StringType())) for n in names])
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    spans = not spark.read.text(path).filter(quotes % 2 != 0).isEmpty()
     return (spark.read.schema(given).option("header", True).option("mode", "PERMISSIVE")
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("multiLine", spans).csv(path))
 
 
 def load_structured_logs(spark: SparkSession, path: str) -> DataFrame:
