@@ -16,7 +16,7 @@ from .shingles import shingle_sets, signature
 PERCENT = 85
 #: Shingles counted together by a task; a shingle met in so many sets in all is frequent; so many of the
 #: most frequent ones are known to every task. This only orders the shingles and decides no answer.
-COUNTED, FREQUENT, KNOWN = 2_000_000, 16, 500_000
+COUNTED, FREQUENT, KNOWN = 1_000_000, 16, 500_000
 #: Index entries a task hands on at a time, and entries of a bucket of lists, on average.
 HANDED, BUCKET = 250_000, 250_000
 #: Lists up to this length are paired without blocks.
@@ -25,7 +25,7 @@ SHORT = 24
 #: are compared with so many leaders each, and at most so often; then all pairs are compared.
 DENSE, LEADERS, LIMITED_ROUNDS = 1, 4, 3
 #: Sets compared with one leader at a time, and texts in one verification task, on average.
-GROUP, TASK_TEXTS = 256, 1_500
+GROUP, TASK_TEXTS = 256, 800
 #: Slots of the filter that tells which texts are wanted: 16 to 32 for each, but 2 to the power of 27 (16 MB) at most.
 LEAST_SLOTS, MOST_SLOTS = 16, 27
 ENTRY = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])

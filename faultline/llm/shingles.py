@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WORDS = 4
 #: Bytes hashed at a time; a longer text is cut at white space, and its words put together again.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint64)
