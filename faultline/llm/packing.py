@@ -34,21 +34,26 @@ class WordIds:
     """
 
     def __init__(self, path: str, keep: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         self.tokenizer, self.keep, self.known, self.units = Tokenizer.from_file(path), keep, {}, {"": b""}
+        # Units are lower case and parted by blanks already: the same model without the work before it.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
 
-    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def _encode(self, texts: list[str], tokenizer=None) -> Iterator[list[int]]:
         for at in range(0, len(texts), 10_000):
-            for e in self.tokenizer.encode_batch_fast(texts[at:at + 10_000], add_special_tokens=False):
+            for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[at:at + 10_000], add_special_tokens=False):
                 yield e.ids
 
     def _learn_units(self, units: list[str]) -> None:
         """Many units in one text, told apart by the tokens that end one; singly where that fails."""
         parts = [units[at:at + 200] for at in range(0, len(units), 200)]
-        for part, ids in zip(parts, self._encode([" ".join(p) for p in parts]), strict=True):
+        for part, ids in zip(parts, self._encode([" ".join(p) for p in parts], self.plain), strict=True):
             cuts = [4 * i for i, t in enumerate(ids, 1) if t in self.ends]
             if len(cuts) == len(part):
                 flat = array("I", ids).tobytes()
