@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
             yield batch.slice(start, rows)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run within send `rows` rows at a time to Python at most; the session's setting returns after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def most_frequent(rows: DataFrame, by: str, most: int) -> DataFrame:
     """Rows with the largest values of `by` (1 or more), `most` at most; of about equal values all or none.
 
@@ -56,4 +69,4 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
 
 
-__all__ = ["most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize"]
+__all__ = ["batch_rows", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize"]

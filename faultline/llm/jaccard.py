@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, materialize, most_frequent, query, table
+from .common import ORACLE, batch_rows, materialize, most_frequent, query, table
 from .components import EDGES, Forest, components
 from .shingles import shingle_sets, signature
 
@@ -26,6 +26,8 @@ SHORT = 24
 DENSE, LEADERS, LIMITED_ROUNDS = 1, 4, 3
 #: Sets compared with one leader at a time, and texts in one verification task, on average.
 GROUP, TASK_TEXTS = 256, 800
+#: Rows sent to Python at a time: some megabytes of texts.
+BATCH_ROWS = 1_500
 #: Slots of the filter that tells which texts are wanted: 16 to 32 for each, but 2 to the power of 27 (16 MB) at most.
 LEAST_SLOTS, MOST_SLOTS = 16, 27
 ENTRY = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -333,6 +335,12 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
 
 
 def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The components of similarity_join(), run with few texts at a time between Spark and Python."""
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return similarity_join(docs, percent)
+
+
+def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id: integer, text).
 
     Two documents link when their sets of four-word shingles overlap in `percent` of their union or
