@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialize, query, slices, table
 
 SEQUENCE, END_ID = 2048, 1
-#: Mean number of documents in a group, and words whose ids a task keeps.
-GROUP_DOCS, CACHE_WORDS = 4_096, 600_000
+#: Mean number of documents in a group, and words whose ids a worker keeps.
+GROUP_DOCS, CACHE_WORDS = 4_096, 1_000_000
 #: A word of Latin letters, perhaps with marks behind: two units of the tokenizer, whatever stands around.
 UNITS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#$%&*]*)")
 #: White space for Python's split() that the tokenizer takes for ordinary characters.
@@ -81,6 +81,20 @@ class WordIds:
             yield b"".join(map(self.known.__getitem__, words))
 
 
+def kept_word_ids(path: str) -> WordIds:
+    """What this worker process has learnt of the tokenizer: it serves many tasks one after the other.
+
+    Kept beside the tokenizer library, because the functions of a job come anew with each task.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_word_ids_by_path", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """(bin, offset) of each item: the largest first, each into the first bin with room.
 
@@ -119,7 +133,7 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # a great many small objects, none in cycles
         try:
-            ids_of, place = WordIds(path), 0
+            ids_of, place = kept_word_ids(path), 0
             for batch in slices(batches):
                 tokens, crcs, salts = [], [], []
                 for ids in ids_of.of(batch.column("text").to_pylist()):
