@@ -89,9 +89,13 @@ def labelled_report(df: DataFrame, label: str = "label") -> DataFrame:
                           "pr_auc": F.col("_r.pr_auc")}).drop("_r"))
 
 
-def unsupervised_summary(df: DataFrame, score: str = "anomaly_score",
-                         flag: str = "is_anomaly") -> DataFrame:
-    """Row count, anomaly rate, and mean, 95th percentile and maximum of the score."""
+def unsupervised_summary(df: DataFrame, score: str = "anomaly_score", flag: str = "is_anomaly",
+                         contamination: float | str | None = None) -> DataFrame:
+    """Row count, anomaly rate, and mean, 95th percentile and maximum of the score.
+
+    `contamination` is the setting the detector was trained with, passed on as text.
+    """
+    setting = None if contamination is None else str(contamination)
     df = materialize(df.select(score, flag), "scored")
     p95 = exact_quantile(df, [score], 0.95).select(F.col(score)).scalar()
     return df.agg(
@@ -99,7 +103,8 @@ def unsupervised_summary(df: DataFrame, score: str = "anomaly_score",
         F.avg(F.col(flag).cast("int").cast("double")).alias("anomaly_rate"),
         F.avg(score).alias("score_mean"), F.max(score).alias("score_max"),
     ).withColumn("score_p95", p95).select(
-        "n_samples", "anomaly_rate", "score_mean", "score_p95", "score_max")
+        F.lit("unsupervised").alias("mode"), "n_samples", "anomaly_rate", "score_mean", "score_p95", "score_max",
+        F.lit(setting).cast("string").alias("contamination_setting"))
 
 
 # ------------------------------------------------------------------ synthetic anomalies
@@ -192,12 +197,18 @@ def combined_report(**parts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ retrieval
 def retrieval_cases(hits: DataFrame, cases: DataFrame) -> DataFrame:
-    """First rank of the expected source per case; a case without hits is a miss."""
+    """First rank of the expected source per case, and the sources retrieved in rank order.
+
+    A case without hits is a miss with an empty list.
+    """
     found = (hits.join(cases.select("query_id", "expected_source"), "query_id")
              .filter(F.col("source") == F.col("expected_source"))
              .groupBy("query_id").agg(F.min("rank").cast("int").alias("first_rank")))
-    out = cases.join(found, "query_id", "left")
+    listed = hits.groupBy("query_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda h: h["source"]).alias("retrieved_sources"))
+    out = cases.join(found, "query_id", "left").join(listed, "query_id", "left")
     return out.withColumns({
+        "retrieved_sources": F.coalesce("retrieved_sources", F.array().cast("array<string>")),
         "hit_at_1": F.coalesce(F.col("first_rank") == 1, F.lit(False)),
         "hit_at_k": F.col("first_rank").isNotNull(),
         "reciprocal_rank": F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))})

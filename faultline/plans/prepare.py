@@ -38,7 +38,7 @@ def train_model(spark: SparkSession, features_path: str, model_path: str, window
     table = prepare_training_data(spark.read.parquet(features_path), window)
     model = train(table, contamination=contamination)
     store.save_model(spark, model, model_path)
-    return model, metrics.unsupervised_summary(predict(model, table))
+    return model, metrics.unsupervised_summary(predict(model, table), contamination=contamination)
 
 
 def index_documents(spark: SparkSession, folder: str, out: str, size: int = CHUNK_SIZE,
@@ -56,7 +56,8 @@ def evaluate_detector(model: Forest, table: DataFrame, labels: DataFrame | None
                       top_k: int | None = None) -> DataFrame:
     """Unsupervised, synthetic and (with labels) labelled sections as (section, metric, value)."""
     parts = {
-        "unsupervised": metrics.unsupervised_summary(predict(model, table)),
+        "unsupervised": metrics.unsupervised_summary(
+            predict(model, table), contamination=model.params.get("contamination")),
         "synthetic": metrics.synthetic_report(
             predict(model, metrics.inject_synthetic(table, key, factor=factor)), top_k),
     }
