@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 EDGES = "a bigint, b bigint"
-#: Edges that a task contracts at a time before anything is shuffled.
+#: Nodes that a task holds at a time while it contracts edges.
 LOCAL_EDGES = 500_000
 
 
@@ -36,8 +36,8 @@ class Forest:
         return a != b
 
 
-def contract(batches: Iterator) -> Iterator:
-    """Edges of a task as stars around the smallest node of what they connect."""
+def contract(batches: Iterator, most: int) -> Iterator:
+    """Edges of a task as stars around the smallest node of what they connect; nodes beyond `most` start anew."""
     forest = Forest()
 
     def stars() -> pa.RecordBatch:
@@ -47,7 +47,7 @@ def contract(batches: Iterator) -> Iterator:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-        if len(forest.up) > LOCAL_EDGES:
+        if len(forest.up) > most:
             yield stars()
             forest.up.clear()
     yield stars()
@@ -67,20 +67,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """node, root for every node of `edges` (a, b: integers): root is the smallest node reachable.
 
-    Edges are contracted within tasks of some `local` edges. What one such task can hold is done then;
-    more edges go through alternating large and small stars until nothing changes. Nothing of a
-    component meets in one task but `local` edges and the minimum of a node's neighbours.
+    Edges are contracted within tasks, some `local` nodes at a time. Half as many edges have no more nodes
+    and are done in one task then; more go through alternating large and small stars until nothing
+    changes. Nothing of a component meets in one task but `local` edges and the minimum of a node's
+    neighbours.
     """
-    now = materialize(edges.filter("a <> b").mapInArrow(contract, EDGES), "cc-edges")
+    def contracted(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(lambda batches: contract(batches, local), EDGES)
+
+    now = materialize(contracted(edges.filter("a <> b")), "cc-edges")
     seen = None
     while True:
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if count <= local:
-            now = materialize(now.coalesce(1).mapInArrow(contract, EDGES), "cc-edges")
+        if 2 * count <= local:
+            now = materialize(contracted(now.coalesce(1)), "cc-edges")
             break
         if (count, total) == seen:  # the same edges again: each node points at its root
             break
         seen = count, total
         stars = _star(_star(now, True).distinct(), False).distinct()
-        now = materialize(stars.coalesce(-(-count // local)).mapInArrow(contract, EDGES).distinct(), "cc-edges")
+        now = materialize(contracted(stars.coalesce(-(-count // local))).distinct(), "cc-edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from faultline.llm import components, jaccard, shingles
+from faultline.llm import common, components, jaccard, shingles
 from test_pipeline import shingles as plain_shingles
 
 DDL = "doc_id bigint, text string, n string, rep string, token string, component_id string"
@@ -80,6 +80,17 @@ def test_components_by_stars_and_in_one_task(spark):
         assert all(got.get(x, x) == r for x, r in want.items())
 
 
+def test_components_of_more_nodes_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", 8)
+    edges = [(9, 1), *((20 + i, 21 + i) for i in range(0, 12, 2)), (9, 2)]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartitionByRange(2, "b")
+    with common.batch_rows(spark, 1):
+        for local in (1, 4, 8, 16):
+            got = components.components(frame, local).collect()
+            assert sorted((r.node, r.root) for r in got if r.node != r.root) == [(2, 1), (9, 1), *((21 + i, 20 + i) for i in range(0, 12, 2))]
+            assert len({r.node for r in got}) == len(got)
+
+
 def test_sets_of_a_long_text_equal_those_of_a_short_piece(monkeypatch):
     rng = random.Random(53)
     text = " ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(800)) + "  "
