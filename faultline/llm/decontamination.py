@@ -136,10 +136,11 @@ def passage_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` (doc_id, text, ...) without any benchmark window; repeated doc_ids go together."""
-    bad = passage_report(find_passages(docs, benchmark)).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", table_windows: int = TABLE_WINDOWS) -> DataFrame:
+    """Rows of `docs` without any benchmark window in `text`, each row judged by itself and in place."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), text)
+    clean = find_passages(whole, benchmark, "row", text, table_windows=table_windows).filter(F.size("hits") == 0)
+    return clean.select("row.*")
 
 
 @query

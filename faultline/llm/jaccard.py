@@ -411,10 +411,17 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest doc_id; rows without doc_id stay."""
-    found = similarity_components(docs, percent)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one row of each component: that of the smallest doc_id, one without doc_id at last.
+
+    Each row is a document of its own here, also where doc_id is null or repeated.
+    """
+    own = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "join-rows")
+    found = similarity_components(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), percent)
+    found = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id"), "join-found")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    first = found.join(own.select("row_id", "row.doc_id"), "row_id").groupBy("component_id").agg(F.min_by("row_id", order).alias("row_id"))
+    gone = materialize(found.join(first.select("row_id"), "row_id", "left_anti").select("row_id"), "join-gone")
+    return own.join(gone, "row_id", "left_anti").select("row.*")
 
 
 @query

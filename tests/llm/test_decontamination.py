@@ -60,3 +60,14 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "some words", "", "")], DOCS)
     assert dc.passage_report(dc.find_passages(none_d, none_b)).collect() == []
     assert [r.n_hit for r in dc.passage_report(dc.find_passages(one, none_b)).collect()] == [0]
+
+
+def test_rows_are_dropped_by_themselves(spark):
+    b = spark.createDataFrame([(1, "one two three", "w"), (2, "four five", "w")], BENCH)
+    rows = [(None, "say one two three", "x", "y"), (None, "clean", None, "y"), (7, "four five six", "x", None), (7, "clean too", "x", "y"),
+            (7, "clean too", "x", "y"), (8, None, None, None)]
+    d = spark.createDataFrame(rows, DOCS)
+    for per_table in (dc.TABLE_WINDOWS, 1):
+        got = dc.drop_contaminated(d, b, table_windows=per_table)
+        assert got.columns == d.columns and got.dtypes == d.dtypes
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if "clean" in (r[1] or "clean")), key=str)

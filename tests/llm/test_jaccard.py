@@ -67,6 +67,17 @@ def test_repeated_null_and_empty(spark):
     assert jaccard.similarity_components(empty).collect() == [] and jaccard.keep_one(empty).collect() == []
 
 
+def test_one_row_stays_of_copies_with_null_and_repeated_ids(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    rows = [(None, text), (None, text + " more"), (None, other), (5, other), (5, other), (5, "of the same id"), (9, third), (4, third), (None, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, *"nrtc") for i, t in rows], DDL).repartition(3)
+    got = jaccard.keep_one(frame)
+    assert got.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(got) == 6 and {(5, other), (5, "of the same id"), (4, third), (None, None), (None, "")} <= set(got)
+    assert sum(i is None and (t or "").startswith(text) for i, t in got) == 1
+
+
 def test_components_by_stars_and_in_one_task(spark):
     rng = random.Random(52)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(1, 90)]
