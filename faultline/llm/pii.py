@@ -43,6 +43,8 @@ AGAINST = ("version", "isbn", "issn", "order", "invoice", "ticket", "build", "re
 NEAR = 40
 LABELERS = ("pattern", "check", "gazetteer", "cue", "against", "edges")
 ACCEPT = 0.8
+#: Candidates of a kind count as so many beside the smoothing of the EM, whatever their number.
+EVIDENCE = 30.0
 
 
 def luhn(digits: str) -> bool:
@@ -175,21 +177,24 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) ->
 
 
 def fit_classifier(features: list[str], counts: np.ndarray) -> dict[str, float]:
-    """Probability of each feature: logistic regression on votes, kind and shape, with soft labels from the EM."""
+    """Probability of each feature: logistic regression on votes, kind and shape, with soft labels from the EM.
+
+    A feature weighs by its share, in the EM of its kind's candidates and then of all, never by its count.
+    """
     parts = [f.split("|") for f in features]
     said = np.array([[int(v) for v in p[2].split(",")] for p in parts])
     soft = np.zeros(len(parts))
     for kind in KINDS:
         rows = np.array([i for i, p in enumerate(parts) if p[0] == kind], int)
         if len(rows):
-            soft[rows] = reliabilities(said[rows], counts[rows])[0]
+            soft[rows] = reliabilities(said[rows], counts[rows] / counts[rows].sum() * EVIDENCE)[0]
     names = [[p[0], *(f"{p[0]}:{name}={v}" for name, v in zip(LABELERS, p[2].split(","), strict=True)),
               *(f"{p[0]}:{i}{c}" for i, c in enumerate(p[3]))] for p in parts]
     index = {n: i for i, n in enumerate(sorted({n for row in names for n in row}))}
     x = np.zeros((len(parts), len(index)))
     for i, row in enumerate(names):
         x[i, [index[n] for n in row]] = 1
-    weight, w = np.minimum(counts, 1_000) / max(1.0, counts.sum()) * len(parts), np.zeros(len(index))
+    weight, w = counts / max(1.0, counts.sum()) * len(parts), np.zeros(len(index))
     for _ in range(25):  # Newton steps, ridge 0.1
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (p - soft)) + 0.1 * w

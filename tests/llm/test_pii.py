@@ -81,6 +81,19 @@ def test_em_finds_the_unreliable_labeler():
     assert tables[1, 0, 2] > 0.9 and abs(tables[1, 3, 2] - 0.5) < 0.08
 
 
+def test_accepted_features_do_not_depend_on_the_number_of_rows():
+    import numpy as np
+
+    counts = {}
+    for text in texts():
+        for *_, feature in pii.scan(text)[1]:
+            counts[feature] = counts.get(feature, 0) + 1
+    names, times = sorted(counts), np.array([counts[f] for f in sorted(counts)], float)
+    one, many = (pii.fit_classifier(names, times * k) for k in (1, 1_000_000))
+    accepted = [{f for f, p in chances.items() if p >= pii.ACCEPT} for chances in (one, many)]
+    assert accepted[0] == accepted[1] and any(f.startswith("email|0") for f in accepted[0])
+
+
 def test_long_texts_take_linear_time():
     long = "x" * 300_000 + "@" + "1" * 300_000 + ".x@y.z" + "+" * 100_000 + "1.1" * 100_000
     assert pii.scan(long)[0][0]["kind"] == "email"
