@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that near-copy links connect."""
-    return jaccard.keep_one(docs)
+    """The document of the smallest doc_id of each group that links of 80 percent of five-word shingles connect."""
+    return jaccard.keep_one(docs, percent=80, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

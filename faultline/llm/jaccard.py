@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import ORACLE, batch_rows, materialize, most_frequent, query, table
 from .components import EDGES, Forest, components
-from .shingles import shingle_sets, signature
+from .shingles import WORDS, shingle_sets, signature
 
 PERCENT = 85
 #: Shingles counted together by a task; a shingle met in so many sets in all is frequent; so many of the
@@ -56,18 +56,18 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def text_sets(batches: Iterator) -> Iterator[tuple[list, list[np.ndarray]]]:
+def text_sets(batches: Iterator, words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, shingle sets) of some rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield part.column(0).to_pylist(), list(shingle_sets(part.column(1)))
+            yield part.column(0).to_pylist(), list(shingle_sets(part.column(1), words))
 
 
 PROFILE = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, token bigint, times bigint"
 
 
-def profile(batches: Iterator) -> Iterator:
+def profile(batches: Iterator, words: int) -> Iterator:
     """A row per text: size, signature and parity bits of its set; and shingles that a task met repeatedly.
 
     Equal sets count once within a task, so exact copies make no shingle frequent.
@@ -87,7 +87,7 @@ def profile(batches: Iterator) -> Iterator:
         names = ["doc_id", "n", "s1", "s2", "bits", "token", "times"]
         return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(n, kinds.get(c, pa.int64()))) for c in names], names)
 
-    for ids, sets in text_sets(batches):
+    for ids, sets in text_sets(batches, words):
         signs = [signature(s) for s in sets]
         yield rows(doc_id=pa.array(ids, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()),
                    s1=pa.array([s[0] for s in signs], pa.int64()), s2=pa.array([s[1] for s in signs], pa.int64()),
@@ -115,7 +115,7 @@ def ordered_prefix(shingles: np.ndarray, tokens: np.ndarray, times: np.ndarray,
     return shingles[:length]
 
 
-def index_entries(batches: Iterator, tokens: np.ndarray, times: np.ndarray, percent: int, buckets: int) -> Iterator:
+def index_entries(batches: Iterator, tokens: np.ndarray, times: np.ndarray, percent: int, buckets: int, words: int) -> Iterator:
     """(bucket, entries) with each indexed shingle of each set, its set's id and size, and its position."""
     held, size, seen = [], 0, set()
 
@@ -129,7 +129,7 @@ def index_entries(batches: Iterator, tokens: np.ndarray, times: np.ndarray, perc
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([every[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary())],
                                           ["bucket", "entries"])
 
-    for ids, sets in text_sets(batches):
+    for ids, sets in text_sets(batches, words):
         for i, members in zip(ids, sets, strict=True):
             sign = signature(members)
             if i is None or not len(members) or sign in seen:
@@ -278,7 +278,7 @@ def group_links(lead: int, leader: np.ndarray, ids: list[int], sets: list[np.nda
     return links
 
 
-def verify(group: pa.Table, percent: int) -> pa.Table:
+def verify(group: pa.Table, percent: int, words: int) -> pa.Table:
     """Links found in the leader groups of a task."""
     order = np.lexsort((group["part"].to_numpy(), group["a"].to_numpy()))
     group = group.take(pa.array(order)).combine_chunks()
@@ -288,7 +288,7 @@ def verify(group: pa.Table, percent: int) -> pa.Table:
     for at, end in zip(cuts[:-1], cuts[1:], strict=True):
         rows = group.slice(at, end - at)
         ids = rows["id"].to_pylist()
-        sets = list(shingle_sets(rows["text"].combine_chunks() if rows["text"].num_chunks != 1 else rows["text"].chunk(0)))
+        sets = list(shingle_sets(rows["text"].combine_chunks() if rows["text"].num_chunks != 1 else rows["text"].chunk(0), words))
         a = int(lead[at])
         for leader in [s for i, s in zip(ids, sets, strict=True) if i == a]:
             others = [(i, s) for i, s in zip(ids, sets, strict=True) if i != a]
@@ -319,7 +319,7 @@ def probably(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return texts.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(pick, "doc_id bigint, text string")
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Links (a, b) that connect what `pairs` connects: exact, by the texts."""
     one = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
@@ -331,19 +331,19 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     count = wanted.count()
     tasks, texts = max(1, -(-count // TASK_TEXTS)), probably(texts, wanted, count)
     rows = wanted.join(texts.hint("merge"), wanted["id"] == texts["doc_id"]).select("a", "part", "id", "text", F.pmod(F.xxhash64("a", "part"), F.lit(tasks)).alias("task"))
-    return materialize(rows.groupBy("task").applyInArrow(lambda g: verify(g, percent), EDGES), "join-links")
+    return materialize(rows.groupBy("task").applyInArrow(lambda g: verify(g, percent, words), EDGES), "join-links")
 
 
-def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The components of similarity_join(), run with few texts at a time between Spark and Python."""
     with batch_rows(docs.sparkSession, BATCH_ROWS):
-        return similarity_join(docs, percent)
+        return similarity_join(docs, percent, words)
 
 
-def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similarity_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id: integer, text).
 
-    Two documents link when their sets of four-word shingles overlap in `percent` of their union or
+    Two documents link when their sets of `words`-word shingles overlap in `percent` of their union or
     more; component_id is the smallest doc_id reachable by links. Rows without words, also null
     texts, link with nothing. Rows of one doc_id are one document, with the links of all of them. A
     row without doc_id stands alone and has no component. An empty table gives no rows; other columns
@@ -355,7 +355,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     close to a leader get their answers from the leader's, and connected ones need no more comparing.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(profile, PROFILE), "join-profile")
+    found = materialize(rows.mapInArrow(lambda batches: profile(batches, words), PROFILE), "join-profile")
     texts = found.filter("token IS NULL")
     many = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
     many = most_frequent(many, "times", KNOWN).toArrow().sort_by("token")
@@ -371,7 +371,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     total = usable.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    indexed = rows.mapInArrow(lambda batches: index_entries(batches, *known.value, percent, buckets), "bucket bigint, entries binary")
+    indexed = rows.mapInArrow(lambda batches: index_entries(batches, *known.value, percent, buckets, words), "bucket bigint, entries binary")
     lists = indexed.groupBy("bucket").applyInArrow(shared_lists, "token bigint, doc_id bigint, n bigint, pos bigint")
     entries = lists.join(members.select("doc_id", "rep").distinct(), "doc_id").select("token", F.col("rep").alias("id"), "n", "pos").distinct()
     entries = materialize(entries, "join-entries")
@@ -398,7 +398,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 lambda g: list_pairs(g, percent), EDGES).distinct()
         else:
             pairs = leader_pairs(here, turn, percent)
-        links = links.union(confirmed(pairs, sketches, rows, percent))
+        links = links.union(confirmed(pairs, sketches, rows, percent, words))
         roots = components(links)
         if whole:
             break
@@ -410,13 +410,13 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sizes.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id, one without doc_id at last.
 
     Each row is a document of its own here, also where doc_id is null or repeated.
     """
     own = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "join-rows")
-    found = similarity_components(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), percent)
+    found = similarity_components(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), percent, words)
     found = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id"), "join-found")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     first = found.join(own.select("row_id", "row.doc_id"), "row_id").groupBy("component_id").agg(F.min_by("row_id", order).alias("row_id"))

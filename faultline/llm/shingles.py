@@ -75,18 +75,24 @@ def _long(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
+def places(n: int) -> np.ndarray:
+    """An odd constant for each word of a shingle."""
+    more = mix(np.arange(len(PLACES), max(n, len(PLACES)), dtype=np.uint64) * STEP) | np.uint64(1)
+    return np.concatenate([PLACES, more])[:n]
+
+
+def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     """Distinct shingles of one text, ascending as signed numbers; fewer words than a shingle are one."""
-    if len(words) < WORDS:
-        rows = (words * PLACES[:len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)) if len(words) else words
+    if len(words) < size:
+        rows = (words * places(len(words))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)) if len(words) else words
     else:
-        rows = sum(words[i:len(words) - WORDS + 1 + i] * PLACES[i] for i in range(WORDS))
+        rows = sum(words[i:len(words) - size + 1 + i] * p for i, p in enumerate(places(size)))
     out = np.sort(mix(rows).view(np.int64))
     return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The shingle set of each text of an Arrow string array; null and wordless texts have empty ones."""
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
+    """The set of `size`-word shingles of each text of an Arrow string array; null and wordless texts have empty ones."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     whole = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -96,13 +102,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         end = min(end, len(texts))
         data = whole[offsets[at]:offsets[end]]
         if end == at + 1 and len(data) > PIECE:
-            yield shingle_hashes(_long(data))
+            yield shingle_hashes(_long(data), size)
         else:
             bounds = offsets[at:end + 1] - offsets[at]
             starts, words = word_hashes(data, bounds[:-1])
             cuts = np.searchsorted(starts, bounds)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield shingle_hashes(words[a:b])
+                yield shingle_hashes(words[a:b], size)
         at = end
 
 

@@ -87,5 +87,16 @@ def test_odd_rows_and_clashing_columns(spark, name):
     assert empty.columns == out.columns and empty.collect() == []
 
 
+def test_near_copies_of_four_fifths_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for first, edits in ((1, range(20, 180, 40)), (3, range(20, 180, 30))):  # 176 of 216 shingles, and 166 of 226
+        changed = [f"x{i}" if i in edits else w for i, w in enumerate(words)]
+        rows += [(first, " ".join(f"{first}{w}" for w in words)), (first + 1, " ".join(f"{first}{w}" for w in changed))]
+    frame = spark.createDataFrame([(i, t, "en", None, None, "c", "b", "f") for i, t in rows], DDL)
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, frame, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_models_and_tokenizer_are_those_of_the_operators():
     assert language.UNKNOWN == "und" and packing.SEQUENCE == 2048
