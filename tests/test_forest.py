@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import feature_rows, log_frame
+from helpers import feature_rows, log_frame
 from faultline.constants import FEATURES
 from faultline.operators import attribution, features, forest, metrics
 from faultline.sources import store

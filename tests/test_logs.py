@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FOUR, log_frame
+from helpers import FOUR, log_frame
 from faultline.constants import FEATURES
 from faultline.functions.timeparse import parse_clock, window_interval
 from faultline.operators import clean, features, validate
@@ -108,7 +108,7 @@ def test_empty_features_keep_columns(spark):
 
 
 def test_partitioning_does_not_matter(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from faultline.sources.tables import log_lines
     raw = log_lines(spark, SF_SMALL)
     results = []
@@ -126,7 +126,7 @@ def test_hot_line_id_leaves_map_side(spark, four):
 
 
 def test_message_text_is_not_shuffled_for_features(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from faultline.sources.tables import log_lines
     import re
     plan = features.preprocess(log_lines(spark, SF_SMALL), "10min")._jdf.queryExecution().optimizedPlan()

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from oracle_check import compare, connect
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FOUR, storm_rows
+from helpers import FOUR, storm_rows
 from faultline.constants import FEATURES, REQUIRED_COLUMNS
 from faultline.plans import prepare
 from faultline.sources import logs, store

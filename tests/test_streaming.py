@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LOG_DDL, SF_SMALL
+from helpers import LOG_DDL, SF_SMALL
 from faultline.operators import features, forest
 from faultline.sources.tables import log_lines
 from faultline.streaming.windows import score_batches, stream_features
