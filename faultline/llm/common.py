@@ -46,6 +46,14 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """materialize() for rows that carry numbers given by the run: read again, these would be others."""
+    found = materialize(df, label)
+    if found is df:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return found
+
+
 def most_frequent(rows: DataFrame, by: str, most: int) -> DataFrame:
     """Rows with the largest values of `by` (1 or more), `most` at most; of about equal values all or none.
 
@@ -69,4 +77,4 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
 
 
-__all__ = ["batch_rows", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize"]
+__all__ = ["batch_rows", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]
