@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, DISCLAIMER, FEATURE_LABELS, FEATURES,
+from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, CHUNK_OVERLAP, CHUNK_SIZE, DISCLAIMER, FEATURE_LABELS, FEATURES,
                          GENERAL_RECOMMENDATIONS, HASH_DIMS, LIMIT_NO_RUNBOOK, MASKS,
-                         MAX_LOG_CHARS, MAX_LOG_LINES, NO_INCIDENT, NO_RISING_TEXT,
+                         MAX_LOG_CHARS, MAX_LOG_LINES, MIN_CHUNK_CHARS, NO_INCIDENT, NO_RISING_TEXT,
                          PLAN_AUTO, PLAN_HEAD, PLAN_TAIL, QUERY_FALLBACK, QUERY_HEAD, QUERY_HINTS,
                          REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SIGNAL_NAMES,
                          SIGNAL_QUERIES, SIGNALS, UNDETERMINED)
@@ -222,6 +222,45 @@ sec AS (SELECT a.source, a.section_no, a.body, b1.title AS h1,
   LEFT JOIN kn b3 ON b3.source = a.source AND b3.section_no = a.p3)"""
 
 
+def _cut(out: str, src: str, keys: str, no: str, sep: str) -> str:
+    """Texts of `src` (keys, t) cut before each separator: pieces (keys, no, t)."""
+    return f"""
+{out}_0 AS (SELECT {keys}, unnest(string_split(t, {sep})) AS p, generate_subscripts(string_split(t, {sep}), 1) AS {no} FROM {src}),
+{out} AS (SELECT {keys}, {no}, CASE WHEN {no} = 1 THEN p ELSE {sep} || p END AS t FROM {out}_0 WHERE {no} > 1 OR p <> '')"""
+
+
+# Pieces with their place (a, b, c, d) and depth; pieces next to each other of one depth and parent are a
+# run. Chunks of a run follow one another: the running sums of lengths give the end of each and its overlap.
+SIZE_SPLIT = f"""
+long AS (SELECT source, section_no, body AS t FROM sec WHERE length(body) > {CHUNK_SIZE}),""" + _cut(
+    "pa", "long", "source, section_no", "a", f"{NL} || {NL}") + "," + _cut(
+    "pb", f"(SELECT * FROM pa WHERE length(t) >= {CHUNK_SIZE})", "source, section_no, a", "b", NL) + "," + _cut(
+    "pc", f"(SELECT * FROM pb WHERE length(t) >= {CHUNK_SIZE})", "source, section_no, a, b", "c", "' '") + f""",
+pd AS (SELECT source, section_no, a, b, c, unnest(range(0, length(t) - {CHUNK_OVERLAP}, {CHUNK_SIZE - CHUNK_OVERLAP})) AS d, t FROM pc
+  WHERE length(t) >= {CHUNK_SIZE}),
+leafs AS (SELECT source, section_no, 1 AS depth, a, 0 AS b, 0 AS c, 0 AS d, t FROM pa WHERE length(t) < {CHUNK_SIZE}
+  UNION ALL SELECT source, section_no, 2, a, b, 0, 0, t FROM pb WHERE length(t) < {CHUNK_SIZE}
+  UNION ALL SELECT source, section_no, 3, a, b, c, 0, t FROM pc WHERE length(t) < {CHUNK_SIZE}
+  UNION ALL SELECT source, section_no, 4, a, b, c, d, substr(t, d + 1, {CHUNK_SIZE}) FROM pd),
+parents AS (SELECT *, [depth, CASE WHEN depth > 1 THEN a END, CASE WHEN depth > 2 THEN b END, CASE WHEN depth > 3 THEN c END,
+  CASE WHEN depth > 3 THEN d END] AS parent FROM leafs),
+runs0 AS (SELECT *, CASE WHEN parent IS DISTINCT FROM lag(parent) OVER w THEN 1 ELSE 0 END AS fresh FROM parents
+  WINDOW w AS (PARTITION BY source, section_no ORDER BY a, b, c, d)),
+runs1 AS (SELECT *, sum(fresh) OVER (PARTITION BY source, section_no ORDER BY a, b, c, d) AS run FROM runs0),
+runs AS (SELECT source, section_no, run, list(t ORDER BY a, b, c, d) AS ts,
+  list_transform(range(0, count(*) + 1), lambda i: coalesce(list_sum(list(length(t) ORDER BY a, b, c, d)[1:i]), 0)::BIGINT) AS s
+  FROM runs1 GROUP BY source, section_no, run),
+packed AS (SELECT source, section_no, run, ts, s, 0::BIGINT AS f,
+    len(list_filter(s[2:], lambda x: x <= {CHUNK_SIZE}))::BIGINT AS e FROM runs UNION ALL
+  SELECT source, section_no, run, ts, s, g, g + len(list_filter(s[g + 2:], lambda x: x - s[g + 1] <= {CHUNK_SIZE})) FROM (
+    SELECT *, e - len(list_filter(s[1:e], lambda x: s[e + 1] - x <= least({CHUNK_OVERLAP}, {CHUNK_SIZE} - length(ts[e + 1])))) AS g
+    FROM packed WHERE e < len(ts))),
+cut AS (SELECT source, section_no, run, f, {strip("array_to_string(ts[f + 1:e], '')")} AS t FROM packed
+  UNION ALL SELECT source, section_no, 0, 0, body FROM sec WHERE length(body) <= {CHUNK_SIZE}),
+chunk AS (SELECT (row_number() OVER (ORDER BY source, section_no, run, f) - 1)::BIGINT AS chunk_id, * FROM cut
+  WHERE length(t) >= {MIN_CHUNK_CHARS})"""
+
+
 def embed_ctes(name: str, table: str, key: str, text: str) -> str:
     """Hashed unit vectors in long form (key, dim, v) from a table."""
     hexv = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i}, 1)) - 1) * {16 ** (4 - i)}"
@@ -630,6 +669,8 @@ LEFT JOIN inc i ON i.incident_no = try_cast(nullif(regexp_extract(a.raw_id, '(?i
     sql["section_numbers"] = ctes(SECTIONS) + (
         "SELECT source, section_no, (row_number() OVER (ORDER BY source, section_no) - 1)::BIGINT AS chunk_id "
         "FROM sec WHERE length(body) >= 20")
+    sql["chunks"] = "WITH RECURSIVE " + SECTIONS + "," + SIZE_SPLIT + (
+        " SELECT chunk_id, chunk.source, h1, h2, h3, t AS content FROM chunk JOIN sec USING (source, section_no)")
     sql["document_names"] = ("SELECT 'doc_' || doc_id AS source, "
                              "length('# doc_' || doc_id || chr(10) || text)::INT AS n FROM documents")
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -62,21 +63,51 @@ def test_sections(spark):
         ("D", None, None, "# D\nfour\n#no heading\n#### deep")]
 
 
-def test_split_properties():
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        words = [f"{i:03d}" + "".join(rng.choice(list("abcdef"), rng.integers(0, 27))) for i in range(200)]
-        seps = rng.choice([" ", "\n", "\n\n"], 200, p=[0.8, 0.15, 0.05])
-        text = "".join(w + s for w, s in zip(words, seps)).strip()
-        for size, overlap in ((80, 10), (25, 0), (200, 50)):
-            parts = chunking.split_text(text, size, overlap)
-            assert all(0 < len(p) <= size for p in parts)
-            at, end = 0, 0
-            for p in parts:                      # chunks follow the text, overlapping at most `overlap`
-                at = text.index(p, max(0, end - overlap))
-                assert at - end <= 2 and (not text[end:at].strip())
-                end = at + len(p)
-            assert not text[end:].strip()
+def plain_split(text, size, overlap, separators=("\n\n", "\n", " ")):
+    """Chunks by a loop over pieces that holds the last ones."""
+    if not separators:
+        return [text[i:i + size] for i in range(0, max(1, len(text) - overlap), size - overlap)]
+    out, held = [], []
+
+    def flush():
+        out.append("".join(held))
+
+    head, *rest = text.split(separators[0])
+    for piece in [p for p in [head, *(separators[0] + r for r in rest)] if p]:
+        if len(piece) >= size:
+            flush()
+            held = []
+            out += plain_split(piece, size, overlap, separators[1:])
+            continue
+        if held and sum(map(len, held)) + len(piece) > size:
+            flush()
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(piece) > size):
+                held.pop(0)
+        held.append(piece)
+    flush()
+    return [c for c in (o.strip() for o in out) if c]
+
+
+def test_size_split_against_a_loop(spark):
+    rng = random.Random(3)
+    words = ["a", "bb", "ccc", "é\U0001F600", " ", " ", "  ", "\n", "\n\n", "\u00a0", "\n\n\n"]
+    texts = ["".join(rng.choice([*words, "d" * rng.randint(1, 40)]) for _ in range(rng.randint(5, 200))) for _ in range(200)]
+    texts += ["x" * 400, " " * 300, "\n" * 300, "y" * 30 + "\n\n" + "z" * 95]
+    for size, overlap in ((30, 7), (50, 0), (20, 19)):
+        long = [t for t in texts if len(t) > size]
+        rows = spark.createDataFrame(list(enumerate(long)), "i int, t string")
+        got = {r.i: r.c for r in rows.select("i", chunking.split_text(F.col("t"), size, overlap).alias("c")).collect()}
+        for i, text in enumerate(long):
+            assert got[i] == plain_split(text, size, overlap), (size, overlap, text)
+
+
+def test_long_text_is_split_in_the_row(spark):
+    text = " ".join(f"w{i * 7919 % 10_007}" for i in range(20_000))
+    rows = spark.createDataFrame([("s", "s", text)], "source string, path string, content string")
+    cut = chunking.size_split(rows)
+    plan = cut._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    assert [r.content for r in cut.orderBy("piece_no").collect()] == plain_split(text, 500, 50)
 
 
 def test_chunks(spark, folder, index):
