@@ -14,6 +14,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node; levels computed in one pass over windows of SPAN leaves.
 FAN, LEVELS = 3, 7
 SPAN = FAN**LEVELS
+#: Sources up to which their table goes to every task; with more, Spark shuffles and splits skewed ones.
+MAX_BROADCAST = 200_000
 PATH = "array<struct<before: binary, after: binary>>"
 
 
@@ -53,7 +55,8 @@ def raise_levels(nodes: DataFrame) -> DataFrame:
     """
     window = Window.partitionBy("tree", "span").orderBy("pos")
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = nodes.withColumn("span", F.floor(F.col("pos") / SPAN)).withColumn("top", F.col("h"))
+    # Dealt by tree and span: a plan dealt by tree alone would do for the windows, with a source in one task.
+    rows = nodes.withColumn("span", F.floor(F.col("pos") / SPAN)).repartition("tree", "span").withColumn("top", F.col("h"))
     none = F.lit(b"")
     for level in range(LEVELS):
         step = FAN**level
@@ -128,9 +131,9 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, source: str = "s
                        *[c.alias(f"c_{name}") for name, c in extra.items()])
     rows = materialize(rows, "merkle-leaves")
     numbered = materialize(number_rows(rows, ["tree", "key", "h"], "at"), "merkle-order")
-    trees = numbered.groupBy("tree").agg(F.min("at").alias("start"), F.count("*").alias("n"))
-    most = trees.agg(F.max("n")).first()[0] or 0
-    leaves = numbered.join(trees, "tree").withColumn("pos", F.col("at") - F.col("start")).drop("at", "start")
+    trees = materialize(numbered.groupBy("tree").agg(F.min("at").alias("start"), F.count("*").alias("n")), "merkle-trees")
+    count, most = trees.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    leaves = numbered.join(F.broadcast(trees) if count <= MAX_BROADCAST else trees, "tree").withColumn("pos", F.col("at") - F.col("start")).drop("at", "start")
     names = [F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).alias("source"), F.col("h").alias("leaf")]
     if most <= 1:
         ends = over_sources(leaves.select("tree", "h"))
