@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, CONTEXT_CHARS, DENSE_WEIGHT,
                          HASH_DIMS, MAX_DISTANCE, MIN_BM25, RETRIEVE_TOP_K, RRF_CONSTANT,
                          SPARSE_WEIGHT)
-from ..functions.text import strip, tokens
+from ..functions.text import counted, strip, tokens
 from ..sources.materialize import materialize
 from .neighbours import nearest
 
@@ -51,16 +51,18 @@ def _hash_vectors(counts: DataFrame, key: str, dims: int) -> DataFrame:
 def hash_embed(df: DataFrame, key: str, text: str, dims: int = HASH_DIMS) -> DataFrame:
     """(key, vec): signed feature hashing of the tokens, scaled to unit length.
 
-    Text is placed by key once; every aggregate then runs without another exchange.
+    Terms are counted inside the row; only weights of the few dimensions leave it.
     """
     return _hash_vectors(_term_counts(df, key, text), key, dims)
 
 
 def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return (df.select(key, text).repartition(key)
-            .select(key, tokens(F.col(text)).alias("_t"))
-            .select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-            .groupBy(key, "dl", "term").agg(F.count("term").alias("tf")))
+    """(key, dl, term, tf) of rows with unique keys; counted inside the row, so no text is shuffled."""
+    found = tokens(F.col(text))
+    return (df.select(key, counted(F.coalesce(found, F.array().cast("array<string>"))).alias("_c"))
+            .select(key, F.aggregate("_c", F.lit(0), lambda n, c: (n + c["tf"]).cast("int")).alias("dl"), "_c")
+            .select(key, "dl", F.explode_outer("_c").alias("_e"))
+            .select(key, "dl", F.col("_e.term").alias("term"), F.coalesce("_e.tf", F.lit(0)).alias("tf")))
 
 
 def batch_embedder(fn: Callable[[list[str]], list[list[float]]]) -> Embedder:
@@ -92,7 +94,7 @@ class Index:
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(chunk_id, term, tf, dl). Text moves once, by key; exploded terms are counted where they are.
+    """(chunk_id, term, tf, dl); terms are counted inside the chunk's row.
 
     A chunk without tokens keeps one row with a NULL term, so it still counts as a chunk.
     """
