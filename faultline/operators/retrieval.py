@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CANDIDATES, CONTEXT_CHARS, DENSE_WEIGHT,
-                         HASH_DIMS, MAX_DISTANCE, MIN_BM25, RETRIEVE_TOP_K, RRF_CONSTANT,
+from ..constants import (BM25_EPSILON, CANDIDATES, CONTEXT_CHARS, DENSE_WEIGHT, HASH_DIMS,
+                         MAX_DISTANCE, MIN_BM25, RETRIEVE_TOP_K, RRF_CONSTANT,
                          SPARSE_WEIGHT)
 from ..functions.text import counted, strip, tokens
 from ..sources.materialize import materialize
+from .blockmax import Found, gain, posting_blocks, top_by_blocks
 from .neighbours import nearest
 
 MAX_BROADCAST_ROWS = 200_000
@@ -138,9 +139,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _gain(avg_length: float) -> Column:
-    tf = F.col("tf").cast("double")
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avg_length))
-    return F.col("qtf") * F.col("idf") * (tf * (BM25_K1 + 1)) / (tf + norm)
+    return F.col("qtf") * F.col("idf") * gain(avg_length)
 
 
 def term_bucket(term: Column) -> Column:
@@ -161,38 +160,47 @@ def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
     return materialize(query_terms(queries).join(index.terms.drop("df"), "term"), "query-terms")
 
 
-def bm25_scores(index: Index, terms: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame, few_terms: bool) -> DataFrame:
     """(query_id, chunk_id, bm25_score) of every chunk sharing a term with the query.
 
-    The smaller side is broadcast when its size is proven, and the larger one is placed by its own
-    key: by chunk for few queries over a large corpus, by query for many queries over a small one.
-    The sums then need no further exchange, and only the k best per task leave it (see `bm25_top`).
-    With both sides large, Spark joins on the term and splits skewed terms.
+    One side is small and is broadcast, the other is placed by its own key: by chunk for few queries
+    over a large corpus, by query for many queries over a small one. The sums then need no further
+    exchange, and only the k best per task leave it (see `bm25_top`).
     """
     known = asked_postings(index, terms).filter(F.col("term").isNotNull())
-    if is_small(terms, max_rows):
+    if few_terms:
         asked = F.broadcast(terms.select("term").distinct())
         pairs = (known.join(asked, "term", "left_semi").repartition("chunk_id")
                  .join(F.broadcast(terms), "term"))
-    elif is_small(known, max_rows):
-        pairs = terms.repartition("query_id").join(F.broadcast(known), "term")
     else:
-        pairs = terms.join(known, "term")
+        pairs = terms.repartition("query_id").join(F.broadcast(known), "term")
     return (pairs.groupBy("query_id", "chunk_id")
             .agg(F.sum(_gain(index.avg_length)).alias("bm25_score")))
 
 
-def bm25_top(index: Index, queries: DataFrame, k: int = CANDIDATES,
-             terms: DataFrame | None = None) -> DataFrame:
+def block_search(index: Index, terms: DataFrame, k: int, **options) -> Found:
+    """The k best chunks by blocks of postings, and how many blocks were read."""
+    known = asked_postings(index, terms)
+    return top_by_blocks(materialize(posting_blocks(known, index.avg_length), "posting-blocks"), terms, k, **options)
+
+
+def bm25_top(index: Index, queries: DataFrame, k: int = CANDIDATES, terms: DataFrame | None = None,
+             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(query_id, chunk_id, bm25_score, sparse_rank): the k best chunks, ties by chunk id.
 
-    A query matching fewer than k chunks is filled with the first unmatched chunks at score 0; those
-    are always among the k lowest chunk ids, so the fill needs k constants and no pairing of tables.
+    With `max_rows` query terms or postings at most, the smaller side is broadcast; with more of both,
+    postings are read block by block, and most blocks aren't (see `blockmax`). A query matching fewer
+    than k chunks is filled with the first unmatched chunks at score 0; those are always among the k
+    lowest chunk ids, so the fill needs k constants and no pairing of tables.
     """
     terms = weighted_terms(index, queries) if terms is None else terms
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "chunk_id")
-    found = (bm25_scores(index, terms).withColumn("sparse_rank", F.row_number().over(order))
-             .filter(F.col("sparse_rank") <= k))
+    few_terms = is_small(terms, max_rows)
+    if few_terms or is_small(index.postings, max_rows):
+        scores = bm25_scores(index, terms, few_terms)
+    else:
+        scores = block_search(index, terms, k).top
+    found = scores.withColumn("sparse_rank", F.row_number().over(order)).filter(F.col("sparse_rank") <= k)
     lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(
         F.struct("sparse_rank", "chunk_id", "bm25_score"))).alias("_hit"))
     lowest = (index.chunks.select("chunk_id").orderBy("chunk_id").limit(k)

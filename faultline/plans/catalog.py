@@ -374,6 +374,13 @@ def bm25_top(spark, sf):
     return top.select("query_id", "chunk_id", r6("bm25_score"), "sparse_rank")
 
 
+@query
+def bm25_blocks(spark, sf):
+    """The same with both sides taken as large: in blocks of postings with a maximum each."""
+    top = retrieval.bm25_top(document_index(spark, sf), benchmark_queries(spark, sf), max_rows=0)
+    return top.select("query_id", "chunk_id", r6("bm25_score"), "sparse_rank")
+
+
 @query
 def dense_knn(spark, sf):
     e = src.table(spark, sf, "embeddings").select(

@@ -188,12 +188,44 @@ def test_bm25_placement_does_not_matter(spark, index):
     terms = retrieval.weighted_terms(index, q)
     n_terms, n_post = terms.count(), index.postings.count()
     assert n_terms > n_post
-    results = [sorted((r.query_id, r.chunk_id, round(r.bm25_score, 9))
-                      for r in retrieval.bm25_scores(index, terms, limit).collect())
-               for limit in (n_terms, n_post, 0)]
+    results = [sorted((r.query_id, r.chunk_id, round(r.bm25_score, 9)) for r in scores.collect())
+               for scores in (retrieval.bm25_scores(index, terms, True), retrieval.bm25_scores(index, terms, False),
+                              retrieval.block_search(index, terms, 1_000).top)]
     assert results[0] and results[0] == results[1] == results[2]
 
 
+@pytest.fixture(scope="module")
+def topics(spark):
+    """An index of 3,000 chunks: common words everywhere, and a word of its own in each hundred of them."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join([*rng.choice(common, rng.integers(5, 40)), *([f"topic{i // 100}"] * int(rng.integers(0, 4)))]) for i in range(3_000)]
+    return retrieval.build_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"))
+
+
+def test_most_blocks_stay_unread(spark, topics):
+    """Queries of common words and a rarer one: the spans without it can't reach the k-th score."""
+    q = ask(spark, *[f"c{i % 30} c{(i + 7) % 30} topic{i} topic{i}" for i in range(30)])
+    terms = retrieval.weighted_terms(topics, q)
+    found = retrieval.block_search(topics, terms, 10)
+    reads = found.reads.agg(F.sum("blocks"), F.sum("read")).first()
+    assert reads[1] < 0.25 * reads[0]
+    want = {(r.query_id, r.chunk_id, round(r.bm25_score, 9)) for r in retrieval.bm25_top(topics, q).collect()}
+    assert {(r.query_id, r.chunk_id, round(r.bm25_score, 9)) for r in retrieval.bm25_top(topics, q, max_rows=0).collect()} == want
+
+
+def test_blocks_with_ties_and_few_matches(spark, topics):
+    """All chunks of a word tie, a word of negative weight bounds nothing, and some queries match little."""
+    rows = [("aa bb" if i % 2 else "aa") for i in range(400)] + ["zz"]
+    index = retrieval.build_index(spark.createDataFrame(list(enumerate(rows)), "chunk_id long, content string"))
+    q = ask(spark, "aa", "bb", "aa bb", "zz aa", "zz", "nothing")
+    for k in (1, 10, 500):
+        plain = [tuple(r) for r in retrieval.bm25_top(index, q, k).orderBy("query_id", "sparse_rank").collect()]
+        blocks = [tuple(r) for r in retrieval.bm25_top(index, q, k, max_rows=0).orderBy("query_id", "sparse_rank").collect()]
+        assert [r[:2] + r[3:] for r in plain] == [r[:2] + r[3:] for r in blocks]
+        assert np.allclose([r[2] for r in plain], [r[2] for r in blocks])
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "disk full disk"), (2, "disk full disk"), (3, "???")], "k long, t string")
     v = {r.k: np.array(r.vec) for r in retrieval.hash_embed(df, "k", "t").collect()}
