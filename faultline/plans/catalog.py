@@ -308,6 +308,14 @@ def similar_incidents_blocks(spark, sf):
         "incident_no", "rank", "similar_id", "similarity", "window_start", "n_logs", "error_count")
 
 
+@query
+def similar_incidents_indexed(spark, sf):
+    """The same by pivots and rings: blocks that are too far are not read."""
+    inc = materialize(numbered(spark, sf), "incidents")
+    return neighbours.similar_incidents(inc, indexed=True).select(
+        "incident_no", "rank", "similar_id", "similarity", "window_start", "n_logs", "error_count")
+
+
 # ------------------------------------------------------------------ text
 @query
 def clean_text(spark, sf):

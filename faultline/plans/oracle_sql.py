@@ -774,6 +774,7 @@ cm AS (SELECT count(*)::BIGINT AS n_samples, sum(label)::BIGINT AS n_positive,
     sql["label_coverage"] = feats + (
         "SELECT count(*)::BIGINT AS n_windows, count(*) FILTER (WHERE minute(time_window) % 20 = 0)::BIGINT AS n_labelled, "
         "round(avg((minute(time_window) % 20 = 0)::INT), 6) AS coverage FROM feats")
+    sql["similar_incidents_indexed"] = sql["similar_incidents"]
     sql["similar_incidents_blocks"] = sql["similar_incidents"]
     sql["bm25_blocks"] = sql["bm25_top"]
     sql["dense_knn_blocks"] = sql["dense_knn"]
