@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import ORACLE, materialize, query, smallest_hashes, table, written
 from .components import EDGES, Forest, components
 from .topk import usable
+from ..functions.text import let
 
 COSINE = 0.98
 #: Share of pairs at the threshold whose cell is visited from one of the two; rows the codebooks are fitted
@@ -22,6 +23,8 @@ RECALL, SAMPLE, SAMPLE_BYTES, ROUNDS = 0.9995, 20_000, 16 << 20, 10
 CELL_ROWS, MOST_WORDS = 8, 1_024
 #: Vectors that live in, and vectors that visit, the cells of one task; visitors compared at a time.
 RESIDENTS, VISITORS, CHUNK = 4_096, 8_192, 512
+#: First words of labels up to which their table goes to every task.
+MAX_BROADCAST = 200_000
 VISIT = "size int, code int, own boolean, vector binary"
 
 
@@ -94,11 +97,14 @@ def fit_grid(sample: np.ndarray, words: int, cosine: float, recall: float, seed:
 
 def unit(vector: Column) -> Column:
     """The vector by its length, in double precision, free of overflow; null for a zero vector."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    most = F.aggregate(values, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scaled = F.when(most > 0, F.transform(values, lambda x: x / most))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+    def scaled(v: Column) -> Column:
+        most = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+        return let(most, lambda m: F.when(m > 0, F.transform(v, lambda x: x / m)))
+
+    def divided(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: x / n))
+
+    return let(let(F.transform(vector, lambda x: x.cast("double")), scaled), divided)
 
 
 def as_matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -229,7 +235,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, recall: float = REC
     seen = materialize(folded.select("id", "label", "m", "unit").mapInArrow(lambda b: visits(b, shared.value), schema), "multi-visits")
     place = ["label", "size", "code"]
     blocks = seen.groupBy(*place).agg(F.ceil(F.sum(F.col("own").cast("int")) / RESIDENTS).alias("r"), F.ceil(F.count("*") / VISITORS).alias("v"))
-    dealt = seen.join(blocks.filter("r > 0"), place)
+    blocks = materialize(blocks.filter("r > 0"), "multi-blocks")
+    dealt = seen.join(F.broadcast(blocks) if blocks.count() <= MAX_BROADCAST else blocks, place)
     mine = [F.pmod(F.xxhash64("id", F.lit(turn)), F.col(c)) for turn, c in ((1, "r"), (2, "v"))]
     others = dealt.withColumns({"home": mine[0], "seat": mine[1]})
     # A task is a block of residents and a block of visitors: rows go to all tasks of their row and column.
@@ -238,7 +245,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, recall: float = REC
     as_home = others.filter("own").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("v") - 1))).withColumn("rb", F.col("home"))
     as_home = as_home.filter(F.col("vb") != F.col("seat")).withColumns({"visitor": F.lit(False), "resident": F.lit(True)})
     columns = [*place, "rb", "vb", "id", "m", "vector", "visitor", "resident"]
-    found = as_guest.select(*columns).unionByName(as_home.select(*columns)).groupBy(*place, "rb", "vb").applyInArrow(
+    # Dealt by all of a task's keys: a plan dealt by `place` would do for the groups, with a large cell in one task.
+    tasks = as_guest.select(*columns).unionByName(as_home.select(*columns)).repartition(*place, "rb", "vb")
+    found = tasks.groupBy(*place, "rb", "vb").applyInArrow(
         lambda g: compare(g, shared.value, cosine), "a bigint, b bigint, n bigint")
     found = materialize(found, "multi-found")
 
