@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.materialize import materialize
@@ -27,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
     """Record batches of at most `rows` rows, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -34,6 +42,24 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system: a worker is kept, and shares its machine with what runs next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`task` on the batches of a partition; at its end, freed memory is given back."""
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run within send `rows` rows at a time to Python at most; the session's setting returns after."""
@@ -77,4 +103,4 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
 
 
-__all__ = ["batch_rows", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]
+__all__ = ["batch_rows", "give_back", "quoted", "tidied", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]

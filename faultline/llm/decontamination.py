@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, materialize, query, slices, table
+from .common import ORACLE, materialize, query, quoted, slices, table
 
 WINDOW = 10
 #: Windows in one pattern table. More windows are searched in several passes, a table each.
@@ -138,7 +138,7 @@ def passage_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", table_windows: int = TABLE_WINDOWS) -> DataFrame:
     """Rows of `docs` without any benchmark window in `text`, each row judged by itself and in place."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), text)
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), text)
     clean = find_passages(whole, benchmark, "row", text, table_windows=table_windows).filter(F.size("hits") == 0)
     return clean.select("row.*")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, batch_rows, materialize, most_frequent, query, table
+from .common import ORACLE, batch_rows, give_back, materialize, most_frequent, query, quoted, table, tidied, written
 from .components import EDGES, Forest, components
 from .shingles import WORDS, shingle_sets, signature
 
@@ -293,6 +293,7 @@ def verify(group: pa.Table, percent: int, words: int) -> pa.Table:
         for leader in [s for i, s in zip(ids, sets, strict=True) if i == a]:
             others = [(i, s) for i, s in zip(ids, sets, strict=True) if i != a]
             links += group_links(a, leader, [i for i, _ in others], [s for _, s in others], percent)
+    give_back()
     return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
@@ -323,7 +324,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
     """Links (a, b) that connect what `pairs` connects: exact, by the texts."""
     one = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    near = pairs.join(one, "a").join(two, "b").mapInArrow(lambda batches: may_link(batches, percent), EDGES)
+    near = pairs.join(one, "a").join(two, "b").mapInArrow(tidied(lambda batches: may_link(batches, percent)), EDGES)
     near = materialize(near.distinct(), "join-pairs")
     parts = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     members = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
@@ -355,7 +356,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     close to a leader get their answers from the leader's, and connected ones need no more comparing.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(lambda batches: profile(batches, words), PROFILE), "join-profile")
+    found = materialize(rows.mapInArrow(tidied(lambda batches: profile(batches, words)), PROFILE), "join-profile")
     texts = found.filter("token IS NULL")
     many = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
     many = most_frequent(many, "times", KNOWN).toArrow().sort_by("token")
@@ -371,7 +372,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     total = usable.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    indexed = rows.mapInArrow(lambda batches: index_entries(batches, *known.value, percent, buckets, words), "bucket bigint, entries binary")
+    indexed = rows.mapInArrow(tidied(lambda batches: index_entries(batches, *known.value, percent, buckets, words)), "bucket bigint, entries binary")
     lists = indexed.groupBy("bucket").applyInArrow(shared_lists, "token bigint, doc_id bigint, n bigint, pos bigint")
     entries = lists.join(members.select("doc_id", "rep").distinct(), "doc_id").select("token", F.col("rep").alias("id"), "n", "pos").distinct()
     entries = materialize(entries, "join-entries")
@@ -415,7 +416,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
 
     Each row is a document of its own here, also where doc_id is null or repeated.
     """
-    own = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "join-rows")
+    own = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*map(quoted, docs.columns)).alias("row")), "join-rows")
     found = similarity_components(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), percent, words)
     found = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id"), "join-found")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")

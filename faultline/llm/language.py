@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, query, slices, table
+from .common import materialize, most_frequent, query, slices, table, tidied
 
 UNKNOWN = "und"
 #: The model: so many of the most frequent words, and n-grams of each length, of all languages together.
@@ -19,7 +19,7 @@ UNKNOWN = "und"
 MODEL_WORDS, MODEL_GRAMS = 100_000, 20_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Words counted before a task hands on its counts; words of unseen scores that a task keeps.
-HELD_WORDS, HELD_SCORES = 400_000, 400_000
+HELD_WORDS, HELD_SCORES = 100_000, 100_000
 #: Evidence of a text counts like that of so many words at most, so that the score is not always 1.
 EVIDENCE = 8.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -159,9 +159,9 @@ class Scorer:
 def train(labelled: DataFrame) -> Model:
     """A model from all rows of (lang, text) with both; rows without either teach nothing."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    spread = rows.mapInArrow(count_words, "lang string, unit string, n bigint")
+    spread = rows.mapInArrow(tidied(count_words), "lang string, unit string, n bigint")
     counted = materialize(spread.groupBy("lang", "unit").agg(F.sum("n").alias("n")), "lang-words")
-    grams = counted.mapInArrow(count_grams, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    grams = counted.mapInArrow(tidied(count_grams), "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "lang-grams")
     kinds = {"word": counted, **{str(n): grams.filter(F.length("unit") == n) for n in NGRAMS}}
     totals = {k: {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()} for k, found in kinds.items()}
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(tidied(predict), schema + ", lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, text: str = "text") ->
             found = scorer.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
 
 
 @query

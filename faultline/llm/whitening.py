@@ -77,21 +77,19 @@ def bidiagonalise(rows: DataFrame, n: int, total: np.ndarray, want: int, known:
     Right vectors are sought beside `known`, some right singular vectors found before; only values above
     `floor` need to converge. `whole`: all dimensions have been used, so nothing can be missing.
 
-    Each step makes two passes over the rows: Xv with its inner products with all earlier left vectors,
-    then Xᵀu. A left vector is as long as the table and isn't stored: it is X times a short vector, kept
-    here, and each task computes its part of all of them anew.
+    Each step makes a pass over the rows: Xv, made orthogonal to all earlier left vectors, and Xᵀ of it.
+    A left vector is as long as the table and isn't stored: it is X times a short vector, kept here, and
+    each task computes its part of all of them anew. Its inner product with Xv is that of v with Xᵀu,
+    known from its own step; the pass measures what is left of them, and where that is more than
+    rounding, it is taken away and the pass repeated.
     """
     d, rng = len(total), np.random.default_rng(seed)
-    right, short, upper = np.zeros((0, d)), np.zeros((0, d)), np.zeros((0, 0))
+    right, short, images, upper = np.zeros((0, d)), np.zeros((0, d)), np.zeros((0, d)), np.zeros((0, 0))
 
     def fresh() -> np.ndarray:
         v = orthogonal(rng.normal(size=d), np.vstack([known, right]))
         return v / np.linalg.norm(v)
 
-    def along(x, w, short):
-        a = (n * x - total) / n
-        return (a @ short.T).T @ (a @ w)
-
     def back(x, w, short):
         a = (n * x - total) / n
         u = a @ w
@@ -99,11 +97,9 @@ def bidiagonalise(rows: DataFrame, n: int, total: np.ndarray, want: int, known:
 
     v = fresh()
     while True:
-        k, w = len(right), v
-        right, column = np.vstack([right, v]), np.zeros(k)
-        if k:
-            column = summed(rows, partial(along, w=w, short=short), k)
-            w = w - short.T @ column
+        k = len(right)
+        right, column = np.vstack([right, v]), images @ v
+        w = v - short.T @ column
         for again in (True, False):
             found = summed(rows, partial(back, w=w, short=short), d + 1 + k)
             alpha, rest = float(np.sqrt(max(found[d], 0.0))), found[d + 1:]
@@ -115,7 +111,7 @@ def bidiagonalise(rows: DataFrame, n: int, total: np.ndarray, want: int, known:
         w, g = (np.zeros(d), np.zeros(d)) if dead else (w / alpha, found[:d] / alpha)
         upper = np.pad(upper, ((0, 1), (0, 1)))
         upper[:k, k], upper[k, k] = column, 0.0 if dead else alpha
-        short = np.vstack([short, w])
+        short, images = np.vstack([short, w]), np.vstack([images, g])
         size = k + 1
         whole = size + len(known) >= d
         beta, nxt = 0.0, None
