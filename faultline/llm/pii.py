@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, query, slices, table
-from .spans import ARROW_SPANS, SPANS, counted, joined, span
+from .spans import ARROW_SPANS, SPANS, Covered, counted, joined, span
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,15 +122,15 @@ def scan(text: str | None) -> tuple[list[dict], list[tuple[int, int, str]]]:
         return [], []
     base = base_spans(text)
     spots = [(s["kind"], s["start"], s["end"], True) for s in base]
-    taken = sorted((s["start"], s["end"]) for s in base)
+    taken = [(s["start"], s["end"]) for s in base]
     digit = bool(DIGIT.search(text))
     for kind, pattern in LOOSE:
         if (kind == "email" and not ("dot" in text or "@" in text)) or (kind == "ip" and text.count(":") < 7) or (kind in ("card", "phone") and not digit):
             continue
-        for m in pattern.finditer(text):
-            if not any(a < m.end() and b > m.start() for a, b in taken):
-                spots.append((kind, *m.span(), False))
-                taken.append(m.span())
+        covered = Covered(taken)  # matches of one pattern don't overlap each other
+        free = [m.span() for m in pattern.finditer(text) if not covered.meets(*m.span())]
+        spots += [(kind, *at, False) for at in free]
+        taken += free
     out = []
     for kind, start, end, fixed in spots:
         said = ",".join(map(str, votes(text, kind, start, end, fixed)))

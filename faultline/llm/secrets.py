@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, query, slices, table
-from .spans import ARROW_SPANS, SPANS, counted, joined, masked, span
+from .spans import ARROW_SPANS, SPANS, Covered, counted, joined, masked, span
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -106,13 +106,13 @@ def scan(texts: list[str | None]) -> Iterator[tuple[list[dict], list[tuple[int,
     bases, owners, spots, tokens, encodings = [], [], [], [], []
     for i, text in enumerate(texts):
         bases.append(base_spans(text) if text else [])
-        taken = [(s["start"], s["end"]) for s in bases[-1]]
+        covered = Covered([(s["start"], s["end"]) for s in bases[-1]])
         for m in TOKEN.finditer(text or ""):
             token = m[0].rstrip("=")
             wordy = WORDY.fullmatch(token)
             if wordy:
                 token = re.sub(r"[^A-Za-z]", "", token)
-            if len(token) < (STRATA[0] if wordy else MIN_RANDOM) or any(a < m.end() and b > m.start() for a, b in taken):
+            if len(token) < (STRATA[0] if wordy else MIN_RANDOM) or covered.meets(*m.span()):
                 continue
             owners.append(i)
             spots.append(None if wordy else m.span())

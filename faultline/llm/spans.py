@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +13,19 @@ SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
+class Covered:
+    """Places that some spans take up; asking takes the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def span(kinds: tuple[str, ...], kind: str, start: int, end: int) -> dict:
     return {"start": start, "rank": kinds.index(kind), "end": end, "kind": kind}
 

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from faultline.llm import pii
-from faultline.llm.spans import joined
+from faultline.llm.spans import Covered, joined
 
 DDL = "doc_id bigint, text string, base string, spans string"
 PLAIN = {
@@ -97,3 +97,15 @@ def test_accepted_features_do_not_depend_on_the_number_of_rows():
 def test_long_texts_take_linear_time():
     long = "x" * 300_000 + "@" + "1" * 300_000 + ".x@y.z" + "+" * 100_000 + "1.1" * 100_000
     assert pii.scan(long)[0][0]["kind"] == "email"
+
+
+def test_covered_places_and_many_spans():
+    rng = random.Random(9)
+    spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 300) for _ in range(40))]
+    covered = Covered(spans)
+    for _ in range(500):
+        start = rng.randint(0, 320)
+        end = start + rng.randint(1, 12)
+        assert covered.meets(start, end) == any(a < end and b > start for a, b in spans)
+    many = " ".join(f"ann{i} (at) example{i} (dot) org" for i in range(100_000))
+    assert len(pii.scan(many)[1]) == 100_000  # hours if each were compared with all before it
