@@ -25,15 +25,20 @@ def null_counts(df: DataFrame, pos: str = "pos") -> DataFrame:
     return (row.unpivot([], cols, "column_name", "null_count").filter("null_count > 0"))
 
 
-def _duplicate_rows(df: DataFrame, pos: str) -> DataFrame:
-    cols = _data_columns(df, pos)
-    groups = df.groupBy(*cols).agg((F.count(F.lit(1)) - 1).alias("extra"))
-    return groups.agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("long").alias("duplicate_rows"))
+def row_digest(df: DataFrame, pos: str = "pos") -> Column:
+    """SHA-256 of a row's values but its position, nulls equal: rows are the same if and only if it is.
+
+    Each value goes in with its length, so neighbouring values can't run into each other.
+    """
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+             for c in _data_columns(df, pos)]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
 
 
 def duplicate_rows(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Full-row duplicates beyond the first, nulls equal (V3)."""
-    return _duplicate_rows(df, pos)
+    """Full-row duplicates beyond the first, nulls equal (V3); digests are shuffled, not texts."""
+    groups = df.groupBy(row_digest(df, pos).alias("_d")).agg((F.count(F.lit(1)) - 1).alias("extra"))
+    return groups.agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def duplicate_line_ids(df: DataFrame) -> DataFrame:
@@ -70,24 +75,25 @@ def invalid_levels(df: DataFrame) -> DataFrame:
 def validation_report(df: DataFrame, pos: str = "pos") -> DataFrame:
     """One row: counts, blocking errors, warnings, verdicts (V7).
 
-    The counts need two exchanges: lines are first reduced per distinct row (map-side combined), and
-    every other figure, the repeated LineIds included, comes from those reduced groups.
+    Lines are first reduced per digest of the row (map-side combined); what else is counted, null or
+    not, is the same for equal rows. Repeated LineIds come from those groups. No text is shuffled.
     """
     absent = missing_columns(df)
     cols = _data_columns(df, pos)
-    groups = (df.withColumns({"_t": _bad_time(df), "_l": _bad_level(df)})
-              .groupBy(*cols, "_t", "_l").agg(F.count(F.lit(1)).alias("_n")))
+    line_id = ["LineId"] if "LineId" in cols else []
+    nulls = F.array(*[F.col(c).isNull() for c in cols])
+    groups = (df.select(row_digest(df, pos).alias("_d"), _bad_time(df).alias("_t"), _bad_level(df).alias("_l"), nulls.alias("_no"), *line_id)
+              .groupBy("_d").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_t", "_l", "_no", *line_id)]))
     sums = {
         "n_rows": F.sum("_n"),
         "duplicate_rows": F.sum(F.col("_n") - 1),
         "invalid_timestamps": F.sum(F.when(F.col("_t"), F.col("_n")).otherwise(F.lit(0))),
         "invalid_log_levels": F.sum(F.when(F.col("_l"), F.col("_n")).otherwise(F.lit(0))),
-        **{f"_null_{c}": F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(F.lit(0)))
-           for c in cols},
+        **{f"_null_{c}": F.sum(F.when(F.col("_no")[i], F.col("_n")).otherwise(F.lit(0)))
+           for i, c in enumerate(cols)},
     }
-    keys = ["LineId"] if "LineId" in cols else []
-    partial = groups.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
-    repeated = F.sum(F.col("n_rows") - 1) if keys else F.lit(0)
+    partial = groups.groupBy(*line_id).agg(*[v.alias(k) for k, v in sums.items()])
+    repeated = F.sum(F.col("n_rows") - 1) if line_id else F.lit(0)
     total = partial.agg(
         repeated.alias("duplicate_line_ids"),
         *[F.sum(k).alias(k) for k in sums])
@@ -128,11 +134,23 @@ def validation_report(df: DataFrame, pos: str = "pos") -> DataFrame:
                     "invalid_timestamps", "invalid_log_levels"))
 
 
+def gate(report: DataFrame) -> DataFrame:
+    """Whether the validated table may pass, as rows (mode, passed, reason), lenient and strict (V8).
+
+    Errors block both ways, warnings only the strict one; the reason is null where the table passes.
+    """
+    blocked, warned = ~F.col("can_process"), ~F.col("is_valid")
+    problems = F.when(blocked, F.concat(F.lit("Validation failed: "), F.array_join("errors", "; ")))
+    strictly = F.coalesce(problems, F.when(warned, F.concat(F.lit("Strict validation failed: "), F.array_join("warnings", "; "))))
+    ways = F.array(F.struct(F.lit("lenient").alias("mode"), problems.alias("reason")), F.struct(F.lit("strict").alias("mode"), strictly.alias("reason")))
+    return report.select(F.explode(ways).alias("w")).select("w.mode", F.col("w.reason").isNull().alias("passed"), "w.reason")
+
+
 def require_valid(df: DataFrame, strict: bool = False, pos: str = "pos") -> dict:
-    """Evaluate the one report row and raise when it blocks; warnings block when strict (V8)."""
-    report = validation_report(df, pos).first().asDict()
-    if not report["can_process"]:
-        raise ValueError(f"Validation failed: {report['errors']}")
-    if strict and not report["is_valid"]:
-        raise ValueError(f"Strict validation failed: {report['warnings']}")
-    return report
+    """Evaluate the one report row and raise when the gate blocks it (V8)."""
+    report = validation_report(df, pos)
+    row = report.first()
+    judged = gate(df.sparkSession.createDataFrame([row], report.schema)).filter(F.col("mode") == ("strict" if strict else "lenient")).first()
+    if not judged["passed"]:
+        raise ValueError(judged["reason"])
+    return row.asDict()

@@ -101,10 +101,29 @@ def r6(col: str) -> Column:
 # ------------------------------------------------------------------ validation
 @query
 def validate_report(spark, sf):
-    return validate.validation_report(raw(spark, sf)).select(
-        "is_valid", "can_process", joined("errors"), joined("warnings"), joined("missing_columns"),
-        joined("missing_values"), "n_rows", "duplicate_rows", "duplicate_line_ids",
-        "invalid_timestamps", "invalid_log_levels")
+    return _report_columns(validate.validation_report(raw(spark, sf)))
+
+
+def _report_columns(report: DataFrame) -> DataFrame:
+    return report.select("is_valid", "can_process", joined("errors"), joined("warnings"), joined("missing_columns"),
+                         joined("missing_values"), "n_rows", "duplicate_rows", "duplicate_line_ids",
+                         "invalid_timestamps", "invalid_log_levels")
+
+
+@query
+def validate_missing_columns(spark, sf):
+    """The report of lines without levels and templates: an error names them, and their checks find nothing (V1)."""
+    return _report_columns(validate.validation_report(raw(spark, sf).drop("Level", "EventTemplate")))
+
+
+@query
+def validation_gate(spark, sf):
+    """Both ways of the gate, for the lines as they are and without a required column (V8)."""
+    whole = materialize(raw(spark, sf), "gate-lines")
+    parts = [validate.gate(validate.validation_report(df)).withColumn("input", F.lit(name))
+             for name, df in (("whole", whole), ("no_level", whole.drop("Level")), ("sound", whole.filter(
+                 "pos = 0 AND Level IS NOT NULL AND Time <> '999999'")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query

@@ -550,27 +550,45 @@ LABELLED = ("ls AS (SELECT doc_id, toxic AS label, (n_chars % 1000)::DOUBLE / 10
             "FROM documents JOIN labels USING (doc_id))")
 
 
-def _valid_sql() -> str:
-    cols = ["LineId", "Date", "Time", "Pid", "Level", "Component", "Content", "EventId", "EventTemplate"]
+def _valid_ctes(src: str = "SELECT * FROM stamped", absent: tuple[str, ...] = ()) -> list[str]:
+    """The report row `vd` of the lines that `src` selects; columns in `absent` are taken for missing."""
+    cols = [c for c in ["LineId", "Date", "Time", "Pid", "Level", "Component", "Content", "EventId", "EventTemplate"] if c not in absent]
     listing = "concat_ws(', ', " + ", ".join(
         f"CASE WHEN count(*) FILTER (WHERE \"{c}\" IS NULL) > 0 THEN '{c}=' || count(*) FILTER (WHERE \"{c}\" IS NULL) END"
         for c in cols) + ")"
-    bad = (f"\"Level\" IS NOT NULL AND upper({strip(chr(34) + 'Level' + chr(34))}) NOT IN "
-           "('INFO', 'WARN', 'WARNING', 'ERROR', 'FATAL', 'DEBUG')")
-    return ctes(LOG, STAMPED, f"""
-a AS (SELECT count(*) AS n, {listing} AS nulls, count(*) FILTER (WHERE "Timestamp" IS NULL) AS bt,
-  count(*) FILTER (WHERE {bad}) AS bl, count(*) - count(DISTINCT "LineId") AS dl FROM stamped),
-b AS (SELECT count(*) AS u FROM (SELECT DISTINCT {RAW_COLS} FROM log)),
-c AS (SELECT *, n - u AS dr FROM a, b),
-d AS (SELECT *, concat_ws(' | ', CASE WHEN n = 0 THEN 'DataFrame is empty.' END,
+    bad = "false" if "Level" in absent else (f"\"Level\" IS NOT NULL AND upper({strip(chr(34) + 'Level' + chr(34))}) NOT IN "
+                                             "('INFO', 'WARN', 'WARNING', 'ERROR', 'FATAL', 'DEBUG')")
+    missing = "NULL" if not absent else lit("Missing required columns: " + ", ".join(absent))
+    return [f"""
+vs AS ({src}),
+va AS (SELECT count(*) AS n, {listing} AS nulls, count(*) FILTER (WHERE "Timestamp" IS NULL) AS bt,
+  count(*) FILTER (WHERE {bad}) AS bl, count(*) - count(DISTINCT "LineId") AS dl FROM vs),
+vb AS (SELECT count(*) AS u FROM (SELECT DISTINCT {', '.join(f'"{c}"' for c in cols)} FROM vs)),
+vc AS (SELECT *, n - u AS dr FROM va, vb),
+vd AS (SELECT *, concat_ws(' | ', {missing}, CASE WHEN n = 0 THEN 'DataFrame is empty.' END,
     CASE WHEN n > 0 AND bt = n THEN 'No valid timestamps found.' END) AS errors,
   concat_ws(' | ', CASE WHEN nulls <> '' THEN 'Missing values: ' || nulls END,
     CASE WHEN dr > 0 THEN dr || ' duplicate rows' END, CASE WHEN dl > 0 THEN dl || ' duplicate LineIds' END,
     CASE WHEN bt > 0 AND bt < n THEN bt || ' invalid timestamps' END,
-    CASE WHEN bl > 0 THEN bl || ' invalid log levels' END) AS warnings FROM c)""") + """
+    CASE WHEN bl > 0 THEN bl || ' invalid log levels' END) AS warnings FROM vc)"""]
+
+
+def _valid_sql(absent: tuple[str, ...] = ()) -> str:
+    return ctes(LOG, STAMPED, *_valid_ctes(absent=absent)) + f"""
 SELECT (errors = '' AND warnings = '') AS is_valid, errors = '' AS can_process, errors, warnings,
-  '' AS missing_columns, nulls AS missing_values, n::BIGINT AS n_rows, dr::BIGINT AS duplicate_rows,
-  dl::BIGINT AS duplicate_line_ids, bt::BIGINT AS invalid_timestamps, bl::BIGINT AS invalid_log_levels FROM d"""
+  {lit(" | ".join(absent))} AS missing_columns, nulls AS missing_values, n::BIGINT AS n_rows, dr::BIGINT AS duplicate_rows,
+  dl::BIGINT AS duplicate_line_ids, bt::BIGINT AS invalid_timestamps, bl::BIGINT AS invalid_log_levels FROM vd"""
+
+
+def _gate_sql() -> str:
+    parts = []
+    for name, src, absent in (("whole", "SELECT * FROM stamped", ()), ("no_level", "SELECT * FROM stamped", ("Level",)),
+                              ("sound", "SELECT * FROM stamped WHERE pos = 0 AND \"Level\" IS NOT NULL AND \"Time\" <> '999999'", ())):
+        failed = "CASE WHEN errors <> '' THEN 'Validation failed: ' || replace(errors, ' | ', '; ') END"
+        strictly = f"coalesce({failed}, CASE WHEN warnings <> '' THEN 'Strict validation failed: ' || replace(warnings, ' | ', '; ') END)"
+        parts.append("(" + ctes(*_valid_ctes(src, absent)) + f"SELECT '{name}' AS input, 'lenient' AS mode, {failed} AS reason FROM vd "
+                     f"UNION ALL SELECT '{name}', 'strict', {strictly} FROM vd)")
+    return ctes(LOG, STAMPED) + "SELECT input, mode, reason IS NULL AS passed, reason FROM (" + " UNION ALL ".join(parts) + ")"
 
 
 def build() -> dict[str, str]:
@@ -580,6 +598,8 @@ def build() -> dict[str, str]:
     feat_cols = ", ".join(f"round({c}, 6) AS {c}" if c.endswith("_ratio") else c for c in FEATURES)
 
     sql["validate_report"] = _valid_sql()
+    sql["validate_missing_columns"] = _valid_sql(("Level", "EventTemplate"))
+    sql["validation_gate"] = _gate_sql()
     sql["null_counts"] = ctes(LOG) + "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE \"{c}\" IS NULL)::BIGINT AS null_count FROM log"
         for c in ["LineId", "Date", "Time", "Pid", "Level", "Component", "Content", "EventId",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
 from ..operators import forest, retrieval
-from ..sources import logs, store
+from ..sources import documents, logs, store
 from ..sources.materialize import scratch_path
 from ..sources.tables import log_lines, table
 from . import fixed_forest, prepare
@@ -41,6 +42,65 @@ def csv_lines(spark, sf):
     return found.groupBy(*[c for c in found.columns if c != "pos"]).agg(F.count(F.lit(1)).alias("n"))
 
 
+def csv_damage(spark, sf):
+    """Records cut short, with a field too many, or over two lines are counted; the others read as they are."""
+    folder, lines = _folder(spark, "csv"), log_lines(spark, sf)
+    names = [c for c in lines.columns if c != "pos"]
+    text = F.to_csv(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names]))
+    cut = F.when(F.col("LineId") % 101 == 5, F.substring_index(text, ",", 4)).when(F.col("LineId") % 103 == 7, F.concat(text, F.lit(",more")))
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([",".join(names)])], ["value"])
+        yield from batches
+
+    plain = lines.select(F.coalesce(cut, text).alias("value"))
+    plain.mapInArrow(with_header, "value string").write.text(f"{folder}/{logs.STRUCTURED_FILE}")
+    spanning = lines.filter(F.col("LineId") % BREAKS == 0).withColumn("Content", _broken())
+    spanning.drop("pos").write.mode("append").option("header", True).option("escape", '"').csv(f"{folder}/{logs.STRUCTURED_FILE}")
+    found = logs.damaged_records(spark, f"{folder}/{logs.STRUCTURED_FILE}")
+    return found.agg(F.sum("n_records").alias("n_records"), F.sum("n_damaged").alias("n_damaged"))
+
+
+def raw_lines(spark, sf):
+    """Raw lines through text files."""
+    folder = _folder(spark, "raw-lines")
+    log_lines(spark, sf).select(F.coalesce("Content", F.lit("")).alias("value")).write.text(f"{folder}/{logs.RAW_FILE}")
+    return logs.load_raw_logs(spark, f"{folder}/{logs.RAW_FILE}").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def template_rows(spark, sf):
+    """The template dictionary through CSV (S3)."""
+    folder = _folder(spark, "templates")
+    log_lines(spark, sf).select("EventId", "EventTemplate").distinct().write.option("header", True).csv(f"{folder}/{logs.TEMPLATES_FILE}")
+    return logs.load_templates(spark, f"{folder}/{logs.TEMPLATES_FILE}")
+
+
+def _document_folder(spark, sf) -> str:
+    """`documents` as a file each, in a folder each; every 50th is blank."""
+    folder = _folder(spark, "documents")
+    blank = F.when(F.col("doc_id") % 50 == 0, F.lit(" \t ")).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), blank.alias("text"))
+    docs.repartition("name").write.partitionBy("name").text(folder)
+    return folder
+
+
+def _named(docs: DataFrame, *columns) -> DataFrame:
+    return docs.select(F.regexp_extract("source", "name=([^/]+)/", 1).alias("name"), *columns)
+
+
+def folder_documents(spark, sf):
+    """Documents read from a folder tree, blank ones left out."""
+    docs = documents.load_documents(spark, _document_folder(spark, sf), "*.txt")
+    count = documents.document_count(docs).scalar()
+    found = docs.join(documents.document_names(docs), "source")
+    return _named(found, F.md5("content").alias("digest")).withColumn("n_documents", count)
+
+
+def skipped_documents(spark, sf):
+    """Documents of a folder tree that aren't usable, with the reason."""
+    return _named(documents.skipped_documents(spark, _document_folder(spark, sf), "*.txt"), "reason")
+
+
 def prepared_features(spark, sf):
     """Raw folder to stored features: load, gate, clean, write, read."""
     folder = _folder(spark, "raw")
@@ -79,7 +139,8 @@ def report_rows(spark, sf):
 
 
 def queries(window_table, document_index, benchmark_queries) -> dict:
-    return {"csv_lines": csv_lines, "prepared_features": prepared_features, "stored_model_scores": stored_model_scores(window_table),
+    return {"csv_lines": csv_lines, "csv_damage": csv_damage, "raw_lines": raw_lines, "template_rows": template_rows,
+            "folder_documents": folder_documents, "skipped_documents": skipped_documents, "prepared_features": prepared_features, "stored_model_scores": stored_model_scores(window_table),
             "stored_index_top": stored_index_top(document_index, benchmark_queries), "report_rows": report_rows}
 
 
@@ -90,6 +151,13 @@ def oracle(sql: dict[str, str], log: str) -> dict[str, str]:
     broken = f"""CASE WHEN "LineId" % {BREAKS} = 0 THEN "Content" || chr(10) || '"second" line' ELSE "Content" END"""
     return {
         "csv_lines": log + f'SELECT {cols}, {broken} AS "Content", count(*) AS n FROM log GROUP BY ALL',
+        "csv_damage": log + f"""SELECT sum(1 + ("LineId" % {BREAKS} = 0)::INT)::BIGINT AS n_records,
+            count(*) FILTER ("LineId" % 101 = 5 OR "LineId" % 103 = 7)::BIGINT AS n_damaged FROM log""",
+        "raw_lines": log + """SELECT coalesce("Content", '') AS line, count(*) AS n FROM log GROUP BY 1""",
+        "template_rows": log + 'SELECT DISTINCT "EventId", "EventTemplate" FROM log',
+        "folder_documents": "SELECT 'doc_' || doc_id AS name, md5(text || chr(10)) AS digest, count(*) OVER () AS n_documents FROM documents "
+                            "WHERE doc_id % 50 <> 0 AND regexp_matches(text, '\\S')",
+        "skipped_documents": "SELECT 'doc_' || doc_id AS name, 'empty' AS reason FROM documents WHERE doc_id % 50 = 0 OR NOT regexp_matches(text, '\\S')",
         "prepared_features": sql["window_features"],
         "stored_model_scores": sql["fixed_forest_scores"],
         "stored_index_top": sql["bm25_top"],

@@ -9,10 +9,10 @@ from ..constants import EVAL_CASES
 from ..schemas import EVAL_CASE_SCHEMA
 
 
-def _read(spark: SparkSession, folder: str) -> DataFrame:
+def _read(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     root = folder.rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.md").load(root))
+             .option("pathGlobFilter", pattern).load(root))
     clean_root = F.lit(root.removeprefix("file:"))
     path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(
@@ -20,18 +20,18 @@ def _read(spark: SparkSession, folder: str) -> DataFrame:
         path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable *.md documents below a folder; source is the relative path."""
-    docs = _read(spark, folder).filter(F.col("content").rlike(r"\S"))
+def load_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """Usable documents below a folder; source is the relative path."""
+    docs = _read(spark, folder, pattern).filter(F.col("content").rlike(r"\S"))
     if docs.isEmpty():
-        raise ValueError(f"No usable .md documents found in {folder}")
+        raise ValueError(f"No usable {pattern.lstrip('*')} documents found in {folder}")
     return docs
 
 
-def skipped_documents(spark: SparkSession, folder: str) -> DataFrame:
+def skipped_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """Blank documents that load_documents leaves out, with the reason."""
-    return (_read(spark, folder).filter(~F.col("content").rlike(r"\S"))
-            .select("path", F.lit("empty").alias("reason")))
+    return (_read(spark, folder, pattern).filter(~F.col("content").rlike(r"\S"))
+            .select("source", "path", F.lit("empty").alias("reason")))
 
 
 def document_count(docs: DataFrame) -> DataFrame:
