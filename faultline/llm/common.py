@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
+import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -19,6 +21,8 @@ ORACLE: dict[str, str] = {}
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+#: Name of the module that holds what a worker keeps.
+WORKER = "_faultline_worker"
 
 
 def query(fn: Query) -> Query:
@@ -51,9 +55,22 @@ def give_back() -> None:
         trim(0)
 
 
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """What this worker process keeps from task to task, of one owner at a time.
+
+    It is held in a module made for it, because the functions of a job come anew with each task.
+    """
+    held = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__.setdefault("kept", {})
+    if owner not in held:
+        held.clear()
+        held[owner] = make()
+    return held[owner]
+
+
 def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`task` on the batches of a partition; at its end, freed memory is given back."""
+    """`task` on the batches of a partition; what another one has kept goes before, freed memory is given back after."""
     def run(batches: Iterator) -> Iterator:
+        sys.modules.get(WORKER, types.ModuleType(WORKER)).__dict__.get("kept", {}).clear()
         yield from task(batches)
         give_back()
 
@@ -103,4 +120,4 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
 
 
-__all__ = ["batch_rows", "give_back", "quoted", "tidied", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]
+__all__ = ["batch_rows", "give_back", "kept", "quoted", "tidied", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]

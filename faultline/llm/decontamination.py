@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, materialize, query, quoted, slices, table
+from .common import ORACLE, materialize, query, quoted, slices, table, tidied
 
 WINDOW = 10
 #: Windows in one pattern table. More windows are searched in several passes, a table each.
@@ -80,7 +80,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(out_ids, pa.string())], ["window", "item"])
 
     rows = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("string"))
-    return rows.mapInArrow(cut, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    return rows.mapInArrow(tidied(cut), "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -120,7 +120,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 cols += [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["key"] + ([] if last else ["text"]) + ["n_words", "hits", "items"])
 
-        state = state.mapInArrow(search, f"key {kind}, {'' if last else 'text string, '}n_words bigint, hits array<bigint>, items array<string>")
+        state = state.mapInArrow(tidied(search), f"key {kind}, {'' if last else 'text string, '}n_words bigint, hits array<bigint>, items array<string>")
         if not last:
             state = materialize(state, "bench-hits")
     return state.withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, slices, table
+from .common import kept, materialize, query, slices, table
 
 SEQUENCE, END_ID = 2048, 1
 #: Mean number of documents in a group, and words whose ids a worker keeps.
@@ -82,17 +82,8 @@ class WordIds:
 
 
 def kept_word_ids(path: str) -> WordIds:
-    """What this worker process has learnt of the tokenizer: it serves many tasks one after the other.
-
-    Kept beside the tokenizer library, because the functions of a job come anew with each task.
-    """
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_word_ids_by_path", {})
-    if path not in kept:
-        kept.clear()
-        kept[path] = WordIds(path)
-    return kept[path]
+    """What this worker process has learnt of the tokenizer: it serves many tasks one after the other."""
+    return kept(f"words of {path}", lambda: WordIds(path))
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:

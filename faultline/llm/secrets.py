@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, slices, table
+from .common import materialize, query, slices, table, tidied
 from .spans import ARROW_SPANS, SPANS, Covered, counted, joined, masked, span
 
 KINDS = ("assign", "access", "hex", "random")
@@ -146,7 +146,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 pa.array([[dict(zip(("start", "end", "stratum", "bin"), c, strict=True)) for c in f[1]] for f in found], ARROW_CANDIDATES),
                 pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["key", "base", "candidates", "ordinary"])
 
-    return rows.mapInArrow(each, f"key {kind}, base {SPANS}, candidates {CANDIDATES}, ordinary array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidied(each), f"key {kind}, base {SPANS}, candidates {CANDIDATES}, ordinary array<int>").withColumnRenamed("key", key)
 
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> list[int]:
@@ -207,7 +207,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars",
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(tidied(mask), docs.schema)
 
 
 @query

@@ -160,7 +160,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     for i, key in enumerate(alone):
         shard = F.when(F.col("group_key") == key, i).otherwise(shard)
     placed = narrow.withColumn("shard", shard.cast("int"))
-    slots = number_slots(placed, "shard", order_key(F.col("doc_id").cast("string")), ["size", "text_crc32", "group_key"], total)
+    # The text is part of the key, so that rows without doc_id, or of a repeated one, spread over the ranges too.
+    place = order_key(F.concat_ws("|", F.col("doc_id").cast("string"), "group_key", "text_crc32", "size"))
+    slots = number_slots(placed, "shard", place, ["doc_id", "size", "text_crc32", "group_key"], total)
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
 
