@@ -207,6 +207,7 @@ PLAN_HEAD = [
 ]
 PLAN_AUTO = ("search_runbook", "Search runbooks using the strongest evidence found so far")
 PLAN_TAIL = ("find_similar_incidents", "Find windows with a similar profile")
+PLAN_TEXT = [("search_runbook", "Search the runbooks")]
 REASON_NORMAL = "ML score is below the threshold and there are no WARN/ERROR/FATAL signals."
 REASON_NO_DIRECT = ("No failure category has enough direct evidence "
                     "(runbook matches alone are not enough).")

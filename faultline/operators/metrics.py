@@ -108,15 +108,21 @@ def unsupervised_summary(df: DataFrame, score: str = "anomaly_score", flag: str
 
 
 # ------------------------------------------------------------------ synthetic anomalies
+def _digits(n: int, *parts: Column) -> Column:
+    """The first n hex digits of the md5 of the parts' texts, as a number; the same in any engine."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
 def _uniform(key: str, seed: int, stream: int, low: float, high: float) -> Column:
     """A number in [low, high) that depends only on the row key, the copy, the seed and the stream."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("_copy"), F.lit(seed), F.lit(stream)), F.lit(2 ** 30))
-    return F.lit(low) + u.cast("double") / F.lit(float(2 ** 30)) * F.lit(high - low)
+    u = _digits(8, F.col(key), F.col("_copy"), F.lit(seed), F.lit(stream))
+    return F.lit(low) + u.cast("double") / F.lit(float(2 ** 32)) * F.lit(high - low)
 
 
 def first_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A reproducible sample of n rows by hash order, found with range totals instead of a sort."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", _digits(15, F.col(key), F.lit(seed)))
     ranks = running_totals(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_w")), "_h", {"_w": "_r"})
     return (hashed.join(ranks.filter(F.col("_r") <= n).select("_h"), "_h", "left_semi").drop("_h"))
 

@@ -15,12 +15,12 @@ from ..operators import attribution, chunking, clean, evidence, features, forest
 from ..operators import metrics, neighbours, retrieval, validate
 from ..sources import tables as src
 from ..sources.materialize import materialize, scratch_path
-from ..streaming.windows import stream_features
+from ..streaming.windows import epoch_folder, score_batches, stream_features
 from . import fixed_forest, prepare, round_trips
 from . import investigate as inv
 
 WINDOW = "10min"
-STREAM_DAYS = 6
+STREAM_DAYS, STREAM_FILE_ROWS = 6, 200_000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -551,22 +551,31 @@ def root_cause(spark, sf):
                                         "explanation", "recommendations")
 
 
-def _flat_report(r: DataFrame) -> DataFrame:
-    scores = F.array_join(F.array(*[F.concat(F.lit(f"{c[0]}="), F.format_string(
-        "%.2f", F.col("cause_scores").getItem(c[0]))) for c in CAUSES]), ",")
+def _flat(r: DataFrame, *keys: str) -> DataFrame:
+    """Reports with their lists and structs as text."""
+    known = F.col("cause_scores").isNotNull()
+    scores = F.when(known, F.array_join(F.array(*[F.concat(F.lit(f"{c[0]}="), F.format_string(
+        "%.2f", F.col("cause_scores").getItem(c[0]))) for c in CAUSES]), ","))
     similar = F.array_join(F.transform("similar_incidents", lambda s: F.concat(
         s["incident_id"], F.lit(":"), F.format_string("%.4f", s["similarity"]))), ",")
     steps = F.array_join(F.transform("plan", lambda s: F.concat(
         s["step"].cast("string"), F.lit(" "), s["tool"], F.lit(": "), s["purpose"])), "\n")
     kinds = F.array_join(F.transform("evidence_details", lambda e: e["type"]), ",")
-    return r.select("incident_no", "incident_id", "window_start", "anomaly_score", "is_anomaly",
+    factors = F.array_join(F.transform("ml_explanation.top_factors", lambda f: F.concat(
+        f["feature"], F.lit(" "), F.format_string("%.4f", f["contribution"] + 0.0))), ", ")
+    return r.select(*keys, "incident_id", "window_start", "anomaly_score", "is_anomaly",
                     "root_cause", "confidence", joined("evidence", "\n"), kinds.alias("evidence_types"),
                     joined("explanation", "\n"), joined("recommendations", "\n"),
                     scores.alias("cause_scores"), joined("runbooks", ","),
                     similar.alias("similar_incidents"), joined("limitations", "\n"),
+                    F.concat(F.col("ml_explanation.method"), F.lit(": "), factors).alias("ml_explanation"),
                     steps.alias("plan"))
 
 
+def _flat_report(r: DataFrame) -> DataFrame:
+    return _flat(r, "incident_no")
+
+
 def full_reports(spark, sf):
     cases, inc = report_cases(spark, sf)
     contributions = F.array(*stand_in_contributions())
@@ -589,11 +598,8 @@ def investigation_plan(spark, sf):
             .select("incident_no", "s.step", "s.tool", "s.purpose"))
 
 
-@query
-def analyze_text(spark, sf):
+def asked_questions(spark, sf):
     """User turns: every third is prefixed with a cause phrase, every fifth names an incident."""
-    cases, inc = report_cases(spark, sf)
-    reports = inv.incident_reports(cases, scores=stand_in_scores(inc))
     phrases = ["DataNode heartbeat failure", "network timeout", "something feels slow",
                "disk full, no space left", "replication pending error on storage"]
     n = F.col("conv_id") * 100 + F.col("turn")
@@ -601,9 +607,43 @@ def analyze_text(spark, sf):
     text = (F.when(n % 5 == 1, F.concat(F.lit("please look at inc-"), (n % 4999).cast("string"),
                                         F.lit(" for me")))
             .when(n % 3 == 0, F.concat(phrase, F.lit(" "), F.col("text"))).otherwise(F.col("text")))
-    asked = src.user_turns(spark, sf).select(n.alias("query_id"), text.alias("query"))
-    out = inv.analyze(asked, reports)
-    return out.select("query_id", "incident_id", "found", "root_cause", "confidence")
+    return src.user_turns(spark, sf).select(n.alias("query_id"), text.alias("query"))
+
+
+@query
+def analyze_text(spark, sf):
+    """Full answers to the user turns; runbooks are searched among all documents."""
+    retriever = inv.index_retriever(retrieval.build_index(src.cause_documents(spark, sf)))
+    out = inv.analyze(asked_questions(spark, sf), full_reports(spark, sf), retriever)
+    return _flat(out, "query_id", "query", "found")
+
+
+def _logged(spark, sf) -> DataFrame:
+    """A log of two days of reports and one of answers to questions, all as of fixed times."""
+    path = round_trips.shared_folder(spark, "history")
+    cases, inc = report_cases(spark, sf)
+    reports = materialize(inv.incident_reports(cases, scores=stand_in_scores(inc)), "reports")
+    for day, part in (("2035-03-01", "incident_no % 2 = 0"), ("2035-03-02", "incident_no % 2 = 1")):
+        inv.append_history(reports.filter(part), path, F.lit(f"{day} 10:00:00").cast("timestamp"))
+    answers = inv.analyze(asked_questions(spark, sf), reports)
+    inv.append_history(answers, path, F.lit("2035-03-03 12:00:00").cast("timestamp"))
+    return inv.read_history(spark, path)
+
+
+@query
+def investigation_log(spark, sf):
+    """All entries of the log, reports and questions."""
+    log = _logged(spark, sf)
+    return log.select("entry", "incident_id", "query", "root_cause", "confidence", "anomaly_score",
+                      F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"))
+
+
+@query
+def latest_investigations(spark, sf):
+    """The newest 30 entries, in order; only the last days are read."""
+    return inv.history(_logged(spark, sf), 30).select(
+        "entry", "incident_id", "query", "root_cause", "confidence",
+        F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"))
 
 
 # ------------------------------------------------------------------ detector and attribution
@@ -771,24 +811,25 @@ def label_coverage(spark, sf):
 def stream_window_features(spark, sf):
     """The window features from a stream over files of lines, run until all files are read.
 
-    The lines of each of a few spans of days are one file, and files arrive in time order, so a delay
-    of some hours is enough. Two lines far in the future push the watermark past every real window,
+    The lines of each of a few spans of days arrive together, in as many files as the largest asks for,
+    and spans arrive in time order, so a delay of some hours is enough. Two lines far in the future push the watermark past every real window,
     which closes them.
     """
     files, out, state = (scratch_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
     if files is None:
         raise ValueError("Streaming needs a shared folder: set spark.checkpoint.dir.")
     lines = materialize(raw(spark, sf), "stream-lines")
-    days = sorted(r[0] for r in lines.select("Date").distinct().collect())
-    for start in range(0, len(days), STREAM_DAYS):
-        span = lines.filter(F.col("Date").isin(days[start:start + STREAM_DAYS]))
-        span.coalesce(1).write.mode("append").parquet(files)
+    sizes = sorted(lines.groupBy("Date").count().collect())
+    spans = [sizes[at:at + STREAM_DAYS] for at in range(0, len(sizes), STREAM_DAYS)]
+    parts = max(1, *(-(-sum(n for _, n in span) // STREAM_FILE_ROWS) for span in spans))
+    for span in spans:
+        lines.filter(F.col("Date").isin([day for day, _ in span])).repartition(parts).write.mode("append").parquet(files)
     for minute in ("00", "01"):
         late = lines.limit(1).withColumns({
             "LineId": F.lit(-1 - int(minute)).cast("long"), "Date": F.lit("350101"),
             "Time": F.lit(f"00{minute}00")})
         late.coalesce(1).write.mode("append").parquet(files)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", parts).parquet(files)
     run = (stream_features(stream, WINDOW, "6 hours").writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start())
     run.awaitTermination()
@@ -796,5 +837,56 @@ def stream_window_features(spark, sf):
         "time_window", *[r6(c) if c.endswith("_ratio") else F.col(c) for c in FEATURES])
 
 
-QUERIES |= fixed_forest.queries(window_table, numbered, r6)
+@query
+def stream_scores(spark, sf):
+    """Scores of a stream of feature rows, each epoch in a folder of its own (ST2)."""
+    files, out, state = (round_trips.shared_folder(spark, x) for x in ("scores-in", "scores-out", "scores-state"))
+    table = window_table(spark, sf).repartition(6)
+    table.write.parquet(files)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(files)
+    sink = score_batches(fixed_forest.model(), epoch_folder(out))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("time_window", r6("decision"), r6("anomaly_score"), "is_anomaly")
+
+
+@query
+def forest_shape(spark, sf):
+    """What must hold of every trained forest: trees, rows at roots and leaves, depth, and children that add up (M1)."""
+    model, _ = _model(spark, sf)
+    nodes = spark.createDataFrame(model.nodes)
+    inner, leaf = F.col("feature") >= 0, F.col("feature") < 0
+    kids = nodes.select("tree_id", F.col("node_id").alias("kid"), F.col("n").alias("kid_n"), (F.col("depth") - 1).alias("kid_depth"))
+    below = nodes.filter(inner).join(kids, "tree_id").filter("kid = left_id OR kid = right_id").groupBy("tree_id", "node_id").agg(
+        (F.sum("kid_n") == F.max("n")).alias("adds_up"), F.bool_and(F.col("kid_depth") == F.col("depth")).alias("one_deeper"))
+    wrong = below.agg(F.count_if(~F.col("adds_up") | ~F.col("one_deeper")).alias("w")).scalar()
+    limit = F.ceil(F.log2(F.lit(float(max(model.subsample, 2)))))
+    return nodes.agg(
+        F.countDistinct("tree_id").alias("n_trees"), F.max(F.when(F.col("node_id") == 0, F.col("n"))).cast("long").alias("root_rows"),
+        F.sum(F.when(leaf, F.col("n"))).cast("long").alias("leaf_rows"), (F.count_if(leaf) - F.count_if(inner)).alias("more_leaves"),
+        (F.max("depth") <= limit).alias("within_depth")).withColumn("wrong_nodes", wrong)
+
+
+@query
+def training_rows(spark, sf):
+    """Training input from raw lines, and again from the features: the same rows (M5)."""
+    once = forest.prepare_training_data(raw(spark, sf), WINDOW)
+    again = forest.prepare_training_data(materialize(once, "training"), WINDOW)
+    return again.select("time_window", *[r6(c) if c.endswith("_ratio") else F.col(c) for c in FEATURES])
+
+
+@query
+def training_summary(spark, sf):
+    """Settings and counts that a trained model keeps (M6); the rate follows from exact quantiles of its scores."""
+    model, table = _model(spark, sf)
+    p = model.params
+    scored = metrics.unsupervised_summary(forest.predict(model, table), contamination=p["contamination"])
+    return scored.select(
+        F.lit(p["n_estimators"]).cast("long").alias("n_estimators"), F.lit(p["random_state"]).cast("long").alias("random_state"),
+        F.lit(p["n_samples"]).cast("long").alias("n_samples"), F.lit(p["n_features"]).cast("long").alias("n_features"),
+        F.col("contamination_setting"), (F.col("n_samples") == p["n_samples"]).alias("all_rows_scored"),
+        (F.abs(F.col("anomaly_rate") - p["train_anomaly_rate"]) < 1e-12).alias("same_rate"),
+        (F.col("anomaly_rate") <= F.lit(float(p["contamination"])) + 1e-12).alias("within_setting"))
+
+
+QUERIES |= fixed_forest.queries(window_table, numbered, r6, _window_labels)
 QUERIES |= round_trips.queries(window_table, document_index, benchmark_queries)

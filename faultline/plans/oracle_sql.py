@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, CHUNK_OVERLAP, CHUNK_SIZE, DISCLAIMER, FEATURE_LABELS, FEATURES,
+from ..constants import (BM25_B, BM25_EPSILON, BM25_K1, CAUSES, CHUNK_OVERLAP, CHUNK_SIZE, CONTAMINATION, DISCLAIMER, FEATURE_LABELS, FEATURES,
                          GENERAL_RECOMMENDATIONS, HASH_DIMS, LIMIT_NO_RUNBOOK, MASKS,
-                         MAX_LOG_CHARS, MAX_LOG_LINES, MIN_CHUNK_CHARS, NO_INCIDENT, NO_RISING_TEXT,
-                         PLAN_AUTO, PLAN_HEAD, PLAN_TAIL, QUERY_FALLBACK, QUERY_HEAD, QUERY_HINTS,
-                         REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SIGNAL_NAMES,
-                         SIGNAL_QUERIES, SIGNALS, UNDETERMINED)
+                         MAX_LOG_CHARS, MAX_LOG_LINES, MIN_CHUNK_CHARS, NO_INCIDENT, NO_RISING_TEXT, N_TREES,
+                         PLAN_AUTO, PLAN_HEAD, PLAN_TAIL, PLAN_TEXT, QUERY_FALLBACK, QUERY_HEAD, QUERY_HINTS,
+                         REASON_NO_DIRECT, REASON_NORMAL, RISING_HEADER, SEED, SIGNAL_NAMES,
+                         SIGNAL_QUERIES, SIGNALS, SUBSAMPLE, UNDETERMINED)
 from ..sources.tables import RUNBOOKS
 from . import fixed_forest, round_trips
 
 NL = "chr(10)"
+NL_PLAN = "\n".join(f"{i} {tool}: {text}" for i, (tool, text) in enumerate(PLAN_TEXT, 1))
 
 
 def lit(text: str) -> str:
@@ -470,14 +471,16 @@ sl AS (SELECT incident_no, string_agg(similar_id || ':' || printf('%.4f', simila
   max(CASE WHEN rank = 1 THEN CASE WHEN similarity >= 0.3 THEN 'Most similar incident: ' || similar_id || ' (similarity '
     || {fixed('similarity', 2)} || ')' ELSE 'No close match among other incidents (best similarity '
     || {fixed('similarity', 2)} || ')' END END) AS best FROM sims GROUP BY 1),
+fm AS (SELECT incident_no, 'shap: ' || string_agg(feature || ' ' || printf('%.4f', contribution + 0.0), ', ' ORDER BY rank) AS ml
+  FROM fc WHERE rank <= 5 GROUP BY 1),
 sp2 AS (SELECT time_window, list('Check ' || signal || ': ' || n || ' WARN/ERROR/FATAL line(s) mention it' ORDER BY search_no) AS ps
   FROM su GROUP BY 1),
 rp AS (SELECT ve.*, coalesce(fl, []) AS fl, coalesce(rs.runbooks, []) AS rbs, sl.txt AS sim_txt, sl.best, coalesce(ps, []) AS ps,
-  coalesce(severe_lines, []) AS sv,
+  coalesce(severe_lines, []) AS sv, ml AS ml_explanation,
   list_filter([{labels}, CASE WHEN fatal_count > 0 THEN fatal_count || ' FATAL line(s) in the window' END,
     CASE WHEN error_ratio >= 0.1 THEN 'Error ratio is ' || {percent('error_ratio')} || ' of all lines' END],
     lambda x: x IS NOT NULL) AS lg
-  FROM ve LEFT JOIN fi USING (incident_no) LEFT JOIN rs USING (incident_no) LEFT JOIN sl USING (incident_no)
+  FROM ve LEFT JOIN fi USING (incident_no) LEFT JOIN fm USING (incident_no) LEFT JOIN rs USING (incident_no) LEFT JOIN sl USING (incident_no)
   LEFT JOIN sp2 USING (time_window)),
 rq AS (SELECT *, list_concat(['ML anomaly score ' || {fixed('anomaly_score', 2)} || ' (' || CASE WHEN is_anomaly
     THEN 'ABOVE' ELSE 'below' END || ' the anomaly threshold)'], fl, lg, sv,
@@ -494,35 +497,79 @@ SELECT incident_no, incident_id, time_window AS window_start, anomaly_score, is_
   cause_scores, array_to_string(rbs, ',') AS runbooks, coalesce(sim_txt, '') AS similar_incidents,
   concat_ws({NL}, CASE WHEN logs_per_window > {MAX_LOG_LINES} THEN 'Only the {MAX_LOG_LINES} most severe of '
     || logs_per_window || ' log lines were analysed.' END,
-    CASE WHEN len(rbs) = 0 THEN {lit(LIMIT_NO_RUNBOOK)} END) AS limitations,
+    CASE WHEN len(rbs) = 0 THEN {lit(LIMIT_NO_RUNBOOK)} END) AS limitations, ml_explanation,
   array_to_string(list_transform(pl, lambda x, i: i || ' ' || x.t || ': ' || x.p), {NL}) AS plan FROM rq"""
 
 
-def analyze_sql() -> str:
-    phrases = ["DataNode heartbeat failure", "network timeout", "something feels slow",
-               "disk full, no space left", "replication pending error on storage"]
-    ph = "[" + ", ".join(lit(p) for p in phrases) + "]"
+_PHRASES = ["DataNode heartbeat failure", "network timeout", "something feels slow",
+            "disk full, no space left", "replication pending error on storage"]
+# Questions: those that name an incident (byid), and the others (free).
+QUESTIONS = f"""
+ut AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+uq AS (SELECT query_id, {strip("CASE WHEN query_id % 5 = 1 THEN 'please look at inc-' || (query_id % 4999) || ' for me' "
+      f"WHEN query_id % 3 = 0 THEN [{', '.join(lit(p) for p in _PHRASES)}][query_id % {len(_PHRASES)} + 1] || ' ' || text ELSE text END")} AS txt FROM ut),
+un AS (SELECT *, regexp_extract(txt, {lit(r'(?i)(\bINC[-_ ]?\d+\b)')}, 1) AS raw FROM uq WHERE txt <> ''),
+byid AS (SELECT query_id, txt, try_cast(regexp_extract(raw, '(\\d+)$', 1) AS BIGINT) AS no FROM un WHERE raw <> ''),
+free AS (SELECT query_id, txt FROM un WHERE raw = '')""".replace("(\\\\d+)", "(\\d+)")
+CAUSE_DOCS = ("cd AS (SELECT doc_id AS k, [" + ", ".join(lit(c[1]) for c in CAUSES) + f"][doc_id % {len(CAUSES)} + 1] || '_' || doc_id || '.md' AS source, "
+              "text AS content FROM documents)")
+
+
+def free_ctes(searched: bool) -> list[str]:
+    """Reports fv of the free questions; without a search there are no hits."""
+    if searched:
+        hits = ["fqs AS (SELECT DISTINCT txt AS q, txt FROM free)", hybrid_ctes("cd", "fqs"), """
+fh AS (SELECT f.query_id, h.rank, h.source, row_number() OVER (PARTITION BY f.query_id ORDER BY h.rank) AS position FROM free f JOIN hit h ON h.q = f.txt)"""]
+        hits = [CAUSE_DOCS, *hits]
+    else:
+        hits = ["fh AS (SELECT query_id, 0 AS rank, txt AS source, 0 AS position FROM free WHERE false)"]
     rows = " UNION ALL ".join(
         f"SELECT query_id, {i} AS no, {lit(c[0])} AS cause, "
         f"CASE WHEN regexp_matches(txt, {lit('(?i)' + c[2])}) THEN 2.0::DOUBLE ELSE 0 END + "
-        f"CASE WHEN regexp_matches(txt, {lit('(?i)' + c[3])}) THEN 1.0::DOUBLE ELSE 0 END AS s FROM free"
+        f"CASE WHEN regexp_matches(txt, {lit('(?i)' + c[3])}) THEN 1.0::DOUBLE ELSE 0 END AS direct, "
+        f"coalesce((SELECT sum(CASE h.rank WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END "
+        f"* CASE WHEN h.position = 1 THEN 1.0 ELSE 0.5 END) FROM fh h WHERE h.query_id = free.query_id AND contains(lower(h.source), '{c[1]}')), 0.0) AS pts, "
+        f"list_concat(CASE WHEN regexp_matches(txt, {lit('(?i)' + c[2])}) THEN ['matches your description'] ELSE [] END, "
+        f"coalesce((SELECT list('runbook ' || h.source ORDER BY h.position) FROM fh h WHERE h.query_id = free.query_id "
+        f"AND contains(lower(h.source), '{c[1]}')), []::VARCHAR[])) AS notes FROM free"
         for i, c in enumerate(CAUSES))
-    return ctes(*CASES, SCORE, verdict_ctes(False), f"""
-ut AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations WHERE role = 'user'),
-uq AS (SELECT query_id, {strip("CASE WHEN query_id % 5 = 1 THEN 'please look at inc-' || (query_id % 4999) || ' for me' "
-      f"WHEN query_id % 3 = 0 THEN {ph}[query_id % {len(phrases)} + 1] || ' ' || text ELSE text END")} AS txt FROM ut),
-un AS (SELECT *, regexp_extract(txt, {lit(r'(?i)(\bINC[-_ ]?\d+\b)')}, 1) AS raw FROM uq WHERE txt <> ''),
-byid AS (SELECT query_id, try_cast(regexp_extract(raw, '(\\d+)$', 1) AS BIGINT) AS no FROM un WHERE raw <> ''),
-free AS (SELECT query_id, txt FROM un WHERE raw = ''),
-fs AS ({rows}),
-fa AS (SELECT query_id, sum(s) AS tt, max(s) AS mx FROM fs GROUP BY 1),
-fb AS (SELECT query_id, cause, s FROM fs WHERE s >= 1.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, no) = 1)""".replace("(\\\\d+)", "(\\d+)")) + f"""
-SELECT b.query_id, v.incident_id, (v.incident_id IS NOT NULL) AS found, v.root_cause, v.confidence
-FROM byid b LEFT JOIN ve v ON v.incident_no = b.no
+    return hits + [f"""
+fs AS (SELECT *, direct + pts AS total FROM ({rows})),
+fa AS (SELECT query_id, sum(total) AS tt, string_agg(cause || ' ' || {fixed('total', 1)}, ', ' ORDER BY total DESC, no) FILTER (WHERE total > 0) AS listing,
+  string_agg(cause || '=' || printf('%.2f', {rnd('total', 2)}), ',' ORDER BY no) AS cause_scores FROM fs GROUP BY 1),
+fb AS (SELECT * FROM fs WHERE direct >= 1.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, no) = 1),
+fr2 AS (SELECT query_id, list(source ORDER BY p) AS rbs FROM (SELECT query_id, source, min(position) AS p FROM fh GROUP BY ALL) GROUP BY 1),
+fv AS (SELECT f.query_id, f.txt, coalesce(fb.cause, {lit(UNDETERMINED)}) AS root_cause,
+  {rnd('CASE WHEN fb.cause IS NULL THEN 0.2::DOUBLE ELSE least(0.95::DOUBLE, greatest(0.05::DOUBLE, 0.4::DOUBLE * (fb.total / fa.tt) + 0.35::DOUBLE * least(1.0::DOUBLE, fb.total / 8.0::DOUBLE))) END', 2)} AS confidence,
+  concat_ws({NL}, CASE WHEN listing IS NOT NULL THEN 'Root-cause scores: ' || listing END,
+    CASE WHEN fb.cause IS NULL THEN {lit(REASON_NO_DIRECT)} ELSE fb.cause || ' has the strongest combined evidence (' || {percent('fb.total / fa.tt')} || ' of all matched evidence).' END,
+    CASE WHEN len(fb.notes) > 0 THEN 'Supported by: ' || array_to_string(fb.notes[1:4], '; ') END, {lit(DISCLAIMER)}) AS explanation,
+  cause_scores, coalesce(rbs, []) AS rbs FROM free f JOIN fa USING (query_id) LEFT JOIN fb USING (query_id) LEFT JOIN fr2 USING (query_id))"""]
+
+
+def analyze_sql() -> str:
+    advice = "CASE root_cause " + " ".join(f"WHEN {lit(n)} THEN {lit(chr(10).join(a))}" for n, a in
+                                           [(c[0], c[5]) for c in CAUSES] + list(GENERAL_RECOMMENDATIONS.items())) + " END"
+    kept = ["window_start", "anomaly_score", "is_anomaly", "root_cause", "confidence", "evidence", "evidence_types", "explanation", "recommendations",
+            "cause_scores", "runbooks", "similar_incidents", "limitations", "ml_explanation", "plan"]
+    return ctes(f"rep AS ({report_sql()})", QUESTIONS, *free_ctes(True)) + f"""
+SELECT b.query_id, b.txt AS query, incident_id, incident_id IS NOT NULL AS found, {', '.join(kept)} FROM byid b LEFT JOIN rep ON rep.incident_no = b.no
 UNION ALL
-SELECT f.query_id, NULL, true, coalesce(fb.cause, {lit(UNDETERMINED)}),
-  {rnd('CASE WHEN fb.cause IS NULL THEN 0.2::DOUBLE ELSE least(0.95::DOUBLE, greatest(0.05::DOUBLE, 0.4::DOUBLE * (fb.s / fa.tt) + 0.35::DOUBLE * least(1.0::DOUBLE, fb.s / 8.0::DOUBLE))) END', 2)}
-FROM free f JOIN fa USING (query_id) LEFT JOIN fb USING (query_id)"""
+SELECT query_id, txt, NULL, true, NULL, NULL, NULL, root_cause, confidence,
+  array_to_string(list_transform(rbs, lambda s: 'Runbook match: ' || s), {NL}), array_to_string(list_transform(rbs, lambda s: 'runbook'), ','),
+  explanation, {advice}, cause_scores, array_to_string(rbs, ','), '', CASE WHEN len(rbs) = 0 THEN {lit(LIMIT_NO_RUNBOOK)} ELSE '' END,
+  NULL, {lit(NL_PLAN)} FROM fv"""
+
+
+def log_sql() -> str:
+    """Entries lg of the investigation log: reports of even and odd incidents, and answers, each as of its time."""
+    return ctes(*CASES, SCORE, verdict_ctes(False), QUESTIONS, *free_ctes(False)) + f""",
+lg AS (SELECT incident_no AS entry, incident_id, NULL::VARCHAR AS query, root_cause, confidence, anomaly_score,
+    CASE WHEN incident_no % 2 = 0 THEN '2035-03-01 10:00:00' ELSE '2035-03-02 10:00:00' END AS generated_at FROM ve
+  UNION ALL SELECT b.query_id, v.incident_id, CASE WHEN v.incident_id IS NULL THEN b.txt END, v.root_cause, v.confidence, v.anomaly_score, '2035-03-03 12:00:00'
+    FROM byid b LEFT JOIN ve v ON v.incident_no = b.no
+  UNION ALL SELECT query_id, NULL, txt, root_cause, confidence, NULL, '2035-03-03 12:00:00' FROM fv)
+"""
 
 
 def metric_ctes(src: str) -> str:
@@ -756,6 +803,8 @@ WHERE q IS NULL OR NOT regexp_matches(q, '[\\p{L}\\p{N}_]')""".replace("\\\\", "
         f"SELECT incident_no, row_number() OVER (PARTITION BY incident_no ORDER BY o)::INT AS step, tool, purpose FROM ({plan_rows})")
     sql["analyze_text"] = analyze_sql()
 
+    sql["investigation_log"] = log_sql() + "SELECT * FROM lg"
+    sql["latest_investigations"] = log_sql() + "SELECT * EXCLUDE (anomaly_score) FROM lg ORDER BY generated_at DESC, entry DESC, incident_id LIMIT 30"
     sql["calibrated_score"] = ctes(*TO_LINES, FEATS, """
 dc AS (SELECT time_window, 0.3::DOUBLE - 0.05::DOUBLE * logs_per_window - 0.4::DOUBLE * error_ratio AS d FROM feats),
 sd AS (SELECT greatest(stddev_pop(d), 1e-6) AS s FROM dc)""") + (
@@ -800,4 +849,13 @@ cm AS (SELECT count(*)::BIGINT AS n_samples, sum(label)::BIGINT AS n_positive,
     sql["dense_knn_blocks"] = sql["dense_knn"]
     sql |= fixed_forest.oracle(feats, ctes(*BASE))
     sql |= round_trips.oracle(sql, ctes(LOG))
+    sql["stream_scores"] = sql["fixed_forest_scores"]
+    sql["training_rows"] = sql["window_features"]
+    rows = f"least({SUBSAMPLE}, (SELECT count(*) FROM feats))::BIGINT"
+    sql["forest_shape"] = feats + (
+        f"SELECT {N_TREES}::BIGINT AS n_trees, {rows} AS root_rows, {N_TREES} * {rows} AS leaf_rows, {N_TREES}::BIGINT AS more_leaves, "
+        "true AS within_depth, 0::BIGINT AS wrong_nodes")
+    sql["training_summary"] = feats + (
+        f"SELECT {N_TREES}::BIGINT AS n_estimators, {SEED}::BIGINT AS random_state, count(*) AS n_samples, {len(FEATURES)}::BIGINT AS n_features, "
+        f"'{CONTAMINATION}' AS contamination_setting, true AS all_rows_scored, true AS same_rate, true AS within_setting FROM feats")
     return sql

@@ -17,7 +17,8 @@ from . import fixed_forest, prepare
 BREAKS = 13
 
 
-def _folder(spark: SparkSession, label: str) -> str:
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder that every task can read and write."""
     path = scratch_path(spark, label)
     if path is None:
         raise ValueError("A shared folder is needed: set spark.checkpoint.dir.")
@@ -36,7 +37,7 @@ def _write_csv(lines: DataFrame, folder: str) -> None:
 
 def csv_lines(spark, sf):
     """Structured lines through CSV, messages with quoted line breaks included."""
-    folder = _folder(spark, "csv")
+    folder = shared_folder(spark, "csv")
     _write_csv(log_lines(spark, sf).withColumn("Content", _broken()), folder)
     found = logs.load_structured_logs(spark, f"{folder}/{logs.STRUCTURED_FILE}")
     return found.groupBy(*[c for c in found.columns if c != "pos"]).agg(F.count(F.lit(1)).alias("n"))
@@ -44,7 +45,7 @@ def csv_lines(spark, sf):
 
 def csv_damage(spark, sf):
     """Records cut short, with a field too many, or over two lines are counted; the others read as they are."""
-    folder, lines = _folder(spark, "csv"), log_lines(spark, sf)
+    folder, lines = shared_folder(spark, "csv"), log_lines(spark, sf)
     names = [c for c in lines.columns if c != "pos"]
     text = F.to_csv(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names]))
     cut = F.when(F.col("LineId") % 101 == 5, F.substring_index(text, ",", 4)).when(F.col("LineId") % 103 == 7, F.concat(text, F.lit(",more")))
@@ -63,21 +64,21 @@ def csv_damage(spark, sf):
 
 def raw_lines(spark, sf):
     """Raw lines through text files."""
-    folder = _folder(spark, "raw-lines")
+    folder = shared_folder(spark, "raw-lines")
     log_lines(spark, sf).select(F.coalesce("Content", F.lit("")).alias("value")).write.text(f"{folder}/{logs.RAW_FILE}")
     return logs.load_raw_logs(spark, f"{folder}/{logs.RAW_FILE}").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def template_rows(spark, sf):
     """The template dictionary through CSV (S3)."""
-    folder = _folder(spark, "templates")
+    folder = shared_folder(spark, "templates")
     log_lines(spark, sf).select("EventId", "EventTemplate").distinct().write.option("header", True).csv(f"{folder}/{logs.TEMPLATES_FILE}")
     return logs.load_templates(spark, f"{folder}/{logs.TEMPLATES_FILE}")
 
 
 def _document_folder(spark, sf) -> str:
     """`documents` as a file each, in a folder each; every 50th is blank."""
-    folder = _folder(spark, "documents")
+    folder = shared_folder(spark, "documents")
     blank = F.when(F.col("doc_id") % 50 == 0, F.lit(" \t ")).otherwise(F.col("text"))
     docs = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), blank.alias("text"))
     docs.repartition("name").write.partitionBy("name").text(folder)
@@ -103,16 +104,16 @@ def skipped_documents(spark, sf):
 
 def prepared_features(spark, sf):
     """Raw folder to stored features: load, gate, clean, write, read."""
-    folder = _folder(spark, "raw")
+    folder = shared_folder(spark, "raw")
     _write_csv(log_lines(spark, sf), folder)
-    _, features, _ = prepare.prepare(spark, folder, _folder(spark, "prepared"), "10min")
+    _, features, _ = prepare.prepare(spark, folder, shared_folder(spark, "prepared"), "10min")
     return features.select("time_window", *[F.round(c, 6).alias(c) if c.endswith("_ratio") else F.col(c) for c in FEATURES])
 
 
 def stored_model_scores(window_table):
     def run(spark, sf):
         """Scores of a model that was saved and loaded."""
-        path = _folder(spark, "model")
+        path = shared_folder(spark, "model")
         store.save_model(spark, fixed_forest.model(), path)
         scored = forest.predict(store.load_model(spark, path), window_table(spark, sf))
         return scored.select("time_window", F.round("decision", 6).alias("decision"), F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
@@ -122,7 +123,7 @@ def stored_model_scores(window_table):
 def stored_index_top(document_index, benchmark_queries):
     def run(spark, sf):
         """BM25 over an index that was saved and loaded; only the asked buckets of postings are read."""
-        path = _folder(spark, "index")
+        path = shared_folder(spark, "index")
         store.save_index(document_index(spark, sf), path)
         top = retrieval.bm25_top(store.load_index(spark, path), benchmark_queries(spark, sf))
         return top.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), "sparse_rank")
@@ -131,7 +132,7 @@ def stored_index_top(document_index, benchmark_queries):
 
 def report_rows(spark, sf):
     """Report rows through JSON; non-finite numbers become null."""
-    path = _folder(spark, "report")
+    path = shared_folder(spark, "report")
     rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(
         F.col("event_id") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("value")).alias("value"))
     store.write_report(rows, path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import CAUSES
+
 # Short runbooks, one per cause key.
 RUNBOOKS = [
     ("hdfs_datanode_failure.md",
@@ -93,6 +95,13 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cause_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as (chunk_id, source, content); a source's name holds the key of one of the causes."""
+    keys = F.array(*[F.lit(c[1]) for c in CAUSES])
+    name = F.concat(F.element_at(keys, (F.col("doc_id") % len(CAUSES) + 1).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), name.alias("source"), F.col("text").alias("content"))
+
+
 def sectioned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` with a title, and headings of rising depth before some of their own lines.
 

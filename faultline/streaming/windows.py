@@ -67,3 +67,15 @@ def score_batches(model: Forest, sink: Callable[[DataFrame, int], None]) -> Call
         sink(predict(model, batch), epoch)
 
     return run
+
+
+def epoch_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each epoch into a folder of its own (ST2).
+
+    An epoch that is run again, after a failure or a restart, replaces what it wrote before, so every
+    input row is there once. Read the path as a table; `epoch` is a column of it.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+
+    return write
