@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..sources.materialize import materialize
 
 #: Rows of one key range, on average.
 RANGE_ROWS = 100_000
+#: Cells that a range of values is counted in at a time.
+BINS = 256
 SKETCH_ACCURACY = 10_000
 
 
@@ -79,38 +84,107 @@ def number_rows(df: DataFrame, order: list[str], out: str, range_rows: int = RAN
             .drop("_start", "_bucket", "_key"))
 
 
-def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles; NULLs are skipped, no value gives NULL.
-
-    A sketch brackets the wanted rank within 3/10000 of the rows on both sides. Values under the
-    bracket and over it are only counted (with their nearest value), and just the distinct values
-    inside it are put in order.
+@dataclass
+class _Rank:
+    """The value sought: `left` values from `low` on are smaller, and it isn't above `high`."""
+
+    name: str
+    left: int
+    low: float
+    high: float
+    found: bool = False
+
+
+def _closed_in(values: DataFrame, wanted: list[_Rank]) -> None:
+    """One round: each open rank's range of values becomes that of the bin that holds the rank."""
+    spans = values.sparkSession.createDataFrame(
+        [(r.name, i, r.low, r.high) for i, r in enumerate(wanted)], "_name string, _i int, _lo double, _hi double")
+    # Halves, because a range of doubles may be wider than the largest double.
+    place = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    cell = F.least(F.floor(place * BINS), F.lit(BINS - 1)).cast("int")
+    rows = (values.join(F.broadcast(spans), "_name").filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+            .groupBy("_i", cell.alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    for r in sorted(rows.collect()):
+        rank = wanted[r["_i"]]
+        if rank.found:
+            continue
+        if rank.left < r["n"]:
+            rank.low, rank.high, rank.found = r["lo"], r["hi"], True
+        else:
+            rank.left -= r["n"]
+
+
+def _narrowed(values: DataFrame, open_: dict, near: dict[tuple[str, int], tuple[float, float]]) -> None:
+    """Ranks whose sketched range is proven to hold them go on with that range."""
+    asked = [key for key in open_ if key in near and near[key][0] <= near[key][1]]
+    if not asked:
+        return
+    spans = values.sparkSession.createDataFrame(
+        [(key[0], i, *near[key]) for i, key in enumerate(asked)], "_name string, _i int, _lo double, _hi double")
+    counts = values.join(F.broadcast(spans), "_name").groupBy("_i").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("under"), F.count_if(F.col("_v") <= F.col("_hi")).alias("upto")).collect()
+    for r in counts:
+        rank = open_[asked[r["_i"]]]
+        if r["under"] <= rank.left < r["upto"]:
+            rank.low, rank.high = near[asked[r["_i"]]]
+            rank.left -= r["under"]
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> list[list[float | None]]:
+    """For each share the exact, linearly interpolated quantiles of the columns.
+
+    NULL and NaN are skipped, no value gives None. A sketch gives each rank a range of values, if counts
+    prove that it holds the rank. Then each round counts the values within the ranges that are left, in
+    BINS equal cells with their least and largest value, and keeps the cell that holds the rank; a cell of
+    one value ends it. Nothing is ordered, and what the driver sees is a few numbers per rank and cell.
+    `df` is read once a round; pass a written table when it is costly.
     """
+    values = (df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_name", "_v")
+              .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    finite = F.abs("_v") < float("inf")
     margin = 3.0 / SKETCH_ACCURACY
-    lo, hi = max(0.0, q - margin), min(1.0, q + margin)
-    values = (df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-              .unpivot([], columns, "_name", "_v").filter(F.col("_v").isNotNull()))
-    # One row per column name, so the join side is bounded by the number of columns.
-    sketch = values.groupBy("_name").agg(
-        F.percentile_approx("_v", [lo, hi], SKETCH_ACCURACY).alias("_r"),
-        F.count(F.lit(1)).alias("_n"))
-    values = values.join(F.broadcast(sketch), "_name")
-    side = (F.when(F.col("_v") < F.element_at("_r", 1), F.lit(-1))
-            .when(F.col("_v") > F.element_at("_r", 2), F.lit(1)).otherwise(F.lit(0)))
-    # The sketch may be one rank off at either end, so the nearest value on each side stays known.
-    counted = (values.groupBy("_name", "_n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_x"))
-               .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-               .withColumn("_v", F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min"))))
-    upto = (Window.partitionBy("_name").orderBy("_side", "_v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    k = F.floor((F.col("_n") - 1) * F.lit(float(q)))
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_k", k)
-
-    def at(offset: int) -> Column:
-        return F.min(F.when(F.col("_cum") >= F.col("_k") + offset, F.col("_v")))
-
-    picked = ranked.groupBy("_name").agg(at(1).alias("_low"), at(2).alias("_high"),
-                                         F.max((F.col("_n") - 1) * F.lit(float(q)) - F.col("_k")).alias("_f"))
-    value = F.col("_low") + (F.coalesce("_high", "_low") - F.col("_low")) * F.col("_f")
-    row = picked.agg(F.map_from_entries(F.collect_list(F.struct("_name", value))).alias("_m"))
-    return row.select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in columns])
+    sketched = [x for share in shares for x in (max(0.0, share - margin), min(1.0, share + margin))]
+    figures = {r["_name"]: r for r in values.groupBy("_name").agg(
+        F.count_if(finite).alias("n"), F.count_if(F.col("_v") == float("-inf")).alias("below"), F.count(F.lit(1)).alias("all"),
+        F.min(F.when(finite, F.col("_v"))).alias("lo"), F.max(F.when(finite, F.col("_v"))).alias("hi"),
+        F.percentile_approx(F.when(finite, F.col("_v")), sketched, SKETCH_ACCURACY).alias("near")).collect()}
+    ranks: dict[tuple[str, int], _Rank] = {}
+
+    def seek(name: str, rank: int) -> None:
+        r = figures[name]
+        inside = rank - r["below"]
+        if inside < 0 or inside >= r["n"]:
+            end = float("-inf") if inside < 0 else float("inf")
+            ranks.setdefault((name, rank), _Rank(name, 0, end, end))
+        else:
+            ranks.setdefault((name, rank), _Rank(name, inside, r["lo"], r["hi"]))
+
+    near: dict[tuple[str, int], tuple[float, float]] = {}
+    for name, r in figures.items():
+        for i, share in enumerate(shares):
+            k = math.floor((r["all"] - 1) * share)
+            for rank in (k, min(r["all"] - 1, k + 1)):
+                seek(name, rank)
+                if r["near"]:
+                    near[name, rank] = r["near"][2 * i], r["near"][2 * i + 1]
+    _narrowed(values.filter(finite), {key: r for key, r in ranks.items() if r.low < r.high}, near)
+    while open_ := [r for r in ranks.values() if r.low < r.high]:
+        for r in open_:
+            r.found = False
+        _closed_in(values.filter(finite), open_)
+
+    def at(name: str, share: float) -> float | None:
+        if name not in figures:
+            return None
+        place = (figures[name]["all"] - 1) * share
+        k = math.floor(place)
+        low, high = ranks[name, k].low, ranks[name, min(figures[name]["all"] - 1, k + 1)].low
+        return low if low == high else low + (high - low) * (place - k)
+
+    return [[at(c, share) for c in columns] for share in shares]
+
+
+def exact_quantile(df: DataFrame, columns: list[str], q: float) -> DataFrame:
+    """One row of exact, linearly interpolated quantiles; NULLs are skipped, no value gives NULL."""
+    found = exact_quantiles(df, columns, [float(q)])
+    return df.sparkSession.createDataFrame([tuple(found[0])], ", ".join(f"`{c}` double" for c in columns))

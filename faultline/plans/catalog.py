@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CAUSES, FEATURES, SIGNAL_NAMES, SIGNALS
 from ..functions.numeric import round_even
-from ..functions.ordering import exact_quantile, number_rows
+from ..functions.ordering import exact_quantiles, number_rows
 from ..functions.text import clean_markdown, mask, tokens
 from ..operators import attribution, chunking, clean, evidence, features, forest, incidents
 from ..operators import metrics, neighbours, retrieval, validate
@@ -227,9 +227,9 @@ def zscores(spark, sf):
 @query
 def feature_quantiles(spark, sf):
     table = materialize(window_table(spark, sf), "features")
-    parts = [exact_quantile(table, FEATURES, q).select(F.lit(q).alias("q"), *[r6(c) for c in FEATURES])
-             for q in (0.05, 0.5, 0.95)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    shares = [0.05, 0.5, 0.95]
+    rows = [(q, *found) for q, found in zip(shares, exact_quantiles(table, FEATURES, shares), strict=True)]
+    return spark.createDataFrame(rows, "q double, " + ", ".join(f"{c} double" for c in FEATURES)).select("q", *[r6(c) for c in FEATURES])
 
 
 @query

@@ -80,3 +80,30 @@ def test_running_totals_and_numbers(spark):
                                  "g string, n int")           # one group holds a third of the rows
     numbered = ordering.number_rows(rows, ["g", "n"], "id").orderBy("g", "n").toPandas()
     assert numbered["id"].tolist() == list(range(1000))
+
+
+def test_quantiles_of_hard_values(spark):
+    """Wide ranges, ties, infinities and missing values, against numpy's sorted values."""
+    rng = random.Random(5)
+    columns = {
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(400)],
+        "tied": [float(rng.randint(0, 2)) for _ in range(300)] + [None] * 100,
+        "ends": [float("-inf")] * 40 + [float("inf")] * 60 + [rng.uniform(-1, 1) for _ in range(300)],
+        "gaps": [float("nan")] * 150 + [None] * 200 + [1.7e308, -1.7e308] * 25,
+        "none": [None] * 400,
+    }
+    frame = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    shares = [0.0, 0.05, 0.31, 0.5, 0.95, 1.0]
+    found = ordering.exact_quantiles(frame, list(columns), shares)
+    for i, name in enumerate(columns):
+        values = sorted(v for v in columns[name] if v is not None and v == v)
+        for share, row in zip(shares, found, strict=True):
+            if not values:
+                assert row[i] is None
+                continue
+            place = (len(values) - 1) * share
+            low, high = values[int(place)], values[min(len(values) - 1, int(place) + 1)]
+            want = low if low == high else low + (high - low) * (place - int(place))
+            assert row[i] == want or (row[i] != row[i] and want != want)
+    one = ordering.exact_quantile(frame, ["tied", "none"], 0.5).first()
+    assert one.none is None and one.tied == found[3][1]
