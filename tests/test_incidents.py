@@ -141,15 +141,30 @@ def test_analyze(spark, storm):
     assert got[3].root_cause == UNDETERMINED and got[3].confidence == 0.2
     assert got[6].found is False and got[6].root_cause is None
     assert got[7].root_cause == "Network failure"
+    for i in (2, 7):  # what the hits say is evidence, and the answer names its one step
+        assert list(got[i].evidence) == [f"Runbook match: {s}" for s in got[i].runbooks]
+        assert [e.type for e in got[i].evidence_details] == ["runbook"] * len(got[i].runbooks)
+        assert [(s.step, s.tool) for s in got[i].plan] == [(1, "search_runbook")] and list(got[i].similar_incidents) == []
+    assert got[1].evidence and got[1].plan and got[6].evidence is None
 
 
 def test_history(spark, storm, tmp_path):
     path = str(tmp_path / "history")
     reports = inv.incident_reports(storm[2])
-    inv.append_history(reports.filter("incident_no <= 2"), path)
-    inv.append_history(reports.filter("incident_no = 26"), path)
-    log = spark.read.parquet(path)
-    assert log.count() == 3 and inv.history(log, 1).first().incident_id == HOT
+    for day, part in (("2035-01-01", "incident_no <= 2"), ("2035-01-02", "incident_no = 26")):
+        inv.append_history(reports.filter(part), path, F.lit(f"{day} 08:00:00").cast("timestamp"))
+    asked = spark.createDataFrame([(7, "network timeout"), (8, "what about INC_999?"), (9, "look at inc-26")], "query_id long, query string")
+    inv.append_history(inv.analyze(asked, reports), path, F.lit("2035-01-03 08:00:00").cast("timestamp"))
+    log = inv.read_history(spark, path)
+    assert log.count() == 6
+    newest = inv.history(log, 3).collect()
+    assert [(r.entry, r.incident_id, r.query) for r in newest] == [
+        (9, HOT, None), (8, None, "what about INC_999?"), (7, None, "network timeout")]
+    assert [r.entry for r in inv.history(log, 5).collect()] == [9, 8, 7, 26, 2]
+    plan = inv.history(log, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "2035-01-02" in plan
+    inv.append_history(reports.filter("incident_no = 3"), path)  # now
+    assert inv.read_history(spark, path).count() == 7
     with pytest.raises(ValueError):
         inv.history(log, 0)
 

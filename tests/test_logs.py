@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,30 @@ def test_impute_and_coerce(spark):
     assert got == {1: (3.0, 1.5, 0.0), 2: (5.0, 1.0, 0.0), 3: (5.0, 1.5, 0.0), 4: (10.0, 2.0, 0.0)}
     with pytest.raises(ValueError):
         features.impute(df, ["missing"])
+
+
+def test_row_digests(spark):
+    """Values don't run into each other, null isn't empty, and equal rows have equal digests."""
+    rows = [("ab", "c"), ("a", "bc"), (None, "abc"), ("", "abc"), ("-", ""), (None, ""), ("1:a", "-"), ("ab", "c"), (None, None), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "a string, b string, pos int")
+    digests = [bytes(r[0]) for r in df.orderBy("pos").select(validate.row_digest(df)).collect()]
+    assert len(set(digests)) == len(set(rows)) == 8
+    assert [digests.index(d) for d in digests] == [rows.index(r) for r in rows]
+    assert validate.duplicate_rows(df).first()[0] == 2
+
+
+def test_no_text_is_shuffled_for_the_report(spark, four):
+    for df in (validate.duplicate_rows(four), validate.validation_report(four)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "HashAggregate" in line or "SortAggregate" in line or "Exchange" in line]
+        assert sent and not any(re.search(r"(?<!_null_)Content#", line) for line in sent)
+
+
+def test_gate_rows(spark, four):
+    def gated(df):
+        return {r.mode: (r.passed, r.reason) for r in validate.gate(validate.validation_report(df)).collect()}
+
+    assert gated(four) == {"lenient": (True, None), "strict": (True, None)}
+    twice = gated(four.union(four))
+    assert twice["lenient"] == (True, None) and twice["strict"][1].startswith("Strict validation failed: 4 duplicate rows")
+    assert gated(four.drop("Level"))["lenient"] == (False, "Validation failed: Missing required columns: Level")

@@ -84,3 +84,26 @@ def test_prepared_logs_are_pruned_by_date(spark, tmp_path):
     one_day = spark.read.parquet(str(tmp_path / "o" / "logs")).filter(F.col("date") == "2008-11-09")
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and one_day.count() == 4
+
+
+def test_one_odd_quote_leaves_other_files_splittable(spark, tmp_path):
+    """Only the file with a record over two lines is read whole; records that don't fit are counted per file."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    header = "LineId,Date,Time,Pid,Level,Component,Content,EventId,EventTemplate"
+    line = "{},081109,203615,143,INFO,dfs.A,{},E1,t"
+    (folder / "a b%.csv").write_text("\n".join([header, *(line.format(i, "x" * 200) for i in range(5_000))]) + "\n")
+    (folder / "odd.csv").write_text("\n".join([header, line.format(9001, '"two\nlines, ""quoted"""'), line.format(9002, "plain")]) + "\n")
+    (folder / "bad.csv").write_text("\n".join([header, "9003,081109,203615", line.format(9004, "ok"), line.format(9005, "ok") + ",more"]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = logs.load_structured_logs(spark, str(folder))
+        blocks = df.select("pos.file", "pos.block").distinct().groupBy("file").count().collect()
+        assert sorted((r.file.rsplit("/", 1)[1].startswith("a"), r["count"] > 5) for r in blocks) == [(False, False), (False, False), (True, True)]
+        got = {r.LineId: r.Content for r in df.filter("LineId > 9000").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {9001: 'two\nlines, "quoted"', 9002: "plain", 9003: None, 9004: "ok", 9005: "ok"}
+    damaged = {r.file.rsplit("/", 1)[1]: (r.n_records, r.n_damaged) for r in logs.damaged_records(spark, str(folder)).collect()}
+    assert damaged.pop("bad.csv") == (3, 2) and damaged.pop("odd.csv") == (2, 0) and list(damaged.values()) == [(5_000, 0)]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from helpers import LOG_DDL, SF_SMALL
 from faultline.operators import features, forest
 from faultline.sources.tables import log_lines
-from faultline.streaming.windows import score_batches, stream_features
+from faultline.streaming.windows import epoch_folder, score_batches, stream_features
 
 
 def drain(query):
@@ -51,3 +51,27 @@ def test_scored_stream(spark, trained, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "scored")).collect()))
     want = sorted(map(tuple, forest.predict(model, table).select("time_window", "anomaly_score").collect()))
     assert got == want
+
+
+def test_replayed_epochs_are_written_once(spark, trained, tmp_path):
+    """The log of finished epochs is lost, so the last one runs again, as after a failure between sink and log."""
+    model, table = trained
+    src, out, state = (str(tmp_path / x) for x in ("rows", "scored", "cp"))
+    table.repartition(4).write.parquet(src)
+    ran = []
+
+    def run():
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        write = score_batches(model, epoch_folder(out))
+        drain(stream.writeStream.foreachBatch(lambda df, epoch: (ran.append(epoch), write(df, epoch))[1])
+              .option("checkpointLocation", state).trigger(availableNow=True).start())
+
+    run()
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    for f in (tmp_path / "cp" / "commits").iterdir():
+        if str(last) in f.name:
+            f.unlink()
+    run()
+    assert ran.count(last) == 2
+    got = sorted(map(tuple, spark.read.parquet(out).select("time_window", "anomaly_score").collect()))
+    assert got == sorted(map(tuple, forest.predict(model, table).select("time_window", "anomaly_score").collect()))
