@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -20,6 +21,8 @@ LABELLED, POOL = 8_000, 8_000
 LEXICON, LEAST_DOCS = 400, 5
 #: Co-training rounds; pseudo-labels a classifier hands over per round and class, at most, and how sure it must be.
 ROUNDS, HANDED, SURE = 4, 400, 0.95
+#: Metadata names fall into so many features by their CRC-32, whatever number of names there is.
+SLOTS = 256
 KEEP = 0.5
 SYMBOLS = b"#$%&*@^~|<>{}[]\\/_=+"
 NUMBERS = 10
@@ -68,9 +71,8 @@ def chance(logit: np.ndarray) -> np.ndarray:
 class Views:
     """Feature rows of the two views, the same for fitting and for scoring."""
 
-    def __init__(self, lexicon: list[str], names: list[str]):
-        self.lexicon, self.names = {w: i for i, w in enumerate(lexicon)}, {n: i for i, n in enumerate(names)}
-        self.words = frozenset(lexicon)
+    def __init__(self, lexicon: list[str]):
+        self.lexicon, self.words = {w: i for i, w in enumerate(lexicon)}, frozenset(lexicon)
 
     def text(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), 2 * NUMBERS + len(self.lexicon)))
@@ -83,11 +85,11 @@ class Views:
         return out
 
     def metadata(self, rows: list[tuple]) -> np.ndarray:
-        out = np.zeros((len(rows), 2 + len(self.names)))
+        out = np.zeros((len(rows), 2 + SLOTS))
         for i, (source, lang, n_chars) in enumerate(rows):
             known, size = metadata_numbers(source, lang, n_chars)
             out[i, :2] = size, size * size
-            out[i, [2 + self.names[n] for n in known if n in self.names]] = 1
+            out[i, [2 + zlib.crc32(n.encode("utf-8", "replace")) % SLOTS for n in known]] = 1
         return out
 
 
@@ -186,8 +188,7 @@ def telling_words(sample: DataFrame) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     sample = training_sample(docs, labels)
-    names = sorted({n for r in sample.select("source", "lang").distinct().limit(2_000).collect() for n in metadata_numbers(r.source, r.lang, 0)[0]})
-    views = Views(telling_words(sample), names)
+    views = Views(telling_words(sample))
     width = 2 * NUMBERS + len(views.lexicon)
 
     def features(batches):
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
         "held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0).orderBy("doc_id", "text").toArrow()
     as_matrix = lambda name, n: np.frombuffer(b"".join(rows[name].to_pylist()), np.float32).reshape(-1, n).astype(float)
     y = rows["good"].to_numpy(zero_copy_only=False).astype(float) if len(rows) else np.zeros(0)
-    return fit(views, (as_matrix("text", width), as_matrix("meta", 2 + len(names))), y, np.array(rows["held"].to_pylist(), bool))
+    return fit(views, (as_matrix("text", width), as_matrix("meta", 2 + SLOTS)), y, np.array(rows["held"].to_pylist(), bool))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:

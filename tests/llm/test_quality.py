@@ -56,7 +56,7 @@ def test_exchange_helps_the_view_with_little_evidence():
     second = (2 * truth - 1)[:, None] * 1.5 + rng.normal(size=(n, 30))
     y = np.where(np.arange(n) < 60, truth, np.nan)
     held = np.arange(n) % 3 == 0
-    views = quality.Views([], [])
+    views = quality.Views([])
 
     def accuracy(rounds):
         text, meta, *_ = quality.fit(views, (first, second), y, held, rounds).parts
