@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.materialize import materialize
 
@@ -39,6 +40,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def named_key(kind: T.DataType, rest: str) -> T.StructType:
+    """Columns `key`, of any type, and `rest`; a type's text can't be parsed where it holds odd names."""
+    return T.StructType([T.StructField("key", kind), *T.StructType.fromDDL(rest).fields])
+
+
+def mapped(docs: DataFrame, task: Callable[[Iterator], Iterator]) -> DataFrame:
+    """`docs` through a task on Arrow batches that keeps the columns, whatever names these have."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(tidied(task), plain.schema).toDF(*docs.columns)
+
+
 def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
     """Record batches of at most `rows` rows, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -120,4 +132,4 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return likely.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 20)), key).limit(most)
 
 
-__all__ = ["batch_rows", "give_back", "kept", "quoted", "tidied", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]
+__all__ = ["batch_rows", "give_back", "kept", "mapped", "named_key", "quoted", "tidied", "most_frequent", "smallest_hashes", "QUERIES", "ORACLE", "Query", "query", "table", "slices", "materialize", "written"]

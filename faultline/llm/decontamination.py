@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ORACLE, materialize, query, quoted, slices, table, tidied
+from .common import ORACLE, materialize, named_key, query, quoted, slices, table, tidied
 
 WINDOW = 10
 #: Windows in one pattern table. More windows are searched in several passes, a table each.
@@ -97,7 +97,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     passes = max(1, -(-windows.count() // table_windows))
     state = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
                         F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    kind = state.schema["key"].dataType.simpleString()
+    kind = state.schema["key"].dataType
     for k in range(passes):
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(passes)) == k)
         shared = spark.sparkContext.broadcast(PatternTable([(bytes(r.window), list(r["items"])) for r in part.collect()]))
@@ -120,7 +120,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 cols += [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["key"] + ([] if last else ["text"]) + ["n_words", "hits", "items"])
 
-        state = state.mapInArrow(tidied(search), f"key {kind}, {'' if last else 'text string, '}n_words bigint, hits array<bigint>, items array<string>")
+        state = state.mapInArrow(tidied(search), named_key(kind, f"{'' if last else 'text string, '}n_words bigint, hits array<bigint>, items array<string>"))
         if not last:
             state = materialize(state, "bench-hits")
     return state.withColumnRenamed("key", key)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, query, slices, table, tidied
+from .common import mapped, materialize, most_frequent, query, slices, table, tidied
 
 UNKNOWN = "und"
 #: The model: so many of the most frequent words, and n-grams of each length, of all languages together.
@@ -221,7 +221,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, text: str = "text") ->
             found = scorer.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(tidied(keep), docs.schema)
+    return mapped(docs, keep)
 
 
 @query

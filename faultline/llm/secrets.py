@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, slices, table, tidied
+from .common import mapped, materialize, query, slices, table, tidied
 from .spans import ARROW_SPANS, SPANS, Covered, counted, joined, masked, span
 
 KINDS = ("assign", "access", "hex", "random")
@@ -207,7 +207,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars",
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    return docs.mapInArrow(tidied(mask), docs.schema)
+    return mapped(docs, mask)
 
 
 @query
