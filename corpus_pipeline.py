@@ -8,12 +8,30 @@ the last returns the columns of `documents`; its result is written, and read aga
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import decontamination, jaccard, language, packing, secrets
-from faultline.llm.common import materialize, table
+from faultline.llm.common import batch_rows, materialize, table
+
+
+#: Rows sent to Python at a time: some megabytes of texts, as a row may go with all its columns.
+BATCH_ROWS = 1_000
+
+
+def few_at_a_time(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage`, run and written with few texts at a time between Spark and Python, so that tasks stay small."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with batch_rows(spark, BATCH_ROWS):
+            return materialize(stage(spark, docs, sf_dir), f"stage-{stage.__name__}")
+
+    return run_stage
 
 
+@few_at_a_time
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     return language.keep_identified(docs)
@@ -24,16 +42,19 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard.keep_one(docs, percent=80, words=5)
 
 
+@few_at_a_time
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@few_at_a_time
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind of each secret in its place and n_chars set anew where one was."""
     return secrets.redact_secrets(docs)
 
 
+@few_at_a_time
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(docs, packing.default_tokenizer())
