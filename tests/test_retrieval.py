@@ -226,6 +226,37 @@ def test_blocks_with_ties_and_few_matches(spark, topics):
         assert np.allclose([r[2] for r in plain], [r[2] for r in blocks])
 
 
+@pytest.mark.parametrize("sizes", [{}, {"group_postings": 2_000, "group_terms": 40}])
+def test_groups_hold_the_best_and_hand_on_few(spark, topics, sizes):
+    """Groups of bounded size, of which each hands on k chunks a query, give the k best of all scores."""
+    q = ask(spark, *[f"c{i % 30} c{(i + 7) % 30} c3 topic{i}" for i in range(30)])
+    terms = retrieval.weighted_terms(topics, q)
+    every = {}
+    for r in retrieval.bm25_scores(topics, terms, True).collect():
+        every.setdefault(r.query_id, []).append((-round(r.bm25_score, 9), r.chunk_id))
+    found = retrieval.group_search(topics, terms, 10, **sizes).collect()
+    groups = 1 if not sizes else -(-topics.postings.count() // sizes["group_postings"])
+    for query_id, scores in every.items():
+        got = sorted((-round(r.bm25_score, 9), r.chunk_id) for r in found if r.query_id == query_id)
+        assert got[:10] == sorted(scores)[:10] and len(got) <= 10 * max(groups, spark.sparkContext.defaultParallelism)
+
+
+def test_groups_with_repeated_and_null_chunks(spark):
+    rows = [(None, "aa cc"), (1, "aa bb"), (1, "aa"), (2, "bb"), (3, "dd dd")] + [(i, "ee aa") for i in range(4, 30)]
+    index = retrieval.build_index(spark.createDataFrame(rows, "chunk_id long, content string"))
+    terms = retrieval.weighted_terms(index, ask(spark, "aa bb", "cc", "dd ee ee"))
+    want = {(r.query_id, r.chunk_id): r.bm25_score for r in retrieval.bm25_scores(index, terms, True).collect()}
+    got = {(r.query_id, r.chunk_id): r.bm25_score for r in retrieval.group_search(index, terms, 100).collect()}
+    assert got == pytest.approx(want) and (1, None) in got
+
+
+def test_blocks_of_asked_terms_only(spark, topics):
+    """Postings of other terms are neither shuffled nor written."""
+    terms = retrieval.weighted_terms(topics, ask(spark, "topic3 c1", "topic3 unknown"))
+    held = retrieval.known_postings(topics, terms)
+    assert {r.term for r in held.select("term").distinct().collect()} == {"topic3", "c1"}
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "disk full disk"), (2, "disk full disk"), (3, "???")], "k long, t string")
     v = {r.k: np.array(r.vec) for r in retrieval.hash_embed(df, "k", "t").collect()}
