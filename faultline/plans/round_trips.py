@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +78,39 @@ def template_rows(spark, sf):
     return logs.load_templates(spark, f"{folder}/{logs.TEMPLATES_FILE}")
 
 
+def _write_files(rows: DataFrame, folder: str) -> None:
+    """Files of (name, text) in folders by name, as the text writer gives them; rows of a name are lines of its file.
+
+    Where tasks can open the folder they write its files directly: the writer's steps for each of very many
+    folders, a process for the rights of each file and a move of each folder by the driver, take far longer.
+    """
+    placed = rows.repartition("name")
+    if "://" in folder.removeprefix("file://"):
+        placed.write.partitionBy("name").text(folder)
+        return
+    root = "/" + folder.removeprefix("file:").lstrip("/")
+
+    def write(batches):
+        n, last = 0, None
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at = f"{root}/name={name}"
+                os.makedirs(at, exist_ok=True)
+                with open(f"{at}/part.txt", "a" if name == last else "w", encoding="utf-8", newline="") as file:
+                    file.write(f"{text or ''}\n")
+                n, last = n + 1, name
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    os.makedirs(root, exist_ok=True)
+    named = placed.withColumn("name", F.coalesce("name", F.lit("__HIVE_DEFAULT_PARTITION__"))).sortWithinPartitions("name")
+    named.mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+
+
 def _document_folder(spark, sf) -> str:
     """`documents` as a file each, in a folder each; every 50th is blank."""
     folder = shared_folder(spark, "documents")
     blank = F.when(F.col("doc_id") % 50 == 0, F.lit(" \t ")).otherwise(F.col("text"))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), blank.alias("text"))
-    docs.repartition("name").write.partitionBy("name").text(folder)
+    _write_files(table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), blank.alias("text")), folder)
     return folder
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EVAL_CASES
 from ..schemas import EVAL_CASE_SCHEMA
+from .materialize import materialize
 
 
 def _read(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -21,8 +22,8 @@ def _read(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
 
 
 def load_documents(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """Usable documents below a folder; source is the relative path."""
-    docs = _read(spark, folder, pattern).filter(F.col("content").rlike(r"\S"))
+    """Usable documents below a folder; source is the relative path (S5). The files are opened once."""
+    docs = materialize(_read(spark, folder, pattern).filter(F.col("content").rlike(r"\S")), "documents")
     if docs.isEmpty():
         raise ValueError(f"No usable {pattern.lstrip('*')} documents found in {folder}")
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import tokens
 from faultline.operators import chunking, retrieval
-from faultline.plans import prepare
+from faultline.plans import prepare, round_trips
 from faultline.sources import documents, store
 from faultline.sources.materialize import materialize
 from faultline.sources.tables import runbooks
@@ -52,6 +52,22 @@ def test_documents(spark, folder, tmp_path):
         documents.load_documents(spark, str(tmp_path))
 
 
+def test_files_of_rows_and_one_reading(spark, tmp_path):
+    """Repeated names share a file, null names and texts have one; usable files are not opened again."""
+    rows = [("a", "x\ny"), ("b", "same"), ("b", "same"), ("c", None), (None, "z é"), ("d", " \t ")]
+    frame = spark.createDataFrame(rows, "name string, text string")
+    round_trips._write_files(frame, str(tmp_path / "own"))
+    frame.repartition("name").write.partitionBy("name").text(str(tmp_path / "spark"))
+    found = {}
+    for kind in ("own", "spark"):
+        docs = documents.load_documents(spark, str(tmp_path / kind), "*.txt")
+        assert not [f for f in docs.inputFiles() if str(tmp_path) in f]
+        skipped = documents.skipped_documents(spark, str(tmp_path / kind), "*.txt")
+        found[kind] = (sorted((r.source.split("/")[0], r.content) for r in docs.collect()),
+                       sorted(r.source.split("/")[0] for r in skipped.collect()))
+    assert found["own"] == found["spark"] and len(found["own"][0]) == 3
+
+
 def test_sections(spark):
     text = "intro line here\n# A\none\n## B\ntwo\n```\n# code\n```\n### C\nthree\n# D\nfour\n#no heading\n#### deep"
     docs = spark.createDataFrame([("s", "s", text)], "source string, path string, content string")
