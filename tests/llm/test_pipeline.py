@@ -6,6 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
+import faultline.sources.materialize as written
 from faultline.llm import language, packing
 from test_decontamination import brute as contaminated
 from test_secrets import brute as secret_spans
@@ -121,19 +122,13 @@ def test_models_and_tokenizer_are_those_of_the_operators():
     assert language.UNKNOWN == "und" and packing.SEQUENCE == 2048
 
 
-def test_stages_write_no_copy_of_their_result(spark, tmp_path):
+def test_stages_write_no_copy_of_their_result(spark, monkeypatch):
     """Whoever asks for a stage's result writes it; small batches are set for that."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        docs = spark.createDataFrame([(1, "some words of a text", "en", "s", 20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-        for name, stage in corpus_pipeline.STAGES:
-            if name != "ngram_jaccard":
-                stage(spark, docs, SF).collect()
-        assert not [p.name for p in tmp_path.iterdir() if p.name.startswith("stage-")]
-        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus_pipeline.BATCH_ROWS
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    labels, path = [], written.scratch_path
+    monkeypatch.setattr(written, "scratch_path", lambda spark, label: labels.append(label) or path(spark, label))
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "s", 20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "ngram_jaccard":
+            stage(spark, docs, SF).collect()
+    assert labels and not [x for x in labels if x.startswith("stage-")]
+    assert int(spark.conf.get(corpus_pipeline.BATCH_SETTING)) <= corpus_pipeline.BATCH_ROWS
