@@ -19,6 +19,8 @@ from faultline.llm.common import materialize, table
 
 #: Rows sent to Python at a time: some megabytes of texts, as a row may go with all its columns.
 BATCH_ROWS = 1_000
+#: Words whose ids a worker keeps while it packs: it shares the executor's memory with what earlier stages have taken.
+KEEP_WORDS = 200_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -63,7 +65,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @few_at_a_time
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, packing.default_tokenizer())
+    return packing.pack(docs, packing.default_tokenizer(), keep_words=KEEP_WORDS)
 
 
 STAGES = [

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, query, slices, table
+from .common import give_back, kept, materialize, query, slices, table
 
 SEQUENCE, END_ID = 2048, 1
 #: Mean number of documents in a group, and words whose ids a worker keeps.
 GROUP_DOCS, CACHE_WORDS = 4_096, 1_000_000
+#: New words learnt at a time: what that takes besides their ids is no more for a slice of long texts.
+LEARN_WORDS = 4_000
 #: A word of Latin letters, perhaps with marks behind: two units of the tokenizer, whatever stands around.
 UNITS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#$%&*]*)")
 #: White space for Python's split() that the tokenizer takes for ordinary characters.
@@ -76,14 +78,16 @@ class WordIds:
         every = set().union(*split)
         if len(self.known) + len(every) > self.keep:
             self.known, self.units = {}, {"": b""}
-        self._learn([w for w in every if w not in self.known])
+        new = [w for w in every if w not in self.known]
+        for at in range(0, len(new), LEARN_WORDS):
+            self._learn(new[at:at + LEARN_WORDS])
         for words in split:
             yield b"".join(map(self.known.__getitem__, words))
 
 
-def kept_word_ids(path: str) -> WordIds:
+def kept_word_ids(path: str, keep: int = CACHE_WORDS) -> WordIds:
     """What this worker process has learnt of the tokenizer: it serves many tasks one after the other."""
-    return kept(f"words of {path}", lambda: WordIds(path))
+    return kept(f"{keep} words of {path}", lambda: WordIds(path, keep))
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -112,7 +116,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 
 
 def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
-             key: str = "doc_id", text: str = "text") -> DataFrame:
+             key: str = "doc_id", text: str = "text", keep_words: int = CACHE_WORDS) -> DataFrame:
     """key, doc_tokens, crcs (of each piece of up to `sequence` ids), salt: one row per row of `docs`."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -124,7 +128,7 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # a great many small objects, none in cycles
         try:
-            ids_of, place = kept_word_ids(path), 0
+            ids_of, place = kept_word_ids(path, keep_words), 0
             for batch in slices(batches):
                 tokens, crcs, salts = [], [], []
                 for ids in ids_of.of(batch.column("text").to_pylist()):
@@ -138,21 +142,23 @@ def tokenize(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int =
                     ["key", "doc_tokens", "crcs", "salt"])
         finally:
             gc.enable()
+            give_back()
 
     return rows.mapInArrow(encode, f"key {kind}, doc_tokens bigint, crcs array<bigint>, salt bigint").withColumnRenamed("key", key)
 
 
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
-         group_docs: int = GROUP_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
+         group_docs: int = GROUP_DOCS, key: str = "doc_id", text: str = "text", keep_words: int = CACHE_WORDS) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     Each row of `docs` is tokenized whole and ends with `end_id`; a null or empty text has that id
     only. It is cut at multiples of `sequence`; full pieces are sequences by themselves, the rests are
     packed by first-fit decreasing within random groups of about `group_docs` rows. Repeated rows and
     null keys are documents like others; an empty table gives no rows; other columns are ignored.
-    `path` is the tokenizer file, which must be readable on every executor.
+    `path` is the tokenizer file, which must be readable on every executor. A worker keeps the ids of
+    `keep_words` words: fewer take less memory and more time.
     """
-    rows = materialize(tokenize(docs, path, sequence, end_id, key, text), "pack-tokens")
+    rows = materialize(tokenize(docs, path, sequence, end_id, key, text, keep_words), "pack-tokens")
     groups = max(1, -(-rows.count() // group_docs))
     pieces = rows.withColumn("pack_group", F.pmod(F.xxhash64(key, "doc_tokens", F.col("crcs")[0], "salt"), F.lit(groups))).select(
         F.col(key).alias("key"), "doc_tokens", "pack_group", F.posexplode("crcs").alias("at", "ids_crc32")).select(

@@ -25,6 +25,19 @@ def test_word_ids_equal_whole_text_ids():
         assert got == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+def test_words_are_learnt_in_small_lots_and_few_are_kept():
+    """A slice of many new words is not learnt at once, and a worker can be told to keep fewer words."""
+    ids, lots = packing.WordIds(PATH, keep=300), []
+    learn = ids._learn
+    ids._learn = lambda words: (lots.append(len(words)), learn(words))
+    texts = [f"{i}x y{i}." for i in range(packing.LEARN_WORDS)] + ["the end."] * 3
+    once = packing.WordIds(PATH)
+    assert list(ids.of(texts)) == [b for t in texts for b in once.of([t])]
+    assert sum(lots) > packing.LEARN_WORDS >= max(lots)
+    assert len(packing.kept_word_ids(PATH, 300).known) == 0 and packing.kept_word_ids(PATH, 300).keep == 300
+    assert packing.kept_word_ids(PATH).keep == packing.CACHE_WORDS
+
+
 def test_tree_equals_plain_first_fit():
     rng = random.Random(2)
     for n in (0, 1, 2, 5, 64, 200):
