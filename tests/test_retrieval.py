@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.text import tokens
-from faultline.operators import chunking, retrieval
+from faultline.operators import blockmax, chunking, retrieval
 from faultline.plans import prepare, round_trips
 from faultline.sources import documents, store
 from faultline.sources.materialize import materialize
@@ -324,3 +324,21 @@ def test_failed_query_is_a_miss(spark, index):
     assert summary.first().n_queries == 2
     assert not rows.filter("query_id = 1").first().hit_at_k
     assert rows.select(F.size(tokens(F.col("query")))).count() == 2
+
+
+def test_blocks_are_dealt_out_once_a_wave(spark):
+    """Blocks and wanted spans meet by span; the scores of (query, chunk) pairs need no exchange of their own."""
+    blocks = spark.createDataFrame([("a", 0, [(1, 0.5), (2, 1.0)]), ("b", 0, [(2, 1.0)]), ("a", 1, [(70, 2.0)])],
+                                   "term string, span bigint, entries array<struct<chunk_id:bigint,gain:double>>")
+    weights = spark.createDataFrame([(7, "a", 2.0), (7, "b", 1.0), (8, "a", 1.0)], "query_id bigint, term string, weight double")
+    wanted = spark.createDataFrame([(7, 0), (8, 1)], "query_id bigint, span bigint")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    for few in (True, False):
+        with blockmax.joined_where_dealt(spark):
+            scores = blockmax._scores(wanted, weights, blocks, few)
+            plan = scores._jdf.queryExecution().executedPlan().toString()
+            assert sorted(tuple(r) for r in scores.collect()) == [(7, 1, 1.0), (7, 2, 3.0), (8, 70, 2.0)]
+        dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert sum(x.startswith("span#") and "REPARTITION" in x for x in dealt) == 2
+        assert not [x for x in dealt if "chunk_id" in x or "term" in x]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
