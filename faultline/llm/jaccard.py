@@ -21,6 +21,8 @@ COUNTED, FREQUENT, KNOWN = 1_000_000, 16, 500_000
 HANDED, BUCKET = 250_000, 250_000
 #: Lists up to this length are paired without blocks.
 SHORT = 24
+#: Pairs of a longer list that are compared at a time, and bytes of parity bits that its sets bring along at most.
+PAIRS, BROUGHT = 50_000, 512
 #: While all pairs of not yet connected sets in the lists are more than so many times the entries, lists
 #: are compared with so many leaders each, and at most so often; then all pairs are compared.
 DENSE, LEADERS, LIMITED_ROUNDS = 1, 4, 3
@@ -56,6 +58,28 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def parity_rows(bits: list[bytes | None]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Bytes of each set's parity bits, 0 where there are none; and for each such size the bits of all sets of as many or more."""
+    size = np.array([len(b or b"") for b in bits], np.int64)
+    rows = {}
+    for least in np.unique(size[size > 0]).tolist():
+        rows[least] = np.zeros((len(bits), least // 8), np.uint64)
+        for width in np.unique(size[size >= least]).tolist():
+            some = np.flatnonzero(size == width)
+            parts = np.frombuffer(b"".join(bits[i] for i in some), np.uint64).reshape(len(some), -1, least // 8)
+            rows[least][some] = np.bitwise_xor.reduce(parts, axis=1)
+    return size, rows
+
+
+def least_differences(size: np.ndarray, rows: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """least_difference() of many pairs of sets, by their numbers in parity_rows(); 0 where bits are missing."""
+    low, out = np.minimum(size[x], size[y]), np.zeros(len(x), np.int64)
+    for least, every in rows.items():
+        some = np.flatnonzero(low == least)
+        out[some] = np.bitwise_count(every[x[some]] ^ every[y[some]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def text_sets(batches: Iterator, words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, shingle sets) of some rows at a time."""
     for batch in batches:
@@ -184,14 +208,20 @@ def block_pairs(n: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[
             start, end = np.searchsorted(others, low), np.searchsorted(others, high, side="right")
             if i == j:
                 start = np.maximum(start, np.arange(len(left)) + 1)
-            count = np.maximum(end - start, 0)
-            x = np.repeat(np.arange(len(left)), count)
-            y = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + start[x]
-            yield left[x], right[y]
+            every = np.maximum(end - start, 0)
+            steps = [*np.searchsorted(every.cumsum(), np.arange(0, every.sum(), PAIRS)), len(left)]
+            for at, to in zip(steps[:-1], steps[1:], strict=True):
+                count = every[at:to]
+                x = np.repeat(np.arange(at, to), count)
+                y = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + start[x]
+                yield left[x], right[y]
 
 
 def list_pairs(group: pa.Table, percent: int) -> pa.Table:
-    """Distinct pairs (a < b) of sets that share a list, may link, and are not connected yet."""
+    """Distinct pairs (a < b) of sets that share a list, may link, and are not connected yet.
+
+    In long lists the parity bits, where sets bring them along, rule out pairs before these become rows.
+    """
     cols = {c: group[c].to_numpy() for c in ("token", "id", "n", "pos", "comp")}
     order = np.argsort(cols["token"], kind="stable")
     token, ids, n, pos, comp = (cols[c][order] for c in ("token", "id", "n", "pos", "comp"))
@@ -200,24 +230,35 @@ def list_pairs(group: pa.Table, percent: int) -> pa.Table:
     mine = np.repeat(length, length)
     found = []
 
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
+    def keep(x: np.ndarray, y: np.ndarray, at: int = 0, bits: tuple = ()) -> None:
         ok = (comp[x] != comp[y]) & (ids[x] != ids[y]) & possible(n[x], pos[x], n[y], pos[y], percent)
-        found.append(np.stack([np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])], axis=1))
+        x, y = x[ok], y[ok]
+        if bits:
+            near = n[x] + n[y] - 2 * least_overlap(n[x], n[y], percent) >= least_differences(*bits, x - at, y - at)
+            x, y = x[near], y[near]
+        found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
 
     for gap in range(1, SHORT):
         x = np.flatnonzero((token[gap:] == token[:-gap]) & (mine[gap:] <= SHORT))
         if len(x):
             keep(x, x + gap)
     for at, size in zip(starts[length > SHORT], length[length > SHORT], strict=True):
+        bits = parity_rows(group["bits"].take(pa.array(order[at:at + size])).to_pylist())
         for x, y in block_pairs(n[at:at + size], pos[at:at + size], percent):
-            keep(x + at, y + at)
+            keep(x + at, y + at, at, bits)
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a: leader, b) of every list: its sets against a few of them, the same in lists of the same sets."""
-    picks = [F.min(F.struct(F.xxhash64("id", F.lit(LEADERS * turn + k)).alias("h"), "id", "n", "pos", "comp")).alias(f"l{k}") for k in range(LEADERS)]
+    """(a: leader, b) of every list: its sets against a few of them, the same in lists of the same sets.
+
+    Every second leader is one of the smallest position: few shingles of its own come before the list's,
+    so it is the likeliest to link with others. The rest are drawn.
+    """
+    drawn = [F.xxhash64("id", F.lit(LEADERS * turn + k)) for k in range(LEADERS)]
+    order = [F.struct(F.floor(F.col("pos") / (1 + turn)) if k % 2 == 0 else F.lit(0), h) for k, h in enumerate(drawn)]
+    picks = [F.min(F.struct(o.alias("o"), "id", "n", "pos", "comp")).alias(f"l{k}") for k, o in enumerate(order)]
     leaders = entries.groupBy("token").agg(*picks).select("token", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("l"))
     n, p, m, q = (F.col(c) for c in ("n", "pos", "l.n", "l.pos"))
     fits = ((F.least(n, m) * 100 >= percent * F.greatest(n, m))
@@ -226,6 +267,15 @@ def leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def with_bits(here: DataFrame, per: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Entries of lists whose sets aren't all connected; those of long lists with the parity bits of their set, if short."""
+    opened = here.join(per.filter("m * m > s").select("token", "m"), "token")
+    brief = sketches.filter(F.length("bits") <= BROUGHT).select(F.col("rep").alias("id"), "bits")
+    columns = ["token", "id", "n", "pos", "comp", "bits"]
+    short = opened.filter(F.col("m") <= SHORT).withColumn("bits", F.lit(None).cast("binary"))
+    return short.select(columns).union(opened.filter(F.col("m") > SHORT).join(brief, "id", "left").select(columns))
+
+
 def may_link(batches: Iterator, percent: int) -> Iterator:
     """Pairs that the parity bits don't rule out."""
     for batch in batches:
@@ -395,7 +445,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         whole = stats["pairs"] <= DENSE * stats["entries"] or turn == LIMITED_ROUNDS
         if whole:
             tasks = max(1, -(-int(stats["entries"]) // BUCKET) * 4)
-            pairs = here.withColumn("task", F.pmod(F.xxhash64("token"), F.lit(tasks))).groupBy("task").applyInArrow(
+            pairs = with_bits(here, per, sketches).withColumn("task", F.pmod(F.xxhash64("token"), F.lit(tasks))).groupBy("task").applyInArrow(
                 lambda g: list_pairs(g, percent), EDGES).distinct()
         else:
             pairs = leader_pairs(here, turn, percent)

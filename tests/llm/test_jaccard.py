@@ -148,3 +148,40 @@ def test_answers_from_the_leader_are_exact():
                 if 100 * both >= 85 * (len(every[i]) + len(every[j]) - both):
                     want.join(-1 if i == 20 else i, j)
         assert all(forest.root(i) == want.root(i) for i in range(-1, 20))
+
+
+def test_parity_bits_of_many_pairs_equal_those_of_one():
+    rng = np.random.default_rng(57)
+    sets = [np.unique(rng.integers(-2**62, 2**62, n)) for n in (1, 20, 33, 40, 70, 100, 130, 600)]
+    bits = [jaccard.parity_bits(s) for s in sets]
+    x, y = (a.ravel() for a in np.indices((8, 8)))
+    want = [jaccard.least_difference(bits[i], bits[j]) for i, j in zip(x, y, strict=True)]
+    assert jaccard.least_differences(*jaccard.parity_rows(bits), x, y).tolist() == want
+    size, rows = jaccard.parity_rows([None, *bits[1:]])
+    got = jaccard.least_differences(size, rows, x, y)
+    assert [0 if 0 in (i, j) else w for i, j, w in zip(x, y, want, strict=True)] == got.tolist()
+
+
+def near_copies(rng):
+    """A text, and copies with up to four words replaced: the outer ones link with the least changed only."""
+    words = [f"w{i}" for i in range(120)]
+    yield words
+    while True:
+        edits = rng.sample(range(120), rng.randint(0, 4))
+        yield [f"x{rng.random()}" if k in edits else w for k, w in enumerate(words)]
+
+
+def templates(rng):
+    """Texts of the same frequent sentences that hardly ever link."""
+    while True:
+        yield [f"s{i}w{j}v{v}" for i, v in enumerate(rng.choices(range(4), k=12)) for j in range(10)]
+
+
+@pytest.mark.parametrize("texts", [near_copies, templates])
+def test_pairs_of_a_large_group_are_fewer_than_its_square(spark, monkeypatch, texts):
+    made, confirmed = [], jaccard.confirmed
+    monkeypatch.setattr(jaccard, "confirmed", lambda pairs, *more: made.append(pairs.count()) or confirmed(pairs, *more))
+    rows = [(i, " ".join(words)) for i, words in zip(range(500), texts(random.Random(58)), strict=False)]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert made[-1] <= 500 and sum(made) <= 50 * 500
