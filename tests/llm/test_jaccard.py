@@ -171,17 +171,21 @@ def near_copies(rng):
         yield [f"x{rng.random()}" if k in edits else w for k, w in enumerate(words)]
 
 
-def templates(rng):
-    """Texts of the same frequent sentences that hardly ever link."""
-    while True:
-        yield [f"s{i}w{j}v{v}" for i, v in enumerate(rng.choices(range(4), k=12)) for j in range(10)]
-
-
-@pytest.mark.parametrize("texts", [near_copies, templates])
-def test_pairs_of_a_large_group_are_fewer_than_its_square(spark, monkeypatch, texts):
+def test_long_lists_hand_on_only_pairs_that_parity_bits_allow():
+    rng = np.random.default_rng(59)
+    sets = [np.unique(rng.integers(-2**62, 2**62, 100)) for _ in range(200)]
+    sets.append(np.sort(np.append(sets[7][1:], 5)))
+    n = [len(s) for s in sets]
+    ids, bits = list(range(201)), [jaccard.parity_bits(s) for s in sets]
+    group = pa.table({"token": [1] * 201, "id": ids, "n": n, "pos": [0] * 201, "comp": ids, "bits": pa.array(bits, pa.binary())})
+    found = jaccard.list_pairs(group, 85)
+    assert list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == [(7, 200)]
+
+
+def test_pairs_of_a_large_group_are_fewer_than_its_square(spark, monkeypatch):
     made, confirmed = [], jaccard.confirmed
     monkeypatch.setattr(jaccard, "confirmed", lambda pairs, *more: made.append(pairs.count()) or confirmed(pairs, *more))
-    rows = [(i, " ".join(words)) for i, words in zip(range(500), texts(random.Random(58)), strict=False)]
+    rows = [(i, " ".join(words)) for i, words in zip(range(500), near_copies(random.Random(58)), strict=False)]
     got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
     assert made[-1] <= 500 and sum(made) <= 50 * 500
