@@ -68,6 +68,28 @@ def test_files_of_rows_and_one_reading(spark, tmp_path):
     assert found["own"] == found["spark"] and len(found["own"][0]) == 3
 
 
+def test_tasks_list_and_read_the_files(spark, tmp_path, monkeypatch):
+    """No file's name goes through the driver; the rows are those of Spark's reader, hidden and empty files left out."""
+    names = ["a.md", "sub/deep/b c.md", "_x=1/c.md", "k=v/d.md", "sub/e.txt", ".f.md", "_g.md", "_h/i.md", "sub/.j/k.md", "l.md._COPYING_", "m._COPYING_/n.md", "_metadata/o.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"Caf\xe9 \xc3\xa9 " + name.encode())
+    (tmp_path / "none.md").write_bytes(b"")
+    (tmp_path / "blank.md").write_text(" \n")
+    (tmp_path / "sub" / "gone.md").symlink_to(tmp_path / "nothing")
+    (tmp_path / "sub" / "same.md").symlink_to(tmp_path / "a.md")
+    monkeypatch.setattr(documents, "TASK_FOLDERS", 2)
+    monkeypatch.setattr(documents, "BATCH_ROWS", 2)
+    every = documents._read(spark, str(tmp_path))
+    assert not [f for f in every.inputFiles() if str(tmp_path) in f] and "binaryFile" not in every._jdf.queryExecution().toString()
+    got = sorted(tuple(r) for r in every.collect())
+    assert [r[0] for r in got] == ["_metadata/o.md", "_x=1/c.md", "a.md", "blank.md", "k=v/d.md", "sub/deep/b c.md", "sub/same.md"]
+    assert sorted(tuple(r) for r in documents._read(spark, f"file://{tmp_path}/").collect()) == got
+    assert [r.source for r in documents.skipped_documents(spark, str(tmp_path)).collect()] == ["blank.md"]
+    monkeypatch.setattr(documents, "_opened_folder", lambda *_: None)
+    assert sorted(tuple(r) for r in documents._read(spark, str(tmp_path)).collect()) == got
+
+
 def test_sections(spark):
     text = "intro line here\n# A\none\n## B\ntwo\n```\n# code\n```\n### C\nthree\n# D\nfour\n#no heading\n#### deep"
     docs = spark.createDataFrame([("s", "s", text)], "source string, path string, content string")
