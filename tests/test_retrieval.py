@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.text import tokens
-from faultline.operators import blockmax, chunking, retrieval
+from faultline.operators import blockmax, chunking, listscore, retrieval
 from faultline.plans import prepare, round_trips
 from faultline.sources import documents, store
 from faultline.sources.materialize import materialize
@@ -288,6 +288,39 @@ def test_groups_with_repeated_and_null_chunks(spark):
     assert got == pytest.approx(want) and (1, None) in got
 
 
+def test_more_groups_shuffle_no_more(spark, topics):
+    """Each group leaves its side's shuffle once, in one row, however many groups of the other side it meets."""
+    terms = retrieval.weighted_terms(topics, ask(spark, *[f"c{i % 30} topic{i}" for i in range(30)]))
+    for sizes in ({"group_postings": 500, "group_terms": 10}, {"group_postings": 500, "group_terms": 60}):
+        met = retrieval.group_search(topics, terms, 10, **sizes)
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" not in plan.lower() and plan.count("Join") == 2
+        met.collect()
+        final = met._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in final and "CoGroup" not in final
+
+
+def test_floor_of_earlier_groups_loses_nothing():
+    """Chunks read one group after the other give the k best of all, by score and chunk."""
+    rng = np.random.default_rng(5)
+    lists, scores = [], {}
+    asked, weights = np.arange(6), rng.uniform(0.1, 2, 6)
+    for slot in range(8):
+        rows = [(t, c) for t in range(6) for c in range(40) if rng.random() < (0.9 if t < 3 else 0.2) or c == t]
+        gains = np.round(rng.uniform(0.1, 1, len(rows)), 1)
+        at = np.searchsorted([t for t, _ in rows], np.arange(7))
+        lists.append(listscore._Lists(at, np.array([c for _, c in rows]), gains, 40))
+        for (t, c), g in zip(rows, gains):
+            scores[slot * 40 + c] = scores.get(slot * 40 + c, 0.0) + weights[t] * g
+    for k in (1, 5, 50):
+        held = []
+        for slot, part in enumerate(lists):
+            floor = -sorted(held)[k - 1][0] if len(held) >= k else -np.inf
+            found, value = listscore._query_best(part, asked, weights, k, floor)
+            held += [(-round(v, 9), slot * 40 + int(c)) for c, v in zip(found, value)]
+        assert [(s, c) for s, c in sorted(held)[:k]] == sorted((-round(v, 9), c) for c, v in scores.items())[:k]
+
+
 def test_blocks_of_asked_terms_only(spark, topics):
     """Postings of other terms are neither shuffled nor written."""
     terms = retrieval.weighted_terms(topics, ask(spark, "topic3 c1", "topic3 unknown"))
